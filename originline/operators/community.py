@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from originline.functions.ordered import Running, range_blocks, running
 from originline.functions.scalar import ratio
-from originline.params import DAY_US, Params
+from originline.params import DAY_US, MINUTE_US, Params
 
 
 def instants(prepared: DataFrame, p: Params) -> DataFrame:
-    """One row per distinct booking instant: counts and lead minutes per facility."""
+    """One row per distinct booking instant: counts and summed leads per facility."""
     cells = []
     for f in p.facilities:
         here = F.col("facility_id") == f.name
         cells.append(F.count_if(here).alias(f"n_{f.slug}"))
         cells.append(
-            F.coalesce(F.sum(F.when(here, F.col("lead_minutes"))), F.lit(0.0))
+            F.coalesce(F.sum(F.when(here, F.col("lead_us"))), F.lit(0.0))
             .alias(f"l_{f.slug}")
         )
     return prepared.groupBy("us", "booked_weekday", "booked_band").agg(*cells)
@@ -37,6 +37,7 @@ def community_features(prepared: DataFrame, p: Params) -> DataFrame:
         {
             **{f"all_{s}": Running("sum", v, True) for s, v in counts.items()},
             **{f"lead_{s}": Running("sum", F.col(f"l_{s}"), True) for s in slugs},
+            "newest_us": Running("max", F.col("us"), True),
         },
         blocked=True,
     )
@@ -47,7 +48,8 @@ def community_features(prepared: DataFrame, p: Params) -> DataFrame:
         )
     shifted = _counts_before(blocks, p)
     df = df.join(shifted, "us")
-    out = [F.col("us"), _total(df, "all_", slugs).alias("n_community")]
+    out = [F.col("us"), _total(df, "all_", slugs).alias("n_community"),
+           F.col("newest_us")]
     for tag, name in (("all_", ""), ("day_", "origin_weekday_"), ("band_", "origin_band_")):
         total = _total(df, tag, slugs)
         for s in slugs:
@@ -61,7 +63,8 @@ def community_features(prepared: DataFrame, p: Params) -> DataFrame:
             out.append(ratio(parts[s], total).alias(f"community_facility_share_{d}d_{s}"))
     for s in slugs:
         out.append(
-            ratio(F.col(f"lead_{s}"), F.col(f"all_{s}")).alias(f"community_lead_minutes_mean_{s}")
+            (ratio(F.col(f"lead_{s}"), F.col(f"all_{s}")) / float(MINUTE_US))
+            .alias(f"community_lead_minutes_mean_{s}")
         )
     return df.select(*out)
 

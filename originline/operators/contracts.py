@@ -107,9 +107,10 @@ def lead_checks(
     cells = F.array(
         F.struct(F.lit("median_in_band").alias("check"), m.alias("value"),
                  ((m >= band[0]) & (m <= band[1])).alias("passed")),
-        F.struct(F.lit("mean_above_median"), F.col("mean"), F.col("mean") > m),
-        F.struct(F.lit("long_short_ratio"), F.col("ratio"),
-                 F.coalesce(F.col("ratio") >= least, F.lit(False))),
+        F.struct(F.lit("mean_above_median").alias("check"), F.col("mean").alias("value"),
+                 (F.col("mean") > m).alias("passed")),
+        F.struct(F.lit("long_short_ratio").alias("check"), F.col("ratio").alias("value"),
+                 F.coalesce(F.col("ratio") >= least, F.lit(False)).alias("passed")),
     )
     return one.select(F.inline(cells)).withColumn("value", F.round("value", 6))
 

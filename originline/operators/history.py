@@ -33,6 +33,7 @@ def prepare(bookings: DataFrame, p: Params) -> DataFrame:
     )
     return base.select(
         "*",
+        (F.col("usage_us") - F.col("us")).cast("double").alias("lead_us"),
         ((F.col("usage_us") - F.col("us")) / float(MINUTE_US)).alias("lead_minutes"),
         weekday(F.col("booked")).alias("booked_weekday"),
         F.hour("booked").alias("booked_hour"),
@@ -205,7 +206,7 @@ def resident_features(h: History) -> DataFrame:
         return (F.col(column) == value).cast("int")
 
     specs = {
-        "_sum_lead": Running("sum", F.col("lead_minutes")),
+        "_sum_lead": Running("sum", F.col("lead_us")),
         "inter_booking_interval_std_days": Running("std", F.col("gap_us") / float(DAY_US)),
     }
     for f in p.facilities:
@@ -242,14 +243,25 @@ def resident_features(h: History) -> DataFrame:
             for k in range(1, p.recent_slots + 1)
         ),
     )
+    # Staged, so that the final projection refers to these instead of repeating them.
+    df = df.select(
+        "*", _tail(p.change_depth).alias("_tail"),
+        *(_rolling(depth).alias(f"_best_{depth}") for depth in p.rolling_depths),
+    )
+    df = df.select("*", *(
+        (F.size("_tail") - F.size(F.array_remove("_tail", f.name))).alias(f"_now_{f.slug}")
+        for f in p.facilities
+    ))
     return h.real(df.select("*", *_derived(p)))
 
 
+def _tail(depth: int) -> Column:
+    return F.slice("_last", F.greatest(F.size("_last") - depth + 1, F.lit(1)), F.lit(depth))
+
+
 def _rolling(depth: int) -> Column:
     """(count, position, facility) of the favourite of the last ``depth`` rows."""
-    tail = F.slice(
-        "_last", F.greatest(F.size("_last") - depth + 1, F.lit(1)), F.lit(depth)
-    )
+    tail = _tail(depth)
     return F.array_max(
         F.transform(
             tail,
@@ -311,10 +323,10 @@ def _derived(p: Params) -> list[Column]:
         out[f"time_band_count_{b.slug}"] = c(f"_b_{b.slug}")
         out[f"time_band_share_{b.slug}"] = c(f"_b_{b.slug}") / n
     for depth in p.rolling_depths:
-        best = _rolling(depth)
+        best = c(f"_best_{depth}")
         out[f"rolling_top_facility_last_{depth}"] = best["v"]
         out[f"rolling_top_facility_share_last_{depth}"] = best["c"] / F.least(F.lit(depth), n)
-    out["lead_minutes_mean"] = c("_sum_lead") / n
+    out["lead_minutes_mean"] = c("_sum_lead") / n / float(MINUTE_US)
     out["lead_minutes_median"] = c("_median_lead")
     out["lead_minutes_recent"] = c("lead_minutes")
     for kind, items in (("facility", p.facilities), ("time_band", p.bands)):
@@ -337,12 +349,9 @@ def _derived(p: Params) -> list[Column]:
         out[f"transition_count_from_last_{f.slug}"] = c(f"_to_{f.slug}")
         out[f"transition_share_from_last_{f.slug}"] = ratio(c(f"_to_{f.slug}"), moves)
     out["preferred_usage_hour"] = c("mode_used_hour")
-    tail = F.slice("_last", F.greatest(F.size("_last") - p.change_depth + 1, F.lit(1)),
-                   F.lit(p.change_depth))
-    pairs = []
-    for f in p.facilities:
-        now = F.size(tail) - F.size(F.array_remove(tail, f.name))
-        pairs.append((now, c(f"_f_{f.slug}") - now))
+    pairs = [
+        (c(f"_now_{f.slug}"), c(f"_f_{f.slug}") - c(f"_now_{f.slug}")) for f in p.facilities
+    ]
     recent_n = F.least(F.lit(p.change_depth), n)
     distance = js_distance(pairs, recent_n, n - recent_n)
     enough = n >= p.change_min_priors

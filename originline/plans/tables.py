@@ -103,7 +103,7 @@ SELECT {_BOOKING}, array_to_string(list_filter([
   CASE WHEN reps > 1 THEN 'repeated_booking_id' END,
   CASE WHEN facility_id NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'facility_outside_catalog' END,
   CASE WHEN booking_timestamp >= usage_timestamp THEN 'not_booked_before_used' END],
-  x -> x IS NOT NULL), ',') AS reasons
+  lambda x: x IS NOT NULL), ',') AS reasons
 FROM (SELECT *, count(*) OVER (PARTITION BY booking_id) AS reps FROM ob)
 WHERE reasons <> ''""")
 

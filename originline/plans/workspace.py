@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 from originline.operators import samples as S
 from originline.operators import splits as P
+from originline.operators.community import community_features
+from originline.operators.features import feature_table
 from originline.operators.history import History, build_history, prepare, resident_features
 from originline.params import TEST, Params
 from originline.session import configure, freeze
@@ -51,6 +52,16 @@ class Workspace:
     def resident(self) -> DataFrame:
         return resident_features(self.history)
 
+    @cached_property
+    def community(self) -> DataFrame:
+        return freeze(community_features(self.prepared, self.params))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return freeze(
+            feature_table(self.samples, self.resident, self.community, self.params)
+        )
+
     @cached_property
     def samples(self) -> DataFrame:
         return freeze(S.build_samples(self.history))
