@@ -89,8 +89,12 @@ def build_history(bookings: DataFrame, p: Params) -> History:
     ).withColumn("gap_us", F.col("us") - F.col("prev_us"))
     frame = running(
         frame, [KEY], ORDER,
-        {"n": Running("sum", F.lit(1)), "first_us": Running("min", F.col("us"))}, h.blocked,
-    )
+        {
+            "n": Running("sum", F.lit(1)),
+            "first": Running("min", F.struct("us", "booking_id")),
+        },
+        h.blocked,
+    ).withColumn("first_us", F.col("first.us"))
     return dataclasses.replace(h, frame=frame)
 
 
@@ -98,7 +102,10 @@ def _mode_column(name: str) -> Column:
     return F.col(name)["v"]
 
 
-def with_modes(h: History, df: DataFrame, values: dict[str, str]) -> DataFrame:
+def with_modes(
+    h: History, df: DataFrame, values: dict[str, str], within: tuple[str, ...] = (),
+    before: bool = False,
+) -> DataFrame:
     """Running mode of each value column, ties to the most recent.
 
     A row's own visit number within (resident, value) is the running count of
@@ -107,14 +114,16 @@ def with_modes(h: History, df: DataFrame, values: dict[str, str]) -> DataFrame:
     """
     ranked = df
     for value in values:
-        ranked = h.run(ranked, [value], {f"_visit_{value}": Running("sum", F.lit(1))})
+        ranked = h.run(
+            ranked, [*within, value], {f"_visit_{value}": Running("sum", F.lit(1))}
+        )
     best = h.run(
-        ranked, [],
+        ranked, list(within),
         {
             out: Running("max", F.struct(
                 F.col(f"_visit_{value}").alias("c"), F.col("us").alias("at"),
                 F.col(value).alias("v"),
-            ))
+            ), before)
             for value, out in values.items()
         },
     )
@@ -190,6 +199,9 @@ def resident_features(h: History) -> DataFrame:
             "used_hour": "mode_used_hour",
         },
     )
+    df = with_modes(
+        h, df, {"next_facility": "mode_successor"}, within=("facility_id",), before=True
+    )
     df = h.run(
         df, ["facility_id"],
         {

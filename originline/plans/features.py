@@ -39,6 +39,7 @@ SELECT *, {', '.join(_counts)}, {', '.join(_windows)}, {', '.join(_lags)},
   sum(CAST(usage_us - us AS DOUBLE)) OVER w / n / 60000000::DOUBLE AS lead_mean, quantile_cont(lead_minutes, 0.5) OVER w AS lead_median,
   avg(gap_us) OVER w / {DAY_US}.0 AS gap_mean,
   quantile_cont(gap_us::DOUBLE, 0.5) OVER w / {DAY_US}.0 AS gap_median,
+  quantile_cont(gap_us::DOUBLE, 0.5) OVER w / 60000000::DOUBLE AS gap_minutes,
   stddev_samp(gap_us / {DAY_US}.0::DOUBLE) OVER w AS gap_std
 FROM h WINDOW w AS (PARTITION BY resident_id ORDER BY us
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")

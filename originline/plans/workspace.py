@@ -7,11 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from originline.operators import habits as H
 from originline.operators import samples as S
 from originline.operators import splits as P
 from originline.operators.community import community_features
 from originline.operators.features import feature_table
 from originline.operators.history import History, build_history, prepare, resident_features
+from originline.operators.scoring import score
 from originline.params import TEST, Params
 from originline.session import configure, freeze
 from originline.sources import binding
@@ -93,6 +95,34 @@ class Workspace:
         p = self.params
         return freeze(P.seeded_draw(self.holdout, p.comparison_rows, p.seed))
 
+    @cached_property
+    def history_rows(self) -> DataFrame:
+        return self.history.real(self.history.frame)
+
+    @cached_property
+    def fallbacks(self) -> DataFrame:
+        return freeze(H.fit_fallbacks(self.history_rows, self.train))
+
+    @cached_property
+    def transitions(self) -> DataFrame:
+        return freeze(H.fit_transitions(self.history_rows, self.train))
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return freeze(
+            H.predict(self.samples, self.origin_rows(), self.fallbacks, self.transitions)
+        )
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return freeze(
+            score(self.predictions.join(self.split_samples, "sample_id"), self.params)
+        )
+
+    @cached_property
+    def scored_holdout(self) -> DataFrame:
+        return self.scored.filter("split = 'test'")
+
     def origin_rows(self) -> DataFrame:
         """Resident features of the rows that are an origin, one per sample."""
         return self.resident.filter(
