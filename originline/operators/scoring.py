@@ -376,17 +376,23 @@ def bootstrap_weights(units: DataFrame, unit: str, p: Params) -> DataFrame:
     """
     groups = -(-p.resamples // WEIGHTS_PER_HASH)
     # Few rows become many draws: spread them before they are expanded.
-    even = units.repartition(width(units.sparkSession), unit)
+    even = units.repartition(width(units.sparkSession))
     spread = even.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     word = F.md5(F.concat_ws("|", F.lit(str(p.seed)), F.col("g"), F.col(unit)))
-    hashed = spread.withColumn("_h", word)
+    parts = spread.select(*units.columns, "g", word.alias("_h")).select(
+        *units.columns, "g",
+        *(F.substring("_h", 1 + 8 * j, 8).alias(f"_u{j}") for j in range(WEIGHTS_PER_HASH)),
+    )
     limits = poisson_thresholds()
 
     def weight(j: int) -> Column:
-        part = F.substring("_h", 1 + 8 * j, 8)
-        return sum(((part >= t).cast("int") for t in limits), F.lit(0))
+        # Equal-length hexadecimal words compare like the numbers they spell.
+        chain = F.when(F.col(f"_u{j}") < limits[0], 0)
+        for k, t in enumerate(limits[1:], start=1):
+            chain = chain.when(F.col(f"_u{j}") < t, k)
+        return chain.otherwise(len(limits))
 
-    return hashed.select(
+    return parts.select(
         *units.columns, "g", *(weight(j).alias(f"w{j}") for j in range(WEIGHTS_PER_HASH))
     )
 

@@ -89,8 +89,8 @@ class Params:
     bucket_ratio: float = 1.5
     bucket_ceiling_days: int = 100
     bucket_min_rows: int = 200
-    residual_span: float = 6.0
-    residual_step: float = 0.2
+    residual_span: float = 4.5
+    residual_step: float = 0.15
     residual_blend: float = 0.5
     sparse_bookings: int = 5
     resamples: int = 2000

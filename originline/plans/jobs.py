@@ -1,4 +1,4 @@
 """Every registered job; importing the modules fills the registry."""
 
-from originline.plans import features, scoring, tables  # noqa: F401
+from originline.plans import features, ranking, scoring, tables  # noqa: F401
 from originline.plans.registry import JOBS, ORACLES  # noqa: F401

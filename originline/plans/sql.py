@@ -21,13 +21,15 @@ def query(body: str) -> str:
     """The statement with every fragment it mentions, in dependency order."""
     ordered: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, owner: str) -> None:
         for name in FRAGMENTS:
-            if re.search(rf"\b{name}\b", text) and name not in ordered:
-                visit(FRAGMENTS[name])
+            if name == owner or name in ordered:
+                continue
+            if re.search(rf"\b{name}\b", text):
+                visit(FRAGMENTS[name], name)
                 ordered.append(name)
 
-    visit(body)
+    visit(body, "")
     if not ordered:
         return body
     parts = ",\n".join(f"{name} AS ({FRAGMENTS[name]})" for name in ordered)

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from originline.operators import delays as D
 from originline.operators import habits as H
 from originline.operators import samples as S
 from originline.operators import splits as P
@@ -123,6 +124,17 @@ class Workspace:
     def scored_holdout(self) -> DataFrame:
         return self.scored.filter("split = 'test'")
 
+    @cached_property
+    def ladder(self) -> list[D.Rung]:
+        p = self.params
+        merged = D.merge_sparse(D.counted(self.train, D.build_ladder(p)), p.bucket_min_rows)
+        return D.resolve(self.train, merged, p)
+
+    @cached_property
+    def delay_mode(self) -> DataFrame:
+        logs = self.train.select(F.log("notification_delay_minutes").alias("x"))
+        return freeze(D.window_mode(logs, "x", self.params.tolerance))
+
     def origin_rows(self) -> DataFrame:
         """Resident features of the rows that are an origin, one per sample."""
         return self.resident.filter(
