@@ -228,7 +228,7 @@ def delay_ladder_representatives(ws: Workspace) -> DataFrame:
 
 
 @job("representation_ceiling", recursive(f"""
-SELECT label, "rows", round(coverage, 6) AS coverage, CASE WHEN label = '(all)' THEN coverage >= 0.95 END AS passed
+SELECT label, "rows", round(coverage, 6) AS coverage, coverage >= 0.95 AS passed
 FROM (SELECT coalesce(label, '(all)') AS label, count(*) AS "rows", avg(hit) AS coverage FROM (
   SELECT label, (abs(ln((representative + 1) / (notification_delay_minutes + 1))) <= ln({P.match_ratio}::DOUBLE))::INT AS hit
   FROM tr JOIN ladder_reps ON notification_delay_minutes + 1 >= lower

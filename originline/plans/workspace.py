@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from originline.operators import delays as D
 from originline.operators import habits as H
+from originline.operators import prompts as G
 from originline.operators import samples as S
 from originline.operators import splits as P
 from originline.operators.community import community_features
@@ -135,6 +136,16 @@ class Workspace:
         logs = self.train.select(F.log("notification_delay_minutes").alias("x"))
         return freeze(D.window_mode(logs, "x", self.params.tolerance))
 
+    @cached_property
+    def prompts(self) -> DataFrame:
+        summary = G.prompt_summary(self.features, self.origin_rows(), self.params)
+        return freeze(G.render_prompts(summary, self.ladder, self.params))
+
+    @cached_property
+    def prompt_rows(self) -> DataFrame:
+        targets = G.render_targets(self.samples, self.ladder)
+        return G.prompt_dataset(self.split_samples, self.prompts, targets)
+
     def origin_rows(self) -> DataFrame:
         """Resident features of the rows that are an origin, one per sample."""
         return self.resident.filter(
