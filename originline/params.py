@@ -81,7 +81,7 @@ class Params:
     inner_frac: float = 0.15
     notification_lead_minutes: int = 120
     review_depth: int = 3
-    prompt_events: int = 5
+    prompt_events: int = 16
     change_min_priors: int = 20
     change_depth: int = 10
     change_threshold: float = 0.25
@@ -138,4 +138,5 @@ TEST = Params(
     trend_days=(3, 7),
     community_days=(3, 7),
     halflife_days=7.0,
+    prompt_events=5,
 )

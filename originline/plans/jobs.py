@@ -1,4 +1,11 @@
 """Every registered job; importing the modules fills the registry."""
 
-from originline.plans import features, ranking, review, scoring, tables  # noqa: F401
+from originline.plans import (  # noqa: F401
+    features,
+    models,
+    ranking,
+    review,
+    scoring,
+    tables,
+)
 from originline.plans.registry import JOBS, ORACLES  # noqa: F401

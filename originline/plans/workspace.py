@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from originline.operators import delays as D
 from originline.operators import habits as H
+from originline.operators import heads as M
 from originline.operators import prompts as G
 from originline.operators import samples as S
 from originline.operators import splits as P
@@ -146,6 +147,19 @@ class Workspace:
         targets = G.render_targets(self.samples, self.ladder)
         return G.prompt_dataset(self.split_samples, self.prompts, targets)
 
+    @cached_property
+    def model_rows(self) -> DataFrame:
+        """Features with split and targets: what the classifiers are fitted on."""
+        targets = self.split_samples.select(
+            "sample_id", "split", "target_us", "target_facility_id", "target_usage_weekday",
+            "target_usage_hour", "notification_delay_minutes",
+        )
+        return freeze(self.features.join(targets, "sample_id"))
+
+    @cached_property
+    def heads(self) -> dict[str, M.Head]:
+        return M.fit_heads(self.model_rows.filter("split = 'train'"), self.params)
+
     def origin_rows(self) -> DataFrame:
         """Resident features of the rows that are an origin, one per sample."""
         return self.resident.filter(
