@@ -53,11 +53,14 @@ def running(
     order: Sequence[str],
     specs: Mapping[str, Running],
     blocked: bool,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Append running aggregates along ``order`` inside each key.
 
     ``blocked`` says whether the frame carries a block column; without one every
-    key is known to fit a task and a single window does the work.
+    key is known to fit a task and a single window does the work. ``source`` is a
+    frame with the same rows to compute the carries from, where ``df`` already
+    holds other results and would be evaluated again for them.
     """
     by = [*keys, BLOCK] if blocked else list(keys)
     base = Window.partitionBy(*by).orderBy(*order)
@@ -91,7 +94,7 @@ def running(
         else:
             totals.append(_plain(s.kind, masked[name]).alias(f"_c_{name}"))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    per_block = df.groupBy(*by).agg(*totals)
+    per_block = (df if source is None else source).groupBy(*by).agg(*totals)
     cols = []
     for name, s in specs.items():
         if s.kind == "std":
@@ -186,16 +189,19 @@ def exact_quantiles(
     return picked.select(*groups, "n", *out)
 
 
-def hot_keys(df: DataFrame, key: str, block_rows: int) -> DataFrame | None:
-    """Keys too large for one task, or None when there is none.
+def hot_keys(df: DataFrame, key: str, *limits: int) -> list[DataFrame | None]:
+    """For each limit the keys with more rows than it, or None when there is none.
 
-    The limit grows with the table, so at most 4096 keys can exceed it: the
-    result is always small enough to broadcast.
+    A limit never falls below a 4096th of the table, so at most 4096 keys can
+    exceed it: the result is always small enough to broadcast.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(block_rows, (total or 0) // 4096)
-    return counts.filter(F.col("_rows") > limit) if (largest or 0) > limit else None
+    found: list[DataFrame | None] = []
+    for asked in limits:
+        limit = max(asked, (total or 0) // 4096)
+        found.append(counts.filter(F.col("_rows") > limit) if (largest or 0) > limit else None)
+    return found
 
 
 def blocked_history(df: DataFrame, key: str, order: str, hot: DataFrame, back: int) -> DataFrame:

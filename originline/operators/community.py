@@ -45,6 +45,7 @@ def community_features(prepared: DataFrame, p: Params) -> DataFrame:
         df = running(
             df, [key], ["us"],
             {f"{tag}_{s}": Running("sum", v, True) for s, v in counts.items()}, blocked=True,
+            source=blocks,
         )
     shifted = _counts_before(blocks, p)
     df = df.join(shifted, "us")

@@ -68,8 +68,7 @@ class History:
 def build_history(bookings: DataFrame, p: Params) -> History:
     """Prepare bookings; cut residents too large for one task into blocks."""
     base = prepare(bookings, p)
-    hot = hot_keys(bookings, KEY, p.block_rows)
-    large = hot_keys(bookings, KEY, p.median_rows)
+    hot, large = hot_keys(bookings, KEY, p.block_rows, p.median_rows)
     if hot is not None:
         back = max(*p.rolling_depths, p.recent_slots, p.prompt_events, p.change_depth,
                    p.review_depth) + 1
