@@ -32,7 +32,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         # Test tables are small and the windows CPU-bound: do not merge their few
         # shuffle partitions into one.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         # Column expressions are built by the thousand; skip per-call stack capture.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
