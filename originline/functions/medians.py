@@ -39,7 +39,8 @@ def running_medians(
 
     if large is None:
         return in_window(df)
-    names = F.broadcast(large.select(key))
+    # This list may grow with the table, so it carries no broadcast hint.
+    names = large.select(key)
     small = in_window(df.join(names, key, "left_anti"))
     rows = freeze(df.join(names, key, "left_semi"))
     result = rows

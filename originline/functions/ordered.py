@@ -189,19 +189,22 @@ def exact_quantiles(
     return picked.select(*groups, "n", *out)
 
 
-def hot_keys(df: DataFrame, key: str, *limits: int) -> list[DataFrame | None]:
-    """For each limit the keys with more rows than it, or None when there is none.
-
-    A limit never falls below a 4096th of the table, so at most 4096 keys can
-    exceed it: the result is always small enough to broadcast.
+def hot_keys(
+    df: DataFrame, key: str, block_rows: int, large_rows: int
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Keys too big for one task, and keys too big for quadratic work; None if none.
+
+    The first limit never falls below a 65,536th of the table, so at most 65,536
+    keys can exceed it and that list may be broadcast. The second list has no such
+    bound and must be joined without a hint.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    found: list[DataFrame | None] = []
-    for asked in limits:
-        limit = max(asked, (total or 0) // 4096)
-        found.append(counts.filter(F.col("_rows") > limit) if (largest or 0) > limit else None)
-    return found
+    limit = max(block_rows, (total or 0) // 65_536)
+    biggest = largest or 0
+    hot = counts.filter(F.col("_rows") > limit) if biggest > limit else None
+    large = counts.filter(F.col("_rows") > large_rows) if biggest > large_rows else None
+    return hot, large
 
 
 def blocked_history(df: DataFrame, key: str, order: str, hot: DataFrame, back: int) -> DataFrame:
