@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    A temporary folder replaces it only under a local master, where there is one
+    machine; any other session without the setting is refused.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; leave sizing to the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    if spark.sparkContext.getCheckpointDir() is None:
-        # On a cluster spark.checkpoint.dir names a shared folder; a temporary
-        # one is only ever used by local runs that configure nothing.
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(spark)
     return spark
 
 
@@ -43,6 +58,41 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return configure(spark)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it is removed when the driver ends."""
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_all)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`new_folder` that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_all() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            discard(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            return
+
+
+def stage(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a frame as Parquet into the shared folder and read it back.
+
+    The result has no lineage to recompute, survives lost executors and keeps
+    column pruning and filter pushdown for its readers.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Materialise a frame reliably and cut its lineage.
 
@@ -50,7 +100,7 @@ def freeze(df: DataFrame) -> DataFrame:
     example after range partitioning, whose bounds come from a sample.
     """
     configure(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stage(df)
 
 
 def width(spark: SparkSession) -> int:
