@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originline.llm import language, tokens
+from originline.llm import fingerprint, language, mixing, shards, tokens
 from originline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,24 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+@query("op3_shards")
+def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document under the law of equal bytes."""
+    return shards.assign_shards(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op5_mixing", mixing.ORACLE_SQL)
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that the weighted mix of sources takes."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Multiset fingerprint of every document and of its edited text."""
+    return fingerprint.fingerprints(table(spark, folder, "documents"))
+
+
 @query("op8_tokens")
 def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the word-end byte-pair vocabulary."""
