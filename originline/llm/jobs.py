@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originline.llm import fingerprint, language, mixing, shards, tokens
+from originline.llm import fingerprint, language, licenses, mixing, pages, shards, tokens
 from originline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.assign_shards(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op4_licenses")
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document, with their best containment."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op5_mixing", mixing.ORACLE_SQL)
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that the weighted mix of sources takes."""
@@ -62,3 +68,9 @@ def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the word-end byte-pair vocabulary."""
     docs = table(spark, folder, "documents")
     return tokens.token_counts(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op10_pages")
+def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, folder, "pages"))
