@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originline.llm import fingerprint, language, licenses, mixing, pages, shards, tokens
+from originline.llm import fingerprint, language, licenses, mixing, pages, quality, shards, tokens
 from originline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,12 @@ def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op9_quality")
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality verdict on every document, learned from the label table."""
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op10_pages")
 def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
