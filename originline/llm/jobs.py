@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originline.llm import fingerprint, language, licenses, mixing, pages, quality, shards, tokens
+from originline.llm import decontaminate, fingerprint, language, licenses, mixing, pages, quality, shards, tokens
 from originline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in every document."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op3_shards")
 def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document under the law of equal bytes."""
