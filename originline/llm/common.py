@@ -77,32 +77,49 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, chunk: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a batch, and the n + 1 word offsets of its texts.
 
-    A-Z are lower-cased; a word is a run of bytes other than :data:`SPACES`. The
-    hash is a polynomial over the bytes of a word, taken from a running sum.
+    A-Z are lower-cased; a word is a run of bytes other than :data:`SPACES`. The hash
+    is a sum over the bytes of a word, each scrambled with its position. Long data
+    are taken in chunks that end at white space.
     """
-    n = len(data)
-    if n == 0:
+    hashes, starts, low, n = [], [], 0, len(data)
+    while low < n:
+        high = min(low + chunk, n)
+        while high < n:
+            space = np.flatnonzero(_IS_SPACE[data[high : high + 65536]])
+            if len(space):
+                high += int(space[0])
+                break
+            high = min(high + 65536, n)
+        own, first = _words_of_chunk(data[low:high], offsets[(offsets > low) & (offsets < high)] - low)
+        hashes.append(own)
+        starts.append(first + low)
+        low = high
+    if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    begins = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(begins, offsets).astype(np.int64)
+
+
+def _words_of_chunk(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word; ``inner`` are the bounds of texts inside the chunk."""
     space = _IS_SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
-    inner = offsets[(offsets > 0) & (offsets < n)]
     first[inner] = ~space[inner]
     starts = np.flatnonzero(first)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    # Position within the word, then byte * power[position], summed by word.
-    begin = np.zeros(n, np.int64)
+        return np.zeros(0, np.uint64), starts
+    position = np.arange(len(data), dtype=np.int64)
+    begin = np.zeros(len(data), np.int64)
     begin[starts] = starts
-    position = np.arange(n, dtype=np.int64) - np.maximum.accumulate(begin)
+    position -= np.maximum.accumulate(begin)
     with np.errstate(over="ignore"):
         scaled = mix((position.astype(np.uint64) << np.uint64(8)) + _LOWER[data] + np.uint64(1))
         scaled[space] = 0
-        hashes = mix(np.add.reduceat(scaled, starts) + _MIX)
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+        return mix(np.add.reduceat(scaled, starts) + _MIX), starts
 
 
 def shingle_hashes(
@@ -126,7 +143,7 @@ def shingle_hashes(
     return value, out
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(data: np.ndarray, offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``size`` bytes; one longer text is a range of its own."""
     start, n = 0, len(offsets) - 1
     while start < n:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originline.llm import decontaminate, fingerprint, language, licenses, mixing, pages, quality, shards, tokens
+from originline.llm import decontaminate, fingerprint, language, licenses, mixing, ngram_join, pages, quality, shards, tokens
 from originline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,12 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, folder, "documents"))
 
 
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of shingle sets."""
+    return ngram_join.link_components(table(spark, folder, "documents"))
+
+
 @query("op8_tokens")
 def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the word-end byte-pair vocabulary."""
