@@ -302,9 +302,11 @@ def _batch(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group: str | None = None) -> DataFrame:
     """``keep`` columns, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
+    ``group`` names a further column: a number of the component, null for empty sets.
+
     Two rows link if 100 * overlap >= 80 * union of their shingle sets;
     ``component_id`` is the least doc_id reachable by links, the row's own included.
     Words are runs between white space, A-Z lower-cased; a text of fewer than five
@@ -329,6 +331,25 @@ def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     member = nodes.select("node", "sig", "least_id").join(final, "node", "left").select(
         "sig", "least_id", F.coalesce("component", "node").alias("component"))
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_sig = member.join(least, "component").select("sig", "component_id")
+    of_sig = member.join(least, "component").select("sig", "component_id", "component")
     found = rows.select(*keep, *([] if "doc_id" in keep else ["doc_id"]), "n_shingles", "sig").join(of_sig, "sig", "left")
-    return found.select(*keep, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    more = [F.col("component").alias(group)] if group else []
+    return found.select(*keep, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, less all but one of each component.
+
+    The row of the least doc_id stays (null last; between texts of one doc_id the
+    least text hash decides). Rows without words link with nothing and all stay.
+    """
+    prepare(docs.sparkSession)
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_key": F.xxhash64("doc_id"), "_hash": F.xxhash64(text)})
+    groups = link_components(keyed.select("doc_id", "text", "_key", "_hash"), ("doc_id", "_key", "_hash"), "_group")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_hash"), F.col("_key"))
+    first = groups.where("_group is not null").groupBy("_group").agg(F.min(order).alias("low"))
+    winners = stage(first.select("low._key", "low._hash").distinct(), "winners")
+    worded = F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    live = keyed.where(worded).dropDuplicates(["_key", "_hash"]).join(winners, ["_key", "_hash"], "left_semi")
+    return live.drop("_key", "_hash").unionByName(docs.where(~worded))
