@@ -4,15 +4,16 @@ A document is the set of its five-word shingles. All sets are sorted in one glob
 order: rare shingles before frequent ones, then by hash. Two sets that link share a
 shingle in their prefixes, the first |A| - ceil(0.8 |A|) + 1 members; so the root
 branches of a prefix tree over all sets, one for each prefix shingle, hold all
-candidate pairs. The branches are spread over the cluster; a branch keeps only pairs
-whose remaining lengths still allow the overlap. The candidates of a set are then
-stored as a trie and the set is carried down it: partial overlaps are shared by all
+candidate pairs. The branches are spread over the cluster, and a pair is counted once
+for every branch it meets in; it stays a candidate only if that partial overlap and
+what remains of either set behind its prefix can still reach the overlap. The
+candidates of a set are then stored as a trie and the set is carried down it: partial overlaps are shared by all
 candidates below a node, and a subtree is left as soon as what remains of either
 side cannot reach the overlap any more.
 
 Large groups of near copies would make a branch quadratic. They are joined first:
-every set is compared with the least set of each of its four MinHash groups, which
-is linear. Later only pairs of different components are looked at, which loses no
+every set is compared with the least set of MinHash groups that they share, which is
+linear. Later only pairs of different components are looked at, which loses no
 component: a pair inside one cannot change it. Equal sets are one node throughout.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from originline.llm.components import components
 from originline.session import stage
 
 WIDTH = 5
-KEYS = 4  # MinHash groups of a set
+KEYS, SHARED = 8, 2  # MinHash groups of a set; how many must agree for a comparison
 #: One row in so many is counted to tell frequent shingles; three sightings make one.
 SAMPLE, SEEN = 16, 3
 #: Largest bitmap that is sent to the workers: 2^27 bits, 16 MB.
@@ -93,7 +95,7 @@ def _pick(signature: bytes, row_hash: int) -> int:
     return int(mix(own).view(np.int64)[0])
 
 
-_MIN_KEYS = (np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03], np.uint64))
+_MIN_KEYS = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
 
 
 def frequent_shingles(docs: DataFrame) -> Bits:
@@ -115,35 +117,56 @@ def frequent_shingles(docs: DataFrame) -> Bits:
     return bitmap(stage(counted.where(F.col("n") >= SEEN).select("shingle"), "frequent"), "shingle")
 
 
-def describe(docs: DataFrame, keep: list[str], frequent: Bits) -> DataFrame:
-    """``keep`` and, per row: set size ``n``, signature, row hash, MinHash keys and prefix in global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def describe(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and, per row: set size ``n_shingles``, signature, row hash and MinHash keys."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
-    names = [*keep, "n_shingles", "sig", "pick", "keys", "prefix"]
+    names = [*keep, "n_shingles", "sig", "pick", "keys"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
         for batch in batches:
             ids = batch.column(batch.num_columns - 2).to_pylist()
-            size, sig, pick, keys, prefix = [], [], [], [], []
+            size, sig, pick, keys = [], [], [], []
             for row, members in _sets(batch.column(batch.num_columns - 1)):
                 size.append(len(members))
+                own = _signature(members) if len(members) else None
+                sig.append(own)
+                pick.append(None if own is None else _pick(own, ids[row]))
+                keys.append(None if own is None else [int(mix(members ^ k).min().view(np.int64)) for k in _MIN_KEYS])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
+                 pa.array(pick, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names)
+
+    return rows.mapInArrow(work, extended(rows.drop("_id", "_text"), "n_shingles long, sig binary, pick long, keys array<long>"))
+
+
+def prefixes(docs: DataFrame, nodes: DataFrame, frequent: Bits) -> DataFrame:
+    """``node``, ``n``, ``component`` and ``prefix``, in the global order, of every row of ``nodes``.
+
+    ``nodes`` has ``sig``, ``pick`` too: the row of ``docs`` whose text is read for a node.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, bitmap(nodes, "pick")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, bits = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            sig, pick, prefix = [], [], []
+            for row, members in _sets(batch.column(1)):
                 if len(members) == 0:
-                    sig.append(None), pick.append(None), keys.append(None), prefix.append(None)
                     continue
                 own = _signature(members)
-                sig.append(own)
-                pick.append(_pick(own, ids[row]))
-                keys.append([int(mix(members ^ k).min().view(np.int64)) for k in _MIN_KEYS])
-                late = frequent.has(members)
-                prefix.append(np.concatenate([members[~late], members[late]])[: prefix_length(len(members))].view(np.int64))
-            longs = pa.list_(pa.int64())
+                mine = _pick(own, ids[row])
+                if bits.has(np.array([mine], np.int64).view(np.uint64))[0]:
+                    late = frequent.has(members)
+                    sig.append(own)
+                    pick.append(mine)
+                    prefix.append(np.concatenate([members[~late], members[late]])[: prefix_length(len(members))].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
-                 pa.array(pick, pa.int64()), pa.array(keys, longs), pa.array(prefix, longs)], names)
+                [pa.array(sig, pa.binary()), pa.array(pick, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["sig", "pick", "prefix"])
 
-    out = extended(rows.drop("_id", "_text"), "n_shingles long, sig binary, pick long, keys array<long>, prefix array<long>")
-    return rows.mapInArrow(work, out)
+    rows = docs.select(F.xxhash64("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    made = rows.mapInArrow(work, "sig binary, pick long, prefix array<long>")
+    return made.join(nodes, ["sig", "pick"]).select("node", "n", "component", "prefix")
 
 
 def descend(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
@@ -228,29 +251,32 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def star_pairs(nodes: DataFrame) -> DataFrame:
-    """Every node with the least node of each of its MinHash groups."""
+    """Every node with the least node of its MinHash groups, where ``SHARED`` groups agree on it."""
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("k", "key"))
     least = keyed.groupBy("k", "key").agg(F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("c")).where("c > 1")
     met = keyed.join(least.select("k", "key", "low"), ["k", "key"]).where("node > low.node and 5 * n >= 4 * low.n and 5 * low.n >= 4 * n")
-    return met.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+    return met.groupBy(F.col("low.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c")).where(
+        F.col("c") >= SHARED).select("a", "b")
 
 
-def branch_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share a prefix shingle and may still link.
+def branch_pairs(branches: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that share prefix shingles and may still link.
 
-    ``nodes`` has ``node``, ``n``, ``component``, ``prefix``. The pairs of a branch
-    are those whose sizes fit and whose remainders from the shared shingle on reach
-    the overlap; at the first shingle a pair shares, that holds for every pair that
-    links, so none is lost.
+    ``branches`` has ``node``, ``n``, ``component`` (null for the node itself) and
+    ``prefix``. Of the set whose prefix ends first in the global order, all members
+    shared with the other up to there are in both prefixes, and n - prefix more may
+    be shared; so the number of shared prefix shingles and the larger such rest bound
+    the overlap. Only pairs out of bounds are left out.
     """
-    postings = nodes.select(F.posexplode("prefix").alias("at", "shingle"), "node", "component", "n").select(
-        "shingle", "node", "component", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    postings = branches.select(F.explode("prefix").alias("shingle"), "node", "component", F.col("n").cast("int").alias("n"))
     sorted_rows = postings.repartition("shingle").sortWithinPartitions("shingle")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            node = batch.column(1)
+            columns = [c.to_numpy(zero_copy_only=False) for c in (
+                batch.column(0), node, pc.coalesce(batch.column(2), node), batch.column(3).cast(pa.int64()))]
             if not len(columns[0]):
                 continue
             if held and held[0][0][0] == columns[0][0] == columns[0][-1]:
@@ -263,43 +289,49 @@ def branch_pairs(nodes: DataFrame) -> DataFrame:
         if held:
             yield from _pairs_of([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return sorted_rows.mapInArrow(walk, "a long, b long").distinct()
+    met = sorted_rows.mapInArrow(walk, "a long, b long, c long, least long")
+    counted = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least"))
+    return counted.where("c >= least").select("a", "b")
 
 
-def _pairs_of(columns: list[np.ndarray], room: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _pairs_of(columns: list[np.ndarray], room: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Pairs of all runs of equal shingles, in batches of about ``room``."""
-    shingle, node, component, place = columns
-    edges = np.flatnonzero(np.diff(shingle)) + 1
-    starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(shingle)]])
+    shingle, node, component, size = columns
     if len(shingle) == 0:
         return
+    edges = np.flatnonzero(np.diff(shingle)) + 1
+    starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(shingle)]])
     mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-    out, size = [], 0
+    out, made = [], 0
     for start, end in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-        n, at = place[start:end] >> 32, place[start:end] & 0xFFFFFFFF
-        own, parts = node[start:end], component[start:end]
-        order = np.argsort(n, kind="stable")
-        n, at, own, parts = n[order], at[order], own[order], parts[order]
+        order = np.argsort(size[start:end], kind="stable") + start
+        n, own, parts = size[order], node[order], component[order]
         far = np.searchsorted(n, n * 5 // 4, side="right")  # partners that are not too long
         for i in range(len(n) - 1):
             j = np.arange(i + 1, far[i])
-            if len(j) == 0:
-                continue
-            rest = np.minimum(n[i] - at[i], n[j] - at[j])
-            j = j[(parts[j] != parts[i]) & (rest >= needed(n[i], n[j])) & (own[j] != own[i])]
+            j = j[parts[j] != parts[i]]
             if len(j):
-                out.append(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])]))
-                size += len(j)
-            if size >= room:
+                out.append((np.full(len(j), own[i]), own[j], np.full(len(j), n[i]), n[j]))
+                made += len(j)
+            if made >= room:
                 yield _batch(out)
-                out, size = [], 0
+                out, made = [], 0
     if out:
         yield _batch(out)
 
 
-def _batch(parts: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(parts, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _batch(parts: list[tuple]) -> pa.RecordBatch:
+    """Distinct pairs with their counts and the least count that may link."""
+    x, y, nx, ny = (np.concatenate(c) for c in zip(*parts, strict=True))
+    a, b = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((b, a))
+    a, b, nx, ny = a[order], b[order], nx[order], ny[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    count = np.diff(np.concatenate([first, [len(a)]]))
+    nx, ny = nx[first], ny[first]
+    rest = np.maximum(nx - prefix_length(nx), ny - prefix_length(ny))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a[first]), pa.array(b[first]), pa.array(count), pa.array(needed(nx, ny) - rest)], ["a", "b", "c", "least"])
 
 
 def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group: str | None = None) -> DataFrame:
@@ -317,16 +349,16 @@ def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     """
     prepare(docs.sparkSession)
     keep = [c for c in keep if c not in ("n_shingles", "component_id")]
-    rows = stage(describe(docs, keep if "doc_id" in keep else [*keep, "doc_id"], frequent_shingles(docs)), "described")
+    rows = stage(describe(docs, keep if "doc_id" in keep else [*keep, "doc_id"]), "described")
     nodes = rows.where("sig is not null").groupBy("sig").agg(
-        F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("pick").alias("pick"),
-        F.first("keys").alias("keys"), F.first("prefix").alias("prefix"))
+        F.min("doc_id").alias("least_id"), F.min(F.struct("pick", "n_shingles", "keys")).alias("one"))
+    nodes = nodes.select("sig", "least_id", "one.pick", F.col("one.n_shingles").alias("n"), "one.keys")
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     stars = stage(verified(docs, nodes, star_pairs(nodes)), "stars")
-    known = components(stars, "a", "b")
-    placed = nodes.select("node", "n", "prefix").join(known, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    links = stage(verified(docs, nodes, branch_pairs(placed)), "branches").unionByName(stars)
+    known = components(stars, "a", "b").where("component <> node")
+    placed = stage(nodes.select("node", "n", "sig", "pick").join(known, "node", "left"), "placed")
+    branches = prefixes(docs, placed, frequent_shingles(docs))
+    links = stage(verified(docs, nodes, branch_pairs(branches)), "branches").unionByName(stars)
     final = components(links, "a", "b")
     member = nodes.select("node", "sig", "least_id").join(final, "node", "left").select(
         "sig", "least_id", F.coalesce("component", "node").alias("component"))
