@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from originline.functions.ordered import exact_quantiles
-from originline.operators.delays import Rung, labels, ladder_label
+from originline.operators.delays import Ladder, labels, ladder_label
 from originline.operators.review import day_name
 from originline.params import WEEKDAYS, Params
 
@@ -81,15 +81,15 @@ SUMMARY = (
 )
 
 
-def legend(ladder: Sequence[Rung]) -> Column:
+def legend(ladder: Ladder) -> Column:
     """One line per bucket label with the minutes it covers; constant text."""
     lines = []
-    for name, r in zip(labels(ladder), ladder, strict=True):
-        low = two_places(F.lit(r.lower - 1))
-        if r.upper is None:
+    for name, (lower, upper) in zip(labels(ladder), ladder.spans(), strict=True):
+        low = two_places(F.lit(lower - 1))
+        if upper is None:
             lines.append(F.concat(F.lit(f"  {name} >= "), low, F.lit(" min")))
         else:
-            high = two_places(F.lit(r.upper - 1))
+            high = two_places(F.lit(upper - 1))
             lines.append(F.concat(F.lit(f"  {name} "), low, F.lit("-"), high, F.lit(" min")))
     return F.concat_ws("\n", *lines)
 
@@ -114,7 +114,7 @@ def render_events(events: Column) -> Column:
     return F.when(F.size(events) > 0, F.array_join(lines, "\n")).otherwise("none")
 
 
-def render_prompts(summary: DataFrame, ladder: Sequence[Rung], p: Params) -> DataFrame:
+def render_prompts(summary: DataFrame, ladder: Ladder, p: Params) -> DataFrame:
     origin = F.date_format(
         F.timestamp_micros("origin_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
     )
@@ -139,7 +139,7 @@ def answer_json(facility: Column, weekday: Column, hour: Column, bucket: Column)
     )
 
 
-def render_targets(samples: DataFrame, ladder: Sequence[Rung]) -> DataFrame:
+def render_targets(samples: DataFrame, ladder: Ladder) -> DataFrame:
     """The answer text of every sample; out-of-range labels are errors."""
     day, hour = F.col("target_usage_weekday"), F.col("target_usage_hour")
     bucket = ladder_label(F.col("notification_delay_minutes"), ladder)
@@ -256,11 +256,11 @@ def parse_answers(answers: DataFrame, names: Sequence[str], buckets: Sequence[st
     )
 
 
-def to_predictions(parsed: DataFrame, arm: str, ladder: Sequence[Rung]) -> DataFrame:
+def to_predictions(parsed: DataFrame, arm: str, ladder: Ladder) -> DataFrame:
     """Prediction columns of one arm; failed rows stay, as nulls."""
     names = labels(ladder)
     places = F.array(*map(F.lit, WEEKDAYS))
-    reps = F.array(*(F.lit(r.representative) for r in ladder))
+    reps = F.array(*map(F.lit, ladder.representatives))
     bucket = F.col("fields.notification_delay_bucket")
     at = F.array_position(F.array(*map(F.lit, names)), bucket) - 1
     delay = F.when(bucket.isNull(), F.lit(None).cast("double")).when(

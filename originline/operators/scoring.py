@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from originline.functions.ordered import exact_quantiles
 from originline.functions.scalar import ratio
 from originline.params import HEADS, Params
-from originline.session import width
 
 MODEL = ("track", "model", "split")
 MATCHES = tuple(f"match_{h}" for h in HEADS)
@@ -300,38 +302,11 @@ def compose(predictions: DataFrame, sources: DataFrame, models: Sequence[str]) -
 
 
 def paired_bootstrap(diffs: DataFrame, p: Params) -> DataFrame:
-    """Mean paired difference with a percentile interval, by exact index draws.
+    """Mean paired difference with a percentile interval, for any number of pairs.
 
-    ``diffs`` holds (sample_id, diff) for the fixed comparison set, whose size is
-    a setting, so its rows can be broadcast; the draws are spread over the cluster.
+    ``diffs`` holds (sample_id, diff), one row per pair.
     """
-    spark = diffs.sparkSession
-    count = F.count(F.lit(1))
-    size = diffs.agg(
-        F.when(count <= p.comparison_rows, count).otherwise(
-            F.raise_error(F.lit("more paired rows than the comparison set allows")).cast("long")
-        ).alias("n")
-    )
-    indexed = diffs.select(
-        (F.row_number().over(Window.orderBy("sample_id")) - 1).alias("i"), "diff"
-    )
-    draws = (
-        spark.range(p.resamples * p.comparison_rows)
-        .select(F.floor(F.col("id") / p.comparison_rows).alias("b"),
-                (F.col("id") % p.comparison_rows).alias("k"))
-        .withColumn("n", size.scalar())
-        .filter("k < n")
-    )
-    word = F.substring(F.md5(F.concat_ws("|", F.lit(str(p.seed)), "b", "k")), 1, 8)
-    picked = draws.select("b", (F.conv(word, 16, 10).cast("long") % F.col("n")).alias("i"))
-    means = picked.join(F.broadcast(indexed), "i").groupBy("b").agg(F.avg("diff").alias("m"))
-    tail = (1 - p.level) / 2
-    # As many values as resamples: a setting, not a property of the data.
-    band = means.agg(F.percentile("m", [tail, 1 - tail]).alias("q"))
-    one = diffs.agg(F.count(F.lit(1)).alias("rows"), F.avg("diff").alias("mean_difference"))
-    return one.withColumn("_q", band.scalar()).select(
-        "rows", "mean_difference", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper")
-    )
+    return bootstrap_mean(diffs, "sample_id", "diff", p).withColumnRenamed("mean", "mean_difference")
 
 
 def paired_differences(scored: DataFrame, base: str, trained: str, ids: DataFrame) -> DataFrame:
@@ -354,80 +329,66 @@ def paired_differences(scored: DataFrame, base: str, trained: str, ids: DataFram
     )
 
 
-# Cumulative probabilities of a Poisson count with mean one, as
-# 32-bit hexadecimal thresholds of a uniform word.
-def poisson_thresholds() -> list[str]:
-    total, term, out = 0.0, math.exp(-1.0), []
-    for k in range(12):
-        total += term
-        out.append(f"{min(math.ceil(total * 2**32), 2**32 - 1):08x}")
-        term /= k + 1
-    return out
+# Fixed value: the largest prime below 2^32.
+PRIME = 4_294_967_291
 
 
-WEIGHTS_PER_HASH = 4
+def poisson_limits(terms: int = 12) -> list[int]:
+    """Where a uniform number below 2^32 passes to the next Poisson(1) count."""
+    shares = np.cumsum([1.0 / math.factorial(k) for k in range(terms)]) * math.exp(-1.0)
+    return [math.ceil(x * 2**32) for x in shares.tolist()]
 
 
-def bootstrap_weights(units: DataFrame, unit: str, p: Params) -> DataFrame:
-    """Poisson(1) weights w0..w3 of every unit for each group of four resamples.
+def _resampled(rows: DataFrame, row_id: str, category: str | None, values: dict[str, Column], p: Params) -> DataFrame:
+    """Weighted sums of ``values`` for every resample (and category).
 
-    A resample of n rows with replacement gives each row a count that is Poisson
-    for all but tiny n, and independent counts need no coordination between rows.
+    A resample with replacement gives each row a count that is Poisson with mean 1.
+    The count of a row in resample b comes from two hashes of the row:
+    (h1 + b * h2) modulo a prime is uniform and independent between rows, and
+    pairwise independent between resamples. All resamples of a block of rows are
+    one matrix product inside the task; a task sends one row per resample and
+    category, whatever the number of its rows.
     """
-    groups = -(-p.resamples // WEIGHTS_PER_HASH)
-    # Few rows become many draws: spread them before they are expanded.
-    even = units.repartition(width(units.sparkSession))
-    spread = even.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    word = F.md5(F.concat_ws("|", F.lit(str(p.seed)), F.col("g"), F.col(unit)))
-    parts = spread.select(*units.columns, "g", word.alias("_h")).select(
-        *units.columns, "g",
-        *(F.substring("_h", 1 + 8 * j, 8).alias(f"_u{j}") for j in range(WEIGHTS_PER_HASH)),
-    )
-    limits = poisson_thresholds()
-
-    def weight(j: int) -> Column:
-        # Equal-length hexadecimal words compare like the numbers they spell.
-        chain = F.when(F.col(f"_u{j}") < limits[0], 0)
-        for k, t in enumerate(limits[1:], start=1):
-            chain = chain.when(F.col(f"_u{j}") < t, k)
-        return chain.otherwise(len(limits))
-
-    return parts.select(
-        *units.columns, "g", *(weight(j).alias(f"w{j}") for j in range(WEIGHTS_PER_HASH))
-    )
-
-
-def bootstrap_units(rows: DataFrame, row_id: str, limit: int = 20_000, cells: int = 4096) -> Column:
-    """What is resampled: rows, or for a large table random cells of rows.
-
-    Beyond ``limit`` rows each of 4,096 hash cells is one resampling unit, so the
-    draws stop growing with the table while every row still counts.
-    """
-    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    cell = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10).cast(
-        "long"
-    ) % cells
-    return F.when(n <= limit, F.col(row_id).cast("string")).otherwise(cell.cast("string"))
+    # Its own salt: seeded draws order rows by an MD5 of seed and id, too.
+    key = F.md5(F.concat_ws("|", F.lit(f"{p.seed}|bootstrap"), F.col(row_id).cast("string")))
+    hashed = rows.select(
+        *(F.conv(F.substring(key, at, 8), 16, 10).cast("long").alias(name) for name, at in (("h1", 1), ("h2", 9))),
+        (F.lit("") if category is None else F.col(category)).alias("category"),
+        *(v.cast("double").alias(k) for k, v in values.items()),
+    )
+    names, resamples, limits = list(values), p.resamples, np.array(poisson_limits(), np.uint64)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+        b = np.arange(resamples, dtype=np.uint64)
+        for batch in batches:
+            frame = batch.to_pandas()
+            for name, part in frame.groupby("category", dropna=False, sort=False):
+                name = None if pd.isna(name) else name
+                total = sums.setdefault(name, np.zeros((len(names), resamples)))
+                for low in range(0, len(part), 512):
+                    block = part.iloc[low : low + 512]
+                    h1, h2 = (block[c].to_numpy(np.uint64)[:, None] for c in ("h1", "h2"))
+                    # h2 < 2^32 and b < 2^31: the product fits 64 bits.
+                    counts = np.searchsorted(limits, (h1 + b * h2) % np.uint64(PRIME), side="right")
+                    total += np.nan_to_num(block[names].to_numpy(float)).T @ counts.astype(float)
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * resamples, pa.string()), pa.array(b.astype(np.int64)), *map(pa.array, total)],
+                ["category", "b", *names],
+            )
+
+    schema = "category string, b bigint, " + ", ".join(f"{k} double" for k in names)
+    return hashed.mapInArrow(draw, schema).groupBy("category", "b").agg(*(F.sum(k).alias(k) for k in names))
 
 
 def bootstrap_mean(rows: DataFrame, row_id: str, value: str, p: Params) -> DataFrame:
-    """Percentile interval of a mean from Poisson resampling."""
-    units = rows.groupBy(bootstrap_units(rows, row_id).alias("_u")).agg(
-        F.sum(value).alias("_x"), F.count(value).alias("_c")
-    )
-    drawn = bootstrap_weights(units, "_u", p).groupBy("g").agg(*(
-        agg
-        for j in range(WEIGHTS_PER_HASH)
-        for agg in (
-            F.sum(F.col(f"w{j}") * F.col("_x")).alias(f"x{j}"),
-            F.sum(F.col(f"w{j}") * F.col("_c")).alias(f"c{j}"),
-        )
-    ))
-    means = drawn.select(F.explode(F.array(*(
-        ratio(F.col(f"x{j}"), F.col(f"c{j}")) for j in range(WEIGHTS_PER_HASH)
-    ))).alias("m"))
+    """Percentile interval of a mean from Poisson resampling of the rows."""
+    x = F.col(value)
+    drawn = _resampled(rows, row_id, None, {"x": x, "c": x.isNotNull()}, p)
     tail = (1 - p.level) / 2
-    band = means.agg(F.percentile("m", [tail, 1 - tail]).alias("q"))
+    # As many values as resamples: a setting, not a property of the data.
+    band = drawn.agg(F.percentile(ratio(F.col("x"), F.col("c")), [tail, 1 - tail]).alias("q"))
     one = rows.agg(F.count(value).alias("rows"), F.avg(value).alias("mean"))
     return one.withColumn("_q", band.scalar()).select(
         "rows", "mean", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper")
@@ -436,18 +397,10 @@ def bootstrap_mean(rows: DataFrame, row_id: str, value: str, p: Params) -> DataF
 
 def bootstrap_shares(rows: DataFrame, row_id: str, category: str, p: Params) -> DataFrame:
     """Percentile interval of each category's share, from one set of weights."""
-    units = rows.groupBy(bootstrap_units(rows, row_id).alias("_u"), category).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    drawn = bootstrap_weights(units, "_u", p).groupBy("g", category).agg(*(
-        F.sum(F.col(f"w{j}") * F.col("_c")).alias(f"c{j}") for j in range(WEIGHTS_PER_HASH)
-    ))
-    total = Window.partitionBy("g")
-    ratios = drawn.select(category, F.array(*(
-        ratio(F.col(f"c{j}"), F.sum(f"c{j}").over(total)) for j in range(WEIGHTS_PER_HASH)
-    )).alias("_m"))
-    shares = ratios.select(category, F.explode("_m").alias("m"))
+    drawn = _resampled(rows, row_id, category, {"c": F.lit(1)}, p)
+    share = ratio(F.col("c"), F.sum("c").over(Window.partitionBy("b")))
     tail = (1 - p.level) / 2
+    shares = drawn.select(F.col("category").alias(category), share.alias("m"))
     return shares.groupBy(category).agg(
         F.percentile("m", [tail, 1 - tail]).alias("q")
     ).select(category, F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))

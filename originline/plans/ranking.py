@@ -160,36 +160,47 @@ def delay_bucket_fixed(ws: Workspace) -> DataFrame:
     )
 
 
-_LADDER = D.build_ladder(P)
-_LABELS = "[" + ", ".join(f"'{x}'" for x in D.labels(_LADDER)) + "]"
-
-
-def _rung(delay: str) -> str:
-    return "(" + " + ".join(
-        f"({delay} + 1 >= {r.lower!r}::DOUBLE)::INT" for r in _LADDER[1:]) + ")"
-
-
-@job("delay_ladder_assign", query(f"""
-SELECT sample_id, {_LABELS}[{_rung('notification_delay_minutes')} + 1] AS label FROM smp"""))
+# The cuts again, from the settings alone: n + 1 points from the floor to the ceiling.
+_FLOOR, _CEILING = f"({P.bucket_floor_minutes} + 1)::DOUBLE", f"({P.bucket_ceiling_days} * 1440 + 1)::DOUBLE"
+fragment("cuts", f"""
+SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 0 THEN {_FLOOR} WHEN k = steps THEN {_CEILING}
+  ELSE exp(ln({_FLOOR}) + k * (ln({_CEILING}) - ln({_FLOOR})) / steps) END AS cut
+FROM (SELECT CAST(ceil(ln({_CEILING} / {_FLOOR}) / ln({P.bucket_ratio}::DOUBLE)) AS INTEGER) AS steps), range(steps + 1) r(k)""")
+fragment("fine", """
+SELECT i, lo, hi, CASE WHEN hi IS NULL THEN 'OVER_' || CAST(round_even(lo - 1, 0) AS BIGINT) || 'M'
+    WHEN i = 0 THEN 'UNDER_' || CAST(round_even(hi - 1, 0) AS BIGINT) || 'M'
+    ELSE 'M' || CAST(round_even(lo - 1, 0) AS BIGINT) || '_' || CAST(round_even(hi - 1, 0) AS BIGINT) END AS label
+FROM (SELECT k + 1 AS i, cut AS lo, lead(cut) OVER (ORDER BY k) AS hi FROM cuts
+  UNION ALL SELECT 0, 1.0::DOUBLE, min(cut) FROM cuts)""")
+
+
+@job("delay_ladder_assign", query("""
+SELECT sample_id, label FROM smp ASOF JOIN fine ON notification_delay_minutes + 1 >= lo"""))
 def delay_ladder_assign(ws: Workspace) -> DataFrame:
-    label = D.ladder_label(F.col("notification_delay_minutes"), D.build_ladder(ws.params))
+    label = D.ladder_label(F.col("notification_delay_minutes"), D.fine_ladder(ws.params))
     return ws.samples.select("sample_id", label.alias("label"))
 
 
-# The merge as a recursive statement over the list of counted rungs.
-_FINE = ", ".join(
-    f"({i}, {r.lower!r}::DOUBLE, {'NULL::DOUBLE' if r.upper is None else repr(r.upper) + '::DOUBLE'})"
-    for i, r in enumerate(_LADDER))
-fragment("rungs", f"""
-SELECT i, lo, hi, coalesce(c, 0) AS c FROM (VALUES {_FINE}) f(i, lo, hi) LEFT JOIN (
-  SELECT {_rung('notification_delay_minutes')} AS i, count(*) AS c FROM tr GROUP BY 1) USING (i)""")
+# The merge as a recursive statement over the list of counted buckets.
+fragment("rungs", """
+SELECT fine.i, lo, hi, coalesce(c, 0) AS c FROM fine LEFT JOIN (
+  SELECT i, count(*) AS c FROM tr ASOF JOIN fine ON notification_delay_minutes + 1 >= lo GROUP BY 1) USING (i)""")
 fragment("merging", f"""
-SELECT 0 AS step, list({{'lo': lo, 'hi': hi, 'c': c}} ORDER BY i) AS lad FROM rungs
+SELECT 0 AS step, list({{'lo': lo, 'hi': hi, 'c': c}} ORDER BY i) AS lad,
+  CAST(NULL AS STRUCT(lo DOUBLE, hi DOUBLE, c BIGINT)[]) AS pair FROM rungs
 UNION ALL SELECT step + 1, lad[1:spot - 1] || [{{'lo': lad[spot].lo, 'hi': lad[spot + 1].hi,
-    'c': lad[spot].c + lad[spot + 1].c}}] || lad[spot + 2:] FROM (
+    'c': lad[spot].c + lad[spot + 1].c}}] || lad[spot + 2:], lad[spot:spot + 1] FROM (
   SELECT step, lad, greatest(list_position(list_transform(lad, lambda x: x.c < {P.bucket_min_rows}), true) - 1, 1) AS spot
   FROM merging WHERE len(lad) > 1
     AND len(list_filter(lad, lambda x: x.c < {P.bucket_min_rows})) > 0)""")
+
+
+def _named(lo: str, hi: str) -> str:
+    return (f"CASE WHEN {hi} IS NULL THEN 'OVER_' || CAST(round_even({lo} - 1, 0) AS BIGINT) || 'M' "
+            f"WHEN {lo} = 1 THEN 'UNDER_' || CAST(round_even({hi} - 1, 0) AS BIGINT) || 'M' "
+            f"ELSE 'M' || CAST(round_even({lo} - 1, 0) AS BIGINT) || '_' || CAST(round_even({hi} - 1, 0) AS BIGINT) END")
+
+
 fragment("ladder_rows", f"""
 SELECT CAST(row_number() OVER (ORDER BY lo) - 1 AS INTEGER) AS position, CASE
     WHEN hi IS NULL THEN 'OVER_' || CAST(round_even(lo - 1, 0) AS BIGINT) || 'M'
@@ -211,12 +222,24 @@ def recursive(body: str) -> str:
     return query(body).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@job("delay_ladder_merge", recursive(
-    "SELECT position, label, round(lower, 6) AS lower, round(upper, 6) AS upper, CAST(train_rows AS BIGINT) AS train_rows FROM ladder_rows"))
+@job("delay_ladder_merge", recursive(f"""
+SELECT 'bucket' AS kind, position, label, CAST(NULL AS VARCHAR) AS upper_label, CAST(NULL AS VARCHAR) AS into_label,
+  round(lower, 6) AS lower, round(upper, 6) AS upper, CAST(train_rows AS BIGINT) AS train_rows, CAST(NULL AS BIGINT) AS upper_rows
+FROM ladder_rows
+UNION ALL SELECT 'merge', step - 1, {_named('pair[1].lo', 'pair[1].hi')}, {_named('pair[2].lo', 'pair[2].hi')},
+  {_named('pair[1].lo', 'pair[2].hi')}, NULL, NULL, pair[1].c, pair[2].c FROM merging WHERE step > 0"""))
 def delay_ladder_merge(ws: Workspace) -> DataFrame:
-    p = ws.params
-    merged = D.merge_sparse(D.counted(ws.train, D.build_ladder(p)), p.bucket_min_rows)
-    return rounded(D.ladder_frame(ws.spark, merged).drop("representative", "source"))
+    """The merged buckets, and one row per merge in order."""
+    ladder, log = ws.merged_ladder
+    none = F.lit(None)
+    buckets = D.ladder_frame(ws.spark, ladder).select(
+        F.lit("bucket").alias("kind"), "position", "label", none.cast("string").alias("upper_label"),
+        none.cast("string").alias("into_label"), "lower", "upper", "train_rows", none.cast("bigint").alias("upper_rows"))
+    merges = D.merge_frame(ws.spark, log).select(
+        F.lit("merge").alias("kind"), F.col("step").alias("position"), F.col("lower_label").alias("label"), "upper_label",
+        "into_label", none.cast("double").alias("lower"), none.cast("double").alias("upper"),
+        F.col("lower_rows").alias("train_rows"), "upper_rows")
+    return rounded(buckets.unionByName(merges))
 
 
 @job("delay_ladder_representatives", recursive("""

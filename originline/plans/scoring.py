@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import statistics
 
 from pyspark.sql import DataFrame
@@ -395,18 +396,27 @@ def compose_predictions(ws: Workspace) -> DataFrame:
     return rounded(S.compose(ws.predictions, head_sources(ws), ORDER))
 
 
+def poisson_count(row: str, b: str) -> str:
+    """A row's Poisson(1) count in a resample, from the definition of its distribution."""
+    def word(at: int) -> str:
+        return f"('0x' || substr(md5('{P.seed}|bootstrap|' || {row}), {at}, 8))::UBIGINT"
+
+    terms = [f"1 / {math.factorial(k)}::DOUBLE" for k in range(12)]
+    u = f"(({word(1)} + {b}::UBIGINT * {word(9)}) % {S.PRIME})"
+    return "(" + " + ".join(
+        f"({u} >= ceil(exp(-1::DOUBLE) * ({' + '.join(terms[:k + 1])}) * 4294967296))::INT" for k in range(12)) + ")"
+
+
 @job("paired_bootstrap", query(f"""
 , diffs AS (SELECT sample_id, (max(score) FILTER (model = 'transition') - max(score) FILTER (model = 'habit'))
-    / 4.0::DOUBLE AS diff, row_number() OVER (ORDER BY sample_id) - 1 AS i
+    / 4.0::DOUBLE AS diff
   FROM sc WHERE sample_id IN (SELECT sample_id FROM cmp_ids) GROUP BY 1),
-size AS (SELECT count(*) AS n FROM diffs),
-means AS (SELECT b, avg(diff) AS m FROM (
-    SELECT b, ('0x' || substr(md5('{P.seed}|' || b || '|' || k), 1, 8))::BIGINT % n AS i
-    FROM range({P.resamples}) x(b), range({P.comparison_rows}) y(k), size WHERE k < n)
-  JOIN diffs USING (i) GROUP BY 1)
-SELECT (SELECT n FROM size) AS "rows", round((SELECT avg(diff) FROM diffs), 6) AS mean_difference,
+means AS (SELECT sum(w * diff) / sum(w) AS m FROM (
+    SELECT b, diff, {{weight}} AS w FROM diffs, range({P.resamples}) r(b)) GROUP BY b)
+SELECT (SELECT count(*) FROM diffs) AS "rows", round((SELECT avg(diff) FROM diffs), 6) AS mean_difference,
   round(quantile_cont(m, {(1 - P.level) / 2!r}::DOUBLE), 6) AS lower,
-  round(quantile_cont(m, {1 - (1 - P.level) / 2!r}::DOUBLE), 6) AS upper FROM means""").replace("\n\n, diffs", ",\ndiffs"))
+  round(quantile_cont(m, {1 - (1 - P.level) / 2!r}::DOUBLE), 6) AS upper FROM means""").replace(
+    "\n\n, diffs", ",\ndiffs").replace("{weight}", poisson_count("sample_id", "b")))
 def paired_bootstrap(ws: Workspace) -> DataFrame:
     diffs = S.paired_differences(ws.scored, "habit", "transition", ws.comparison)
     return rounded(S.paired_bootstrap(diffs, ws.params))
@@ -528,25 +538,15 @@ def lead_quantiles(ws: Workspace) -> DataFrame:
     return rounded(Q.lead_quantiles(lead_hours(ws)))
 
 
-_GROUPS = -(-P.resamples // S.WEIGHTS_PER_HASH)
-_LIMITS = S.poisson_thresholds()
-
-
-def _weight(j: int) -> str:
-    part = f"substr(hsh, {1 + 8 * j}, 8)"
-    return "(" + " + ".join(f"({part} >= '{t}')::INT" for t in _LIMITS) + ")"
-
-
 fragment("bw", f"""
-SELECT booking_id, facility_id, lh, g, {', '.join(f'{_weight(j)} AS w{j}' for j in range(4))}
-FROM (SELECT *, md5('{P.seed}|' || g || '|' || booking_id) AS hsh FROM ld, range({_GROUPS}) r(g))""")
+SELECT booking_id, facility_id, lh, b, {poisson_count('booking_id', 'b')} AS w FROM ld, range({P.resamples}) r(b)""")
 _TAILS = (repr((1 - P.level) / 2), repr(1 - (1 - P.level) / 2))
 
 
 @job("bootstrap_mean_ci", query(f"""
 SELECT (SELECT count(*) FROM ld) AS "rows", round((SELECT avg(lh) FROM ld), 6) AS mean,
   round(quantile_cont(m, {_TAILS[0]}::DOUBLE), 6) AS lower, round(quantile_cont(m, {_TAILS[1]}::DOUBLE), 6) AS upper
-FROM (SELECT unnest([{', '.join(f'sum(w{j} * lh) / sum(w{j})' for j in range(4))}]) AS m FROM bw GROUP BY g)"""))
+FROM (SELECT sum(w * lh) / sum(w) AS m FROM bw GROUP BY b)"""))
 def bootstrap_mean_ci(ws: Workspace) -> DataFrame:
     return rounded(S.bootstrap_mean(lead_hours(ws), "booking_id", "lead_hours", ws.params))
 
@@ -558,9 +558,8 @@ FROM ({values((f"'{f.name}'", f"{f.popularity}::DOUBLE") for f in P.facilities)}
 LEFT JOIN (SELECT facility_id, count(*) AS n FROM bk GROUP BY 1) USING (facility_id)
 LEFT JOIN (SELECT facility_id, quantile_cont(m, {_TAILS[0]}::DOUBLE) AS lower,
     quantile_cont(m, {_TAILS[1]}::DOUBLE) AS upper FROM (
-  SELECT facility_id, unnest([{', '.join(f'c{j} / t{j}' for j in range(4))}]) AS m FROM (
-    SELECT *, {', '.join(f'sum(c{j}) OVER (PARTITION BY g) AS t{j}' for j in range(4))} FROM (
-      SELECT g, facility_id, {', '.join(f'sum(w{j}) AS c{j}' for j in range(4))} FROM bw GROUP BY 1, 2)))
+  SELECT facility_id, c / sum(c) OVER (PARTITION BY b) AS m FROM (
+    SELECT b, facility_id, sum(w) AS c FROM bw GROUP BY 1, 2))
   GROUP BY 1) USING (facility_id)"""
 
 

@@ -127,10 +127,13 @@ class Workspace:
         return self.scored.filter("split = 'test'")
 
     @cached_property
-    def ladder(self) -> list[D.Rung]:
-        p = self.params
-        merged = D.merge_sparse(D.counted(self.train, D.build_ladder(p)), p.bucket_min_rows)
-        return D.resolve(self.train, merged, p)
+    def merged_ladder(self) -> tuple[D.Ladder, list[D.Merge]]:
+        counted = D.counted(self.train, D.fine_ladder(self.params))
+        return D.merged(counted, self.params.bucket_min_rows)
+
+    @cached_property
+    def ladder(self) -> D.Ladder:
+        return D.resolved(self.train, self.merged_ladder[0], self.params)
 
     @cached_property
     def delay_mode(self) -> DataFrame:

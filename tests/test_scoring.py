@@ -1,6 +1,7 @@
 """Scoring, delays, answers and tables on hand fixtures."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -78,17 +79,34 @@ def test_delay_errors(spark):
 def test_fixed_buckets_and_ladder():
     edges = bucket_edges(THREE)
     assert edges[0] == 60 and edges[-1] == 144_000 and edges[1] == 90
-    ladder = D.build_ladder(THREE)
+    ladder = D.fine_ladder(THREE)
     names = D.labels(ladder)
     assert names[0] == "UNDER_60M" and names[-1] == "OVER_144000M"
-    assert all(r.upper / r.lower <= 1.5 + 1e-9 for r in ladder[1:-1])
+    assert all(high / low <= 1.5 + 1e-9 for low, high in ladder.spans()[1:-1])
 
 
-def test_sparse_rungs_merge_downwards_and_the_first_upwards():
-    rungs = [D.Rung(1, 61, 5), D.Rung(61, 91, 300), D.Rung(91, 120, 10), D.Rung(120, None, 250)]
-    merged = D.merge_sparse(rungs, 200)
-    assert [(r.lower, r.upper, r.rows) for r in merged] == [(1, 120, 315), (120, None, 250)]
+def test_sparse_buckets_merge_downwards_and_the_first_upwards():
+    ladder = D.Ladder((61.0, 91.0, 120.0), (5, 300, 10, 250))
+    merged, log = D.merged(ladder, 200)
+    assert (merged.cuts, merged.rows) == ((120.0,), (315, 250))
     assert D.labels(merged) == ["UNDER_119M", "OVER_119M"]
+    assert [(m.lower, m.upper, m.into, m.lower_rows, m.upper_rows) for m in log] == [
+        ("UNDER_60M", "M60_90", "UNDER_90M", 5, 300), ("UNDER_90M", "M90_119", "UNDER_119M", 305, 10)]
+
+
+def test_merging_equals_repeated_merging_of_the_first_sparse_bucket():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        cuts = tuple(float(2 + 3 * k) for k in range(n))
+        counts = tuple(rng.randrange(0, 30) for _ in range(n + 1))
+        spans = [[low, high, c] for (low, high), c in zip(D.Ladder(cuts).spans(), counts, strict=True)]
+        while len(spans) > 1 and any(s[2] < 12 for s in spans):
+            at = max(next(i for i, s in enumerate(spans) if s[2] < 12) - 1, 0)
+            spans[at : at + 2] = [[spans[at][0], spans[at + 1][1], spans[at][2] + spans[at + 1][2]]]
+        got, log = D.merged(D.Ladder(cuts, counts), 12)
+        assert [[*s, c] for s, c in zip(got.spans(), got.rows, strict=True)] == spans
+        assert len(log) == n + 1 - len(spans)
 
 
 def test_window_mode_finds_the_fullest_window(spark):
