@@ -106,7 +106,7 @@ def build_index(ids: list, texts: list[str | None], radius: int = 40) -> Index:
         for p in place.tolist():
             held[p].add(int(lengths[k]))
     # More blocks than half the radius: some block then differs in one bit at most.
-    edges = np.linspace(0, BITS, radius // 2 + 2).astype(int).tolist()
+    edges = np.linspace(0, BITS, max(radius // 2 + 1, 4) + 1).astype(int).tolist()
     lookup: dict[int, list] = {}
     for length in np.unique(lengths).tolist():
         items = np.flatnonzero(lengths == length)
@@ -167,7 +167,8 @@ def matches(index: Index, words: np.ndarray, least: float) -> list[tuple[int, fl
                 for window, item in zip(*(x.tolist() for x in index.near(prints, length)), strict=True):
                     start = int(part[window])
                     inside = np.unique(shingles[start : start + per], return_index=True)[1] + start
-                    shared = index.idf[np.intersect1d(place[inside], index.sets[item], assume_unique=True)].sum()
+                    held = place[inside]
+                    shared = index.idf[np.intersect1d(held[held >= 0], index.sets[item], assume_unique=True)].sum()
                     value = float(shared / (weight[inside].sum() + index.weight[item] - shared))
                     if value >= least - 1e-12 and value > best.get(item, (0.0, 0))[0]:
                         best[item] = (value, start)
