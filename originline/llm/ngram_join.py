@@ -4,17 +4,18 @@ A document is the set of its five-word shingles. All sets are sorted in one glob
 order: rare shingles before frequent ones, then by hash. Two sets that link share a
 shingle in their prefixes, the first |A| - ceil(0.8 |A|) + 1 members; so the root
 branches of a prefix tree over all sets, one for each prefix shingle, hold all
-candidate pairs. The branches are spread over the cluster, and a pair is counted once
-for every branch it meets in; it stays a candidate only if that partial overlap and
-what remains of either set behind its prefix can still reach the overlap. The
-candidates of a set are then stored as a trie and the set is carried down it: partial overlaps are shared by all
-candidates below a node, and a subtree is left as soon as what remains of either
+candidate pairs. The branches are spread over the cluster, and a meeting is counted
+once for every branch it happens in; it stays a candidate only if that partial overlap
+and what remains of either set behind its prefix can still reach the overlap. The
+sets that others have met are then stored as tries and the others are carried down them: partial overlaps are shared by all
+sets below a node, and a subtree is left as soon as what remains of either
 side cannot reach the overlap any more.
 
 Large groups of near copies would make a branch quadratic. They are joined first:
 every set is compared with the least set of MinHash groups that they share, which is
-linear. Later only pairs of different components are looked at, which loses no
-component: a pair inside one cannot change it. Equal sets are one node throughout.
+linear. Later only sets of different components are looked at, and a set meets a
+component, not each of its members: one link ties them, and a link inside a component
+cannot change it. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from originline.llm.common import extended, mix, prepare, shingle_hashes, slices, text_bytes, word_hashes
@@ -89,12 +90,6 @@ def _signature(members: np.ndarray) -> bytes:
     return np.array(sums, np.uint64).tobytes()
 
 
-def _pick(signature: bytes, row_hash: int) -> int:
-    """A hash of a row: of its set and the hash of its id."""
-    own = np.frombuffer(signature, np.uint64)[:1] ^ mix(np.array([row_hash], np.int64).view(np.uint64))
-    return int(mix(own).view(np.int64)[0])
-
-
 _MIN_KEYS = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
 
 
@@ -117,9 +112,20 @@ def frequent_shingles(docs: DataFrame) -> Bits:
     return bitmap(stage(counted.where(F.col("n") >= SEEN).select("shingle"), "frequent"), "shingle")
 
 
+def _row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
+
+
+def _picked(batch: pa.RecordBatch, bits: Bits) -> pa.RecordBatch:
+    """The rows of (row hash, text) whose hash is in the bitmap."""
+    if batch.num_rows == 0:
+        return batch
+    return batch.filter(pa.array(bits.has(batch.column(0).to_numpy().view(np.uint64))))
+
+
 def describe(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and, per row: set size ``n_shingles``, signature, row hash and MinHash keys."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], _row_hash().alias("_id"), F.col("text").cast("string").alias("_text"))
     names = [*keep, "n_shingles", "sig", "pick", "keys"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +136,7 @@ def describe(docs: DataFrame, keep: list[str]) -> DataFrame:
                 size.append(len(members))
                 own = _signature(members) if len(members) else None
                 sig.append(own)
-                pick.append(None if own is None else _pick(own, ids[row]))
+                pick.append(None if own is None else ids[row])
                 keys.append(None if own is None else [int(mix(members ^ k).min().view(np.int64)) for k in _MIN_KEYS])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
@@ -140,43 +146,45 @@ def describe(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, nodes: DataFrame, frequent: Bits) -> DataFrame:
-    """``node``, ``n``, ``component`` and ``prefix``, in the global order, of every row of ``nodes``.
+    """The rows of ``nodes`` with ``prefix``, the leading shingles in the global order.
 
-    ``nodes`` has ``sig``, ``pick`` too: the row of ``docs`` whose text is read for a node.
+    ``sig`` and ``pick`` name the row of ``docs`` whose text is read for a node.
     """
     shared = docs.sparkSession.sparkContext.broadcast((frequent, bitmap(nodes, "pick")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, bits = shared.value
         for batch in batches:
+            batch = _picked(batch, bits)
             ids = batch.column(0).to_pylist()
             sig, pick, prefix = [], [], []
             for row, members in _sets(batch.column(1)):
-                if len(members) == 0:
-                    continue
-                own = _signature(members)
-                mine = _pick(own, ids[row])
-                if bits.has(np.array([mine], np.int64).view(np.uint64))[0]:
+                if len(members):
                     late = frequent.has(members)
-                    sig.append(own)
-                    pick.append(mine)
+                    sig.append(_signature(members))
+                    pick.append(ids[row])
                     prefix.append(np.concatenate([members[~late], members[late]])[: prefix_length(len(members))].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sig, pa.binary()), pa.array(pick, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["sig", "pick", "prefix"])
 
-    rows = docs.select(F.xxhash64("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(_row_hash().alias("_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(work, "sig binary, pick long, prefix array<long>")
-    return made.join(nodes, ["sig", "pick"]).select("node", "n", "component", "prefix")
+    return made.join(nodes, ["sig", "pick"]).drop("sig", "pick")
+
+
+def lexicographic(members: list[np.ndarray]) -> list[int]:
+    return sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
 
 
-def descend(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
-    """Which of the sets in a trie link with ``probe``; all are sorted in ascending order.
+def descend(probe: np.ndarray, members: list[np.ndarray], order: list[int], first: bool = False) -> list[int]:
+    """Which of the sets in a trie link with ``probe``, or one of them if ``first``.
+
+    Sets are sorted in ascending order; ``order`` is their lexicographic order.
 
     The trie is walked depth first, its sets in lexicographic order: the path shared
     with the set before is kept with its partial overlaps. On the way down, a set is
     left as soon as its overlap so far and the shorter of both remainders fall short.
     """
-    order = sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
     linked: list[int] = []
     path = np.zeros(0, np.uint64)
     overlap = np.zeros(1, np.int64)  # after each member of the path
@@ -200,75 +208,92 @@ def descend(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
         path = own[:depth]
         if depth == len(own) and overlap[depth] >= least:
             linked.append(i)
+            if first:
+                break
     return linked
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link.
+BLOCK, BLOCK_MEMBERS = 64, 100_000  # sets, and shingles in them, of one trie
+
 
-    Sets are made again from the texts, only for nodes in a pair. The partners of a
-    node are cut into blocks of 64 sets or 100,000 members at most, each a trie.
+def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Links (a, b) between probes and members: one at least wherever a probe links with a group's block.
+
+    ``members`` has (group, node) and ``meetings`` (group, node): sets that may link
+    with a member of the group. Members are cut into tries of bounded size, probes
+    into blocks, and each trie meets each block of its group's probes. Sets are
+    made again from the texts, of the nodes in question only.
     """
-    pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    meetings = stage(meetings, "meetings")
+    members = stage(members.join(meetings.select("group").distinct(), "group"), "members")
+    wanted = members.select("node").unionByName(meetings.select("node")).distinct()
     wanted = stage(nodes.select("node", "sig", "pick", "n").join(wanted, "node"), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "pick"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            sig, sets = [], []
-            for row, members in _sets(batch.column(1)):
-                if len(members):
-                    own = _signature(members)
-                    if bits.has(np.array([_pick(own, ids[row])], np.int64).view(np.uint64))[0]:
-                        sig.append(own)
-                        sets.append(members.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], ["sig", "members"])
-
-    rows = docs.select(F.xxhash64("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(emit, "sig binary, members binary")
-    sets = stage(wanted.select("node", "sig").join(made, "sig").select("node", "members").dropDuplicates(["node"]), "sets")
-    size = nodes.select(F.col("node").alias("b"), F.col("n").alias("size"))
-    load = pairs.join(size, "b").groupBy("a").agg(F.count("*").alias("k"), F.sum("size").alias("size"))
-    blocks = load.select("a", F.greatest(F.ceil(F.col("k") / 64), F.ceil(F.col("size") / 100_000)).alias("blocks"))
-    dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
-    partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "members")
-    probes = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select(
-        "a", "block", F.lit(None).cast("long").alias("b"), "members")
+            found = [m for _, m in _sets(_picked(batch, bits).column(1)) if len(m)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_signature(m) for m in found], pa.binary()), pa.array([m.tobytes() for m in found], pa.binary())],
+                ["sig", "members"])
+
+    rows = docs.select(_row_hash().alias("_id"), F.col("text").cast("string").alias("text"))
+    made = rows.mapInArrow(emit, "sig binary, members binary").dropDuplicates(["sig"])
+    sets = stage(wanted.select("node", "sig", "n").join(made, "sig").select("node", "n", "members"), "sets")
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        load = side.join(sets.select("node", "n"), "node").groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+        return load.select("group", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("size") / BLOCK_MEMBERS)).alias(name))
+
+    counts = stage(blocks(members, "mb").join(blocks(meetings, "pb"), "group"), "blocks")
+
+    def dealt(side: DataFrame, own: str, own_n: str, other: str, other_n: str, probe: bool) -> DataFrame:
+        at = side.join(counts, "group").select(
+            "group", "node", F.pmod(F.xxhash64("node"), F.col(own_n)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_n) - 1)).alias(other))
+        return at.join(sets.select("node", "members"), "node").select("group", "m", "p", "node", F.lit(probe).alias("probe"), "members")
+
+    both = dealt(members, "m", "mb", "p", "pb", False).unionByName(dealt(meetings, "p", "pb", "m", "mb", True))
 
     def check(table: pa.Table) -> pa.Table:
-        b = table["b"].to_pylist()
+        node, probe = table["node"].to_numpy(), table["probe"].to_numpy()
         sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table["members"]]
-        probe = sets[b.index(None)]
-        other = [i for i, x in enumerate(b) if x is not None]
-        linked = descend(probe, [sets[i] for i in other])
-        a = table["a"][0].as_py()
-        return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array([b[other[i]] for i in linked], pa.int64())})
+        stored = np.flatnonzero(~probe).tolist()
+        trie = [sets[i] for i in stored]
+        order = lexicographic(trie)
+        a, b = [], []
+        for i in np.flatnonzero(probe).tolist():
+            for k in descend(sets[i], trie, order, first=True):
+                a.append(node[stored[k]])
+                b.append(node[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return partners.unionByName(probes).groupBy("a", "block").applyInArrow(check, "a long, b long")
+    return both.groupBy("group", "m", "p").applyInArrow(check, "a long, b long")
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
+def star_meetings(nodes: DataFrame) -> DataFrame:
     """Every node with the least node of its MinHash groups, where ``SHARED`` groups agree on it."""
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("k", "key"))
     least = keyed.groupBy("k", "key").agg(F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("c")).where("c > 1")
     met = keyed.join(least.select("k", "key", "low"), ["k", "key"]).where("node > low.node and 5 * n >= 4 * low.n and 5 * low.n >= 4 * n")
-    return met.groupBy(F.col("low.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c")).where(
-        F.col("c") >= SHARED).select("a", "b")
+    return met.groupBy(F.col("low.node").alias("group"), F.col("node").alias("node")).agg(F.count("*").alias("c")).where(
+        F.col("c") >= SHARED).select("group", "node")
 
 
-def branch_pairs(branches: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share prefix shingles and may still link.
+def branch_meetings(branches: DataFrame) -> DataFrame:
+    """(group, node): nodes that share prefix shingles with another component and may still link with it.
 
-    ``branches`` has ``node``, ``n``, ``component`` (null for the node itself) and
-    ``prefix``. Of the set whose prefix ends first in the global order, all members
-    shared with the other up to there are in both prefixes, and n - prefix more may
-    be shared; so the number of shared prefix shingles and the larger such rest bound
-    the overlap. Only pairs out of bounds are left out.
+    ``branches`` has ``node``, ``n``, ``component`` and its ``members``, both null
+    for a node by itself, and ``prefix``. Of two components the smaller one's node
+    meets the other. Of two sets, that whose prefix ends first in the global order
+    has all members shared up to there in both prefixes, and n - prefix more may be
+    shared; so the number of shared prefix shingles and the larger such rest bound
+    the overlap. A node's shingles shared with a component are as many or more
+    than with any member, so what is left out links with no member.
     """
-    postings = branches.select(F.explode("prefix").alias("shingle"), "node", "component", F.col("n").cast("int").alias("n"))
+    postings = branches.select(
+        F.explode("prefix").alias("shingle"), "node", "component", F.col("n").cast("int").alias("n"), F.col("members").cast("int").alias("members"))
     sorted_rows = postings.repartition("shingle").sortWithinPartitions("shingle")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +301,8 @@ def branch_pairs(branches: DataFrame) -> DataFrame:
         for batch in batches:
             node = batch.column(1)
             columns = [c.to_numpy(zero_copy_only=False) for c in (
-                batch.column(0), node, pc.coalesce(batch.column(2), node), batch.column(3).cast(pa.int64()))]
+                batch.column(0), node, pc.coalesce(batch.column(2), node), batch.column(3).cast(pa.int64()),
+                pc.coalesce(batch.column(4), pa.scalar(1, pa.int32())))]
             if not len(columns[0]):
                 continue
             if held and held[0][0][0] == columns[0][0] == columns[0][-1]:
@@ -284,19 +310,19 @@ def branch_pairs(branches: DataFrame) -> DataFrame:
                 continue
             columns = [np.concatenate(x) for x in zip(*held, columns, strict=True)]
             last = int(np.searchsorted(columns[0], columns[0][-1]))
-            yield from _pairs_of([c[:last] for c in columns])
+            yield from _meetings_of([c[:last] for c in columns])
             held = [[c[last:] for c in columns]]
         if held:
-            yield from _pairs_of([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from _meetings_of([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    met = sorted_rows.mapInArrow(walk, "a long, b long, c long, least long")
-    counted = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least"))
-    return counted.where("c >= least").select("a", "b")
+    met = sorted_rows.mapInArrow(walk, "group long, node long, c long, least long")
+    counted = met.groupBy("group", "node").agg(F.sum("c").alias("c"), F.min("least").alias("least"))
+    return counted.where("c >= least").select("group", "node")
 
 
-def _pairs_of(columns: list[np.ndarray], room: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Pairs of all runs of equal shingles, in batches of about ``room``."""
-    shingle, node, component, size = columns
+def _meetings_of(columns: list[np.ndarray], room: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Meetings in all runs of equal shingles, in batches of about ``room``."""
+    shingle, node, component, size, weight = columns
     if len(shingle) == 0:
         return
     edges = np.flatnonzero(np.diff(shingle)) + 1
@@ -305,14 +331,24 @@ def _pairs_of(columns: list[np.ndarray], room: int = 400_000) -> Iterator[pa.Rec
     out, made = [], 0
     for start, end in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
         order = np.argsort(size[start:end], kind="stable") + start
-        n, own, parts = size[order], node[order], component[order]
-        far = np.searchsorted(n, n * 5 // 4, side="right")  # partners that are not too long
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, far[i])
-            j = j[parts[j] != parts[i]]
-            if len(j):
-                out.append((np.full(len(j), own[i]), own[j], np.full(len(j), n[i]), n[j]))
-                made += len(j)
+        n, own, group, members = size[order], node[order], component[order], weight[order]
+        near = np.searchsorted(n, (4 * n + 4) // 5, side="left"), np.searchsorted(n, n * 5 // 4, side="right")
+        top = members.max()
+        for i in range(len(n)):
+            j = np.arange(near[0][i], near[1][i])
+            larger = (members[j] > members[i]) | ((members[j] == members[i]) & (group[j] > group[i]))
+            j = j[larger & (group[j] != group[i])]
+            if len(j) == 0:
+                continue
+            rest = np.maximum(n[i] - prefix_length(n[i]), n[j] - prefix_length(n[j]))
+            least = needed(n[i], n[j]) - rest
+            if len(j) > 1 and top > 1:  # a component once, with the least bound of its members
+                by = np.lexsort((least, group[j]))
+                j, least = j[by], least[by]
+                once = np.concatenate([[True], group[j][1:] != group[j][:-1]])
+                j, least = j[once], least[once]
+            out.append((group[j], np.full(len(j), own[i]), least))
+            made += len(j)
             if made >= room:
                 yield _batch(out)
                 out, made = [], 0
@@ -321,17 +357,15 @@ def _pairs_of(columns: list[np.ndarray], room: int = 400_000) -> Iterator[pa.Rec
 
 
 def _batch(parts: list[tuple]) -> pa.RecordBatch:
-    """Distinct pairs with their counts and the least count that may link."""
-    x, y, nx, ny = (np.concatenate(c) for c in zip(*parts, strict=True))
-    a, b = np.minimum(x, y), np.maximum(x, y)
-    order = np.lexsort((b, a))
-    a, b, nx, ny = a[order], b[order], nx[order], ny[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    count = np.diff(np.concatenate([first, [len(a)]]))
-    nx, ny = nx[first], ny[first]
-    rest = np.maximum(nx - prefix_length(nx), ny - prefix_length(ny))
+    """Distinct meetings with their counts and least bounds."""
+    group, node, least = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((node, group))
+    group, node, least = group[order], node[order], least[order]
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (node[1:] != node[:-1])]))
+    count = np.diff(np.concatenate([first, [len(group)]]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(a[first]), pa.array(b[first]), pa.array(count), pa.array(needed(nx, ny) - rest)], ["a", "b", "c", "least"])
+        [pa.array(group[first]), pa.array(node[first]), pa.array(count), pa.array(np.minimum.reduceat(least, first))],
+        ["group", "node", "c", "least"])
 
 
 def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group: str | None = None) -> DataFrame:
@@ -354,11 +388,14 @@ def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
         F.min("doc_id").alias("least_id"), F.min(F.struct("pick", "n_shingles", "keys")).alias("one"))
     nodes = nodes.select("sig", "least_id", "one.pick", F.col("one.n_shingles").alias("n"), "one.keys")
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    stars = stage(verified(docs, nodes, star_pairs(nodes)), "stars")
-    known = components(stars, "a", "b").where("component <> node")
-    placed = stage(nodes.select("node", "n", "sig", "pick").join(known, "node", "left"), "placed")
+    alone = nodes.select(F.col("node").alias("group"), "node")
+    stars = stage(verified(docs, nodes, alone, star_meetings(nodes)), "stars")
+    known = stage(components(stars, "a", "b"), "known")
+    sizes = known.groupBy("component").agg(F.count("*").alias("members"))
+    placed = stage(nodes.select("node", "n", "sig", "pick").join(known.join(sizes, "component"), "node", "left"), "placed")
+    groups = placed.select(F.coalesce("component", "node").alias("group"), "node")
     branches = prefixes(docs, placed, frequent_shingles(docs))
-    links = stage(verified(docs, nodes, branch_pairs(branches)), "branches").unionByName(stars)
+    links = stage(verified(docs, nodes, groups, branch_meetings(branches)), "branches").unionByName(stars)
     final = components(links, "a", "b")
     member = nodes.select("node", "sig", "least_id").join(final, "node", "left").select(
         "sig", "least_id", F.coalesce("component", "node").alias("component"))

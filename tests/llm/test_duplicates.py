@@ -114,7 +114,7 @@ def test_trie_walk_equals_set_overlap():
         sets.append(np.unique(np.concatenate([rng.choice(base, n), rng.integers(0, 1 << 60, int(rng.integers(0, 20)), dtype=np.uint64)])))
     sets += sets[:3]
     for probe in sets[:20]:
-        got = set(ngram_join.descend(probe, sets))
+        got = set(ngram_join.descend(probe, sets, ngram_join.lexicographic(sets)))
         want = {i for i, s in enumerate(sets) if len(np.intersect1d(probe, s)) >= ngram_join.needed(len(probe), len(s))}
         assert got == want
 
