@@ -22,16 +22,20 @@ from originline.session import freeze, width
 
 BLOCK = "_block"
 REAL = "_real"
+ROWS_PER_BLOCK = 1_000_000
 
 
 def range_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Cut a frame into even blocks that are contiguous in ``order``.
 
-    The bounds are sampled, so the result is written out once: every later
-    reader, and every retried task, sees the same block of every row.
+    The input is written once, so that sampling and counting do not evaluate it
+    again; the number of blocks follows from its rows. The bounds are sampled, so
+    the result is written out too: every later reader, and every retried task,
+    sees the same block of every row.
     """
-    n = width(df.sparkSession)
-    return freeze(df.repartitionByRange(n, *order).withColumn(BLOCK, F.spark_partition_id()))
+    rows = freeze(df)
+    n = max(width(df.sparkSession), -(-rows.count() // ROWS_PER_BLOCK))
+    return freeze(rows.repartitionByRange(n, *order).withColumn(BLOCK, F.spark_partition_id()))
 
 
 @dataclasses.dataclass(frozen=True)
@@ -194,15 +198,12 @@ def hot_keys(
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """Keys too big for one task, and keys too big for quadratic work; None if none.
 
-    The first limit never falls below a 65,536th of the table, so at most 65,536
-    keys can exceed it and that list may be broadcast. The second list has no such
-    bound and must be joined without a hint.
+    Both limits are fixed numbers of rows whatever the table's size. Either list
+    may grow with the table and is joined without a hint.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(block_rows, (total or 0) // 65_536)
-    biggest = largest or 0
-    hot = counts.filter(F.col("_rows") > limit) if biggest > limit else None
+    biggest = counts.agg(F.max("_rows")).first()[0] or 0
+    hot = counts.filter(F.col("_rows") > block_rows) if biggest > block_rows else None
     large = counts.filter(F.col("_rows") > large_rows) if biggest > large_rows else None
     return hot, large
 
@@ -214,7 +215,7 @@ def blocked_history(df: DataFrame, key: str, order: str, hot: DataFrame, back: i
     after it, marked not real, so that bounded look-backs and look-aheads inside
     a block equal those over the whole key. Other keys stay in block 0.
     """
-    names = F.broadcast(hot.select(key))
+    names = hot.select(key)
     cold = df.join(names, key, "left_anti")
     parts = range_blocks(df.join(names, key, "left_semi"), [key, order])
     parts = parts.withColumn(BLOCK, F.col(BLOCK) + 1)

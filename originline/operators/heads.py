@@ -7,7 +7,6 @@ the candidate-ranking head is binary and uses boosted trees.
 from __future__ import annotations
 
 import dataclasses
-import functools
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -30,11 +29,12 @@ from originline.params import HEADS, MISSING, Params, bucket_edges
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
-    """Size of one forest, and a part of the features to leave out."""
+    """Size of one forest, a part of the features to leave out, and numbers to add."""
 
     trees: int = 20
     depth: int = 6
     without: tuple[str, ...] = ()
+    extra: tuple[str, ...] = ()
 
 
 @dataclasses.dataclass(frozen=True)
@@ -73,7 +73,7 @@ def model_inputs(p: Params, settings: Settings) -> list[str]:
     The resident's own id is left out: its history features already describe the
     resident, and an index over all residents would grow with the table.
     """
-    names = [*text_features(p)[1:], *numeric_features(p)]
+    names = [*text_features(p)[1:], *numeric_features(p), *settings.extra]
     return [n for n in names if not n.startswith(settings.without or ("\0",))]
 
 
@@ -153,19 +153,19 @@ def predict_heads(heads: dict[str, Head], table: DataFrame, p: Params) -> DataFr
 
 
 def predict_probabilities(heads: dict[str, Head], table: DataFrame, p: Params) -> DataFrame:
-    """Class probabilities of the three class heads, long form."""
+    """Class probabilities of the three class heads, long form, from one pass."""
     three = {h: heads[h] for h in HEADS[:3]}
     rows = probabilities(three, table, p)
-    parts = [
-        rows.select(
-            "sample_id", F.lit(h).alias("head"), F.posexplode(f"p_{h}").alias("i", "probability")
-        ).select(
-            "sample_id", "head",
-            F.get(F.array(*map(F.lit, head.classes)), F.col("i")).alias("class"), "probability",
+
+    def cells(name: str, head: Head) -> Column:
+        names = F.array(*map(F.lit, head.classes))
+        return F.transform(
+            F.col(f"p_{name}"),
+            lambda x, i: F.struct(F.lit(name).alias("head"), F.get(names, i).alias("class"), x.alias("probability")),
         )
-        for h, head in three.items()
-    ]
-    return functools.reduce(DataFrame.unionByName, parts)
+
+    every = F.concat(*(cells(name, head) for name, head in three.items()))
+    return rows.select("sample_id", F.inline(every))
 
 
 def feature_importance(heads: dict[str, Head], spark, top: int = 20) -> DataFrame:
@@ -179,18 +179,21 @@ def feature_importance(heads: dict[str, Head], spark, top: int = 20) -> DataFram
 
 
 def describe(heads: dict[str, Head], rows: DataFrame, p: Params) -> DataFrame:
-    """One row per fitted head: its size and its accuracy on the given rows."""
+    """One row per fitted head: its size, and on the given rows its accuracy and the majority prior."""
     out = []
     for head in heads.values():
         scored = head.model.transform(
             matrix(rows, p, head.settings).withColumn("label", label(head.name, p))
         )
         accuracy = _accuracy(scored)
+        sizes = scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        prior = sizes.agg(F.max("n") / F.sum("n")).first()[0]
         forest = head.model.stages[-1]
         out.append((head.name, len(head.classes), len(head.inputs), forest.getNumTrees,
-                    head.settings.depth, float(accuracy)))
+                    head.settings.depth, float(accuracy), float(prior)))
     return rows.sparkSession.createDataFrame(
-        out, "head string, classes int, features int, trees int, depth int, accuracy double"
+        out, "head string, classes int, features int, trees int, depth int, accuracy double, "
+        "prior double"
     )
 
 
@@ -299,6 +302,41 @@ def score_candidates(model: PipelineModel, long: DataFrame, p: Params) -> DataFr
     )
 
 
+def shuffled_control(
+    train: DataFrame, held: DataFrame, p: Params, settings: Settings, head: str = "facility",
+) -> DataFrame:
+    """Whether a head scores above chance where it must not, and where it must.
+
+    One row per control. ``shuffled``: fitted on permuted labels, so on unseen rows
+    it may not pass the majority prior by more than the tolerance, the larger of
+    0.02 and two standard errors. ``planted``: the permuted label itself is among
+    the inputs, as a leak would be, so the score must pass that bound.
+    """
+    mixed = shuffled_labels(train, "target_facility_id", p.seed).select("sample_id", "permuted")
+    fit = train.join(mixed, "sample_id").withColumn("target_facility_id", F.col("permuted")).drop("permuted")
+    prior = held.groupBy("target_facility_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n").alias("top"), F.sum("n").alias("rows"))
+    row = prior.first()
+    share = row["top"] / row["rows"]
+    bound = max(0.02, 2.0 * (share * (1.0 - share) / row["rows"]) ** 0.5)
+    names = F.array(*map(F.lit, p.names))
+    leak = (F.array_position(names, F.col("target_facility_id")) - 1).cast("double")
+    out = []
+    for control, rows, seen in (
+        ("shuffled", fit, held),
+        ("planted", fit.withColumn(PLANT, leak), held.withColumn(PLANT, leak)),
+    ):
+        one = dataclasses.replace(settings, extra=(PLANT,) if control == "planted" else ())
+        score = match_rate(fit_head(rows, head, p, one), seen, p).first()[0]
+        out.append((control, row["rows"], share, bound, float(score), score > share + bound))
+    return train.sparkSession.createDataFrame(
+        out, "control string, rows bigint, prior double, tolerance double, accuracy double, tripped boolean"
+    )
+
+
+PLANT = "planted_target"
+
+
 def shuffled_labels(rows: DataFrame, label_column: str, seed: int) -> DataFrame:
     """Seeded permutation of a label column: every row gets another row's label.
 

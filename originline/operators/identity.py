@@ -34,18 +34,21 @@ def row_digests(df: DataFrame, key: list[str]) -> DataFrame:
 def fingerprint(df: DataFrame, name: str, key: list[str]) -> DataFrame:
     """Order-independent identity of a table; repeated keys are an error.
 
-    The sum of the leading 60 bits of the row digests is commutative, so every
-    partition adds up its own rows and only one number per task is moved.
+    Two sums, of the leading and of the next 60 bits of the row digests, do not
+    depend on the order. The table is hashed once: sums per key first, which also
+    shows a repeated key, then over all keys.
     """
-    digests = row_digests(df, key)
-    bits = F.conv(F.substring("digest", 1, 15), 16, 10).cast("decimal(38,0)")
-    repeated = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(
-        F.count(F.lit(1)).alias("r")
+    first, second = (
+        F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)
     )
-    total = digests.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(bits).cast("string").alias("fingerprint")
+    per_key = row_digests(df, key).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(first).alias("a"), F.sum(second).alias("b")
     )
-    unique = F.when(repeated.scalar() == 0, F.col("fingerprint")).otherwise(
+    total = per_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("n").alias("most"),
+        F.concat_ws("-", F.sum("a").cast("string"), F.sum("b").cast("string")).alias("fingerprint"),
+    )
+    unique = F.when(F.coalesce("most", F.lit(1)) == 1, F.col("fingerprint")).otherwise(
         F.raise_error(F.lit("the key does not identify the rows"))
     )
     return total.select(F.lit(name).alias("name"), "rows", unique.alias("fingerprint"))

@@ -187,7 +187,9 @@ def dedup(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     Only ids and digests are shuffled, and copies are combined before they move,
     so a group of copies of any size costs one row per partition.
     """
-    digest = F.sha2(F.concat_ws("\x1f", *(F.sha2(F.col(c), 256) for c in columns)), 256)
+    # A null has a text no digest has, so its place among the columns counts.
+    cells = (F.coalesce(F.sha2(F.col(c), 256), F.lit("null")) for c in columns)
+    digest = F.sha2(F.concat_ws("\x1f", *cells), 256)
     return rows.groupBy(digest.alias("_d")).agg(
         F.min(row_id).alias(row_id), (F.count(F.lit(1)) - 1).alias("dropped")
     ).select(row_id, "dropped")
@@ -211,6 +213,19 @@ def chat_messages(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", messages.alias("messages"))
 
 
+def conversation_messages(turns: DataFrame) -> DataFrame:
+    """The messages of every conversation, in order of turns.
+
+    One conversation is one chat row, so its turns belong together in one array.
+    """
+    turn = F.struct("turn", "role", "text")
+    ordered = F.transform(
+        F.array_sort(F.collect_list(turn)),
+        lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")),
+    )
+    return turns.groupBy("conv_id").agg(ordered.alias("messages"))
+
+
 def parse_answers(answers: DataFrame, names: Sequence[str], buckets: Sequence[str]) -> DataFrame:
     """Answer text to typed fields, or the stage and reason of its rejection."""
     v = F.try_parse_json("text")

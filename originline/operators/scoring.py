@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from originline.functions.ordered import exact_quantiles
 from originline.functions.scalar import ratio
 from originline.params import HEADS, Params
+from originline.session import freeze
 
 MODEL = ("track", "model", "split")
 MATCHES = tuple(f"match_{h}" for h in HEADS)
@@ -123,13 +124,12 @@ def macro_f1(pairs: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
     return per.groupBy(*by, "head").agg(F.avg(f1).alias("macro_f1"))
 
 
-def confusion_matrix(pairs: DataFrame, head: str, by: Sequence[str] = MODEL) -> DataFrame:
-    """Dense counts over the labels seen on either side.
+def confusion_matrix(pairs: DataFrame, by: Sequence[str] = (*MODEL, "head")) -> DataFrame:
+    """Dense counts of every head over the labels seen on either side.
 
     The label list of one head is bounded by its catalog (8, 7 or 24 classes).
     """
-    mine = pairs.filter(F.col("head") == head)
-    labels = mine.groupBy(*by).agg(
+    labels = pairs.groupBy(*by).agg(
         F.array_distinct(
             F.flatten(F.array(F.collect_set("actual"), F.collect_set("predicted")))
         ).alias("_labels")
@@ -137,7 +137,7 @@ def confusion_matrix(pairs: DataFrame, head: str, by: Sequence[str] = MODEL) ->
     grid = labels.select(*by, F.explode("_labels").alias("actual"), "_labels").select(
         *by, "actual", F.explode("_labels").alias("predicted")
     )
-    return grid.join(mine.drop("head"), [*by, "actual", "predicted"], "left").select(
+    return grid.join(pairs, [*by, "actual", "predicted"], "left").select(
         *by, "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")
     )
 
@@ -184,9 +184,9 @@ def delay_metrics(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -> Da
 
 
 def evaluation_report(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -> DataFrame:
-    """Every metric as (track, model, split, metric, value)."""
+    """Every metric as (track, model, split, metric, value), class recalls included."""
     by = list(by)
-    pairs = class_pairs(scored, by)
+    pairs = freeze(class_pairs(scored, by))
     heads = class_accuracy(pairs, by).join(macro_f1(pairs, by), [*by, "head"])
     wide = heads.groupBy(*by).agg(*(
         F.max(F.when(F.col("head") == h, F.col(m))).alias(f"{h}_{m}")
@@ -196,7 +196,11 @@ def evaluation_report(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -
         match_summary(scored, by).join(wide, by).join(hour_metrics(scored, by), by)
         .join(delay_metrics(scored, p, by), by)
     )
-    return unpivot(full, by)
+    recall = per_class_recall(pairs, by).select(
+        *by, F.concat_ws("_", F.lit("recall"), "head", "actual").alias("metric"),
+        F.col("recall").alias("value"),
+    )
+    return unpivot(full, by).unionByName(recall)
 
 
 def unpivot(wide: DataFrame, by: Sequence[str]) -> DataFrame:

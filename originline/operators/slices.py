@@ -30,18 +30,25 @@ def slice_columns(scored: DataFrame, train: DataFrame, p: Params) -> DataFrame:
     ).select(
         depth, (F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2).alias("_rank")
     )
+    # The rank grows with the value, so a quartile is a bound on the value itself:
+    # three numbers, and no join on a column in which a few values hold most rows.
     n = scored.agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_rank") / F.col("_n")
+    quartiles = attach(ranks, n).agg(*(
+        F.max(F.when(share <= q, F.col(depth))).alias(f"_q{i}")
+        for i, q in enumerate((0.25, 0.5, 0.75), start=1)
+    ))
     median = exact_quantiles(scored, [], depth, {"_median": 0.5}).select("_median")
     seen = train.select("resident_id").distinct().withColumn("_seen", F.lit(True))
     cut = statistics.median(f.popularity for f in p.facilities)
     head = [f.name for f in p.facilities if f.popularity >= cut]
-    rows = scored.join(ranks, depth).join(seen, "resident_id", "left")
-    rows = attach(attach(rows, n), median)
-    pct = F.col("_rank") / F.col("_n")
+    rows = scored.join(seen, "resident_id", "left")
+    rows = attach(attach(rows, quartiles), median)
+    upto = lambda i: F.col(depth) <= F.coalesce(F.col(f"_q{i}"), F.lit(-1))
     hours = F.col("notification_delay_minutes") / 60.0
     labels = {
-        "activity_quartile": F.when(pct <= 0.25, "q1").when(pct <= 0.5, "q2")
-        .when(pct <= 0.75, "q3").otherwise("q4"),
+        "activity_quartile": F.when(upto(1), "q1").when(upto(2), "q2")
+        .when(upto(3), "q3").otherwise("q4"),
         "sparse_history": F.when(F.col(depth) < p.sparse_bookings,
                                  f"under_{p.sparse_bookings}_prior")
         .otherwise(f"{p.sparse_bookings}_or_more"),

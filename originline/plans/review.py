@@ -235,11 +235,19 @@ def prompt_dataset(ws: Workspace) -> DataFrame:
     return ws.prompt_rows
 
 
-@job("jsonl_round_trip", recursive("SELECT sample_id, system, prompt, target FROM pds WHERE split = 'train'"))
+# The splits whose prompts are written out, each to its own file.
+WRITTEN = ("train", "validation")
+
+
+@job("jsonl_round_trip", recursive("""
+SELECT split, sample_id, system, prompt, target FROM pds WHERE split IN ('train', 'validation')"""))
 def jsonl_round_trip(ws: Workspace) -> DataFrame:
-    path = T.scratch(ws.spark, "prompts")
-    T.write_jsonl(ws.prompt_rows.filter("split = 'train'").drop("split"), path)
-    return T.read_jsonl(ws.spark, PROMPTS, path)
+    back = []
+    for split in WRITTEN:
+        path = T.scratch(ws.spark, f"prompts-{split}")
+        T.write_jsonl(ws.prompt_rows.filter(F.col("split") == split).drop("split"), path)
+        back.append(T.read_jsonl(ws.spark, PROMPTS, path).withColumn("split", F.lit(split)))
+    return back[0].unionByName(back[1])
 
 
 @job("sealed_row_check", query("""
@@ -289,14 +297,22 @@ def prompt_length_percentiles(ws: Workspace) -> DataFrame:
 
 
 @job("chat_messages", recursive("""
-SELECT sample_id, 0 AS position, 'system' AS role, system AS content FROM pds WHERE split = 'train'
-UNION ALL SELECT sample_id, 1, 'user', prompt FROM pds WHERE split = 'train'
-UNION ALL SELECT sample_id, 2, 'assistant', target FROM pds WHERE split = 'train'"""))
+SELECT 'prompts' AS source, sample_id AS row_id, 0 AS position, 'system' AS role, system AS content FROM pds WHERE split <> 'test'
+UNION ALL SELECT 'prompts', sample_id, 1, 'user', prompt FROM pds WHERE split <> 'test'
+UNION ALL SELECT 'prompts', sample_id, 2, 'assistant', target FROM pds WHERE split <> 'test'
+UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR),
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER), role, text FROM conversations"""))
 def chat_messages(ws: Workspace) -> DataFrame:
-    rows = G.chat_messages(ws.prompt_rows.filter("split = 'train'"))
-    return rows.select("sample_id", F.posexplode("messages")).select(
-        "sample_id", F.col("pos").alias("position"), "col.role", "col.content"
-    )
+    prompts = G.chat_messages(ws.prompt_rows.filter(F.col("split").isin(*WRITTEN)))
+    talks = G.conversation_messages(ws.table("conversations"))
+
+    def long(rows: DataFrame, source: str, row_id: str) -> DataFrame:
+        return rows.select(row_id, F.posexplode("messages")).select(
+            F.lit(source).alias("source"), F.col(row_id).cast("string").alias("row_id"),
+            F.col("pos").alias("position"), "col.role", "col.content",
+        )
+
+    return long(prompts, "prompts", "sample_id").unionByName(long(talks, "conversations", "conv_id"))
 
 
 # ------------------------------------------------------------------ answers

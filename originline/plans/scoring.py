@@ -118,9 +118,8 @@ def habit_predictions(ws: Workspace) -> DataFrame:
     return rounded(ws.predictions)
 
 
-@job("overwrite_predictions_partition", query(
-    'SELECT track, model, count(*) AS "rows" FROM pr GROUP BY 1, 2'
-))
+@job("overwrite_predictions_partition", query("""
+SELECT track, model, sample_id, predicted_facility_id, predicted_usage_weekday, predicted_usage_hour FROM pr"""))
 def overwrite_predictions_partition(ws: Workspace) -> DataFrame:
     path = T.scratch(ws.spark, "predictions")
     T.conform(ws.predictions, "predictions").filter("model = 'transition'").write.partitionBy(
@@ -129,8 +128,9 @@ def overwrite_predictions_partition(ws: Workspace) -> DataFrame:
     stale = habit.withColumn("predicted_usage_hour", F.lit(0))
     T.overwrite_predictions(stale, "baseline", "habit", path)
     T.overwrite_predictions(habit, "baseline", "habit", path)
-    return ws.spark.read.parquet(path).groupBy("track", "model").agg(
-        F.count(F.lit(1)).alias("rows")
+    return ws.spark.read.parquet(path).select(
+        "track", "model", "sample_id", "predicted_facility_id", "predicted_usage_weekday",
+        "predicted_usage_hour",
     )
 
 
@@ -195,17 +195,15 @@ def macro_f1(ws: Workspace) -> DataFrame:
 
 
 @job("confusion_matrix", query("""
-SELECT x.track, x.model, x.split, x.label AS actual, y.label AS predicted, count(hd.sample_id) AS n
-FROM (SELECT track, model, split, actual AS label FROM hd WHERE head = 'facility'
-      UNION SELECT track, model, split, predicted FROM hd WHERE head = 'facility') x
-JOIN (SELECT track, model, split, actual AS label FROM hd WHERE head = 'facility'
-      UNION SELECT track, model, split, predicted FROM hd WHERE head = 'facility') y
-  USING (track, model, split)
-LEFT JOIN hd ON hd.head = 'facility' AND hd.track = x.track AND hd.model = x.model
+SELECT x.track, x.model, x.split, x.head, x.label AS actual, y.label AS predicted, count(hd.sample_id) AS n
+FROM (SELECT track, model, split, head, actual AS label FROM hd UNION SELECT track, model, split, head, predicted FROM hd) x
+JOIN (SELECT track, model, split, head, actual AS label FROM hd UNION SELECT track, model, split, head, predicted FROM hd) y
+  USING (track, model, split, head)
+LEFT JOIN hd ON hd.head = x.head AND hd.track = x.track AND hd.model = x.model
   AND hd.split = x.split AND hd.actual = x.label AND hd.predicted = y.label
 GROUP BY ALL"""))
 def confusion_matrix(ws: Workspace) -> DataFrame:
-    return S.confusion_matrix(S.class_pairs(ws.scored), "facility")
+    return S.confusion_matrix(S.class_pairs(ws.scored))
 
 
 fragment("probs", " UNION ALL ".join(
@@ -301,6 +299,8 @@ UNION ALL SELECT track, model, split, head || '_macro_f1', macro_f1 FROM f1
 UNION ALL SELECT track, model, split, 'hour_mae', avg({_CIRC}) FROM sc GROUP BY track, model, split
 UNION ALL SELECT track, model, split, 'within_1_hour', avg(({_CIRC} <= 1)::INT) FROM sc
   GROUP BY track, model, split
+UNION ALL SELECT track, model, split, 'recall_' || head || '_' || actual, avg((actual = predicted)::INT) FROM hd
+  GROUP BY track, model, split, head, actual
 {' '.join(f"UNION ALL SELECT track, model, split, '{n}', {n} FROM dm" for n in _DM)}""")
 
 
@@ -309,9 +309,9 @@ def test_report(ws: Workspace) -> DataFrame:
 
 
 @job("evaluation_report", query(
-    f"SELECT {_KEYS}, metric, round(value, 5) AS value FROM rep WHERE split = 'test'"))
+    f"SELECT {_KEYS}, metric, round(value, 5) AS value FROM rep"))
 def evaluation_report(ws: Workspace) -> DataFrame:
-    return rounded(test_report(ws), 5)
+    return rounded(S.evaluation_report(ws.scored, ws.params), 5)
 
 
 @job("compare_reports", query(f"""

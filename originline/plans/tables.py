@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from originline.functions.scalar import draw_key, instant, micros
+from originline.functions.scalar import instant, micros
 from originline.operators import contracts as C
 from originline.operators import identity as I
 from originline.operators import samples as S
@@ -17,7 +17,6 @@ from originline.params import TEST
 from originline.plans.registry import job
 from originline.plans.sql import query, quoted, values
 from originline.plans.workspace import Workspace
-from originline.session import freeze
 from originline.sources import tables as T
 
 
@@ -465,7 +464,8 @@ def row_digest(ws: Workspace) -> DataFrame:
 
 def _print(name: str, line: str, source: str) -> str:
     return f"""SELECT '{name}' AS name, count(*) AS "rows",
-  CAST(sum(('0x' || substr(sha256({line}), 1, 15))::BIGINT::HUGEINT) AS VARCHAR) AS fingerprint FROM {source}"""
+  CAST(sum(('0x' || substr(sha256({line}), 1, 15))::BIGINT::HUGEINT) AS VARCHAR) || '-' ||
+  CAST(sum(('0x' || substr(sha256({line}), 16, 15))::BIGINT::HUGEINT) AS VARCHAR) AS fingerprint FROM {source}"""
 
 
 _SPLIT_LINE = "concat_ws(chr(31), sample_id, split)"

@@ -55,7 +55,7 @@ class Workspace:
 
     @cached_property
     def resident(self) -> DataFrame:
-        return resident_features(self.history)
+        return freeze(resident_features(self.history))
 
     @cached_property
     def community(self) -> DataFrame:

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from originline.schemas import TABLES
-from originline.session import configure
+from originline.session import configure, new_folder
 
 # Fixed value: ISO-8601 with offset, so that a file round-trips to the same instant.
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder of the cluster."""
+    """A new path in the shared folder of the cluster, removed when the driver ends."""
     configure(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def declared(name: str) -> tuple[T.StructType, tuple[str, ...]]:
