@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,14 @@ def draw(seed: int, *keys) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def extended(rows: DataFrame, ddl: str) -> StructType:
     """The schema of ``rows`` with further columns."""
     return StructType([*rows.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_type
 
 from originline.llm.common import extended, mix, prepare, shingle_hashes, slices, text_bytes, word_hashes
 
@@ -231,26 +231,25 @@ def contaminated(
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
     kind = benchmark.schema["item_id"].dataType
     out = extended(rows.drop("_text"), "item_id string, similarity double, start_word long, n_words long")
-    out = StructType([*out.fields])
     out["item_id"].dataType = kind
     parts = []
     for block in item_blocks(benchmark, block_words):
         shared = spark.sparkContext.broadcast(_index_of(block, radius))
-        parts.append(rows.mapInArrow(_finder(shared, least), out))
+        parts.append(rows.mapInArrow(_finder(shared, least, to_arrow_type(kind)), out))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
-def _finder(shared, least: float):
+def _finder(shared, least: float, kind: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         quick = Filter(index)
         for batch in batches:
             found = list(_scan(batch.column(1), index, quick, least))
             at = pa.array([f[0] for f in found], pa.int64())
-            ids = pa.array([index.ids[f[1]] for f in found], _like(index.ids))
+            ids = pa.array([index.ids[f[1]] for f in found], kind)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), ids, pa.array([f[2] for f in found], pa.float64()),
                  pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
@@ -259,10 +258,6 @@ def _finder(shared, least: float):
     return work
 
 
-def _like(ids: list) -> pa.DataType:
-    return pa.array(ids[:1]).type if ids else pa.int64()
-
-
 def clean_rows(
     docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 40, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:

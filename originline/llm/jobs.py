@@ -34,8 +34,8 @@ def tokenizer_path(name: str) -> str:
 def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the three quarters not held out."""
     docs = table(spark, folder, "documents").select(
-        "doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"))
-    model = language.train(docs.where(F.coalesce(~F.col("held_out"), F.lit(False))))
+        "doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"))
+    model = language.train(docs.where("doc_id is not null and not held_out"))
     return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 

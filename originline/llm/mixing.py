@@ -132,9 +132,9 @@ def mixed_rows(
     """The mix itself: every row of ``docs``, all its columns, as often as the mix takes it."""
     prepare(docs.sparkSession)
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    rows = with_copies(docs, mixing_plan(sized, weights, epochs, seed), seed).where("_copies > 0")
-    times = F.explode(F.expr("sequence(1, _copies)")).alias("_time")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("_time")
+    packed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    rows = with_copies(packed, mixing_plan(sized, weights, epochs, seed), seed).where("_copies > 0")
+    return rows.select("_all", F.explode(F.expr("sequence(1, _copies)"))).select("_all.*")
 
 
 ORACLE_SQL = r"""

@@ -414,11 +414,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"_key": F.xxhash64("doc_id"), "_hash": F.xxhash64(text)})
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
+    keyed = docs.select(packed, "doc_id", text.alias("text"), F.xxhash64("doc_id").alias("_key"), F.xxhash64(text).alias("_hash"))
     groups = link_components(keyed.select("doc_id", "text", "_key", "_hash"), ("doc_id", "_key", "_hash"), "_group")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_hash"), F.col("_key"))
     first = groups.where("_group is not null").groupBy("_group").agg(F.min(order).alias("low"))
     winners = stage(first.select("low._key", "low._hash").distinct(), "winners")
-    worded = F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     live = keyed.where(worded).dropDuplicates(["_key", "_hash"]).join(winners, ["_key", "_hash"], "left_semi")
-    return live.drop("_key", "_hash").unionByName(docs.where(~worded))
+    return live.select("_all.*").unionByName(keyed.where(~worded).select("_all.*"))

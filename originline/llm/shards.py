@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from originline.llm.common import extended, prepare
+from originline.llm.common import extended, free_name, prepare
 from originline.session import stage
 
 PER_RANGE = 16  # samples to a range
@@ -119,8 +119,9 @@ def assign_shards(
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     kept = [c for c in docs.columns if c not in made]
     text = F.col("text").cast("string")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], sizes_of(text).alias("size"), place_of().alias("place"))
-    narrow = stage(rows.select("size", "place"), "places")
+    place, in_range, before_it = (free_name(kept, c) for c in ("place", "range", "before"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], sizes_of(text).alias("size"), place_of().alias(place))
+    narrow = stage(rows.select("size", F.col(place).alias("place")), "places")
     n, total = narrow.agg(F.count("*"), F.sum("size")).first()
     total = float(total or 0)
     mean = total / max(n, 1)
@@ -150,11 +151,11 @@ def assign_shards(
             at = np.searchsorted(bounds, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(at.astype(np.int32)), pa.array(shard[at]), pa.array(before[at])],
-                [*batch.schema.names, "_range", "shard", "_before"])
+                [*batch.schema.names, in_range, "shard", before_it])
 
-    dealt = rows.mapInArrow(deal, extended(rows, "_range int, shard int, _before long"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("place", *[c for c in ("doc_id",) if c in kept]))
+    dealt = rows.mapInArrow(deal, extended(rows, f"`{in_range}` int, shard int, `{before_it}` long"))
+    within = F.row_number().over(Window.partitionBy(in_range).orderBy(place, *[c for c in ("doc_id",) if c in kept]))
     return dealt.select(
         *[F.col(f"`{c}`") for c in kept], "size",
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
-        "shard", (F.col("_before") + within - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        "shard", (F.col(before_it) + within - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

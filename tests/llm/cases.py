@@ -9,7 +9,7 @@ SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # Names that operators use for columns of their own.
-    *[T.StructField(n, T.StringType()) for n in ("size", "score", "shard", "slot", "node", "n", "words", "copies", "part", "item_id", "_copies", "_row")],
+    *[T.StructField(n, T.StringType()) for n in ("size", "score", "shard", "slot", "node", "n", "words", "copies", "part", "item_id", "_copies", "_row", "_all", "_plan", "_key", "place", "range", "_id", "_text", "sig")],
 ])
 
 ROWS = [
@@ -29,7 +29,7 @@ ROWS = [
 
 def table(spark, rows=None):
     rows = ROWS if rows is None else rows
-    return spark.createDataFrame([(*r, *(["x"] * 12)) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, *(["x"] * 20)) for r in rows], SCHEMA)
 
 
 def empty(spark):
