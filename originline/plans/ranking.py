@@ -141,17 +141,24 @@ _EDGES = bucket_edges(P)
 _REPS = D.fixed_representatives(P)
 
 
-def _list(xs) -> str:
-    return "[" + ", ".join(f"{x!r}::DOUBLE" for x in xs) + "]"
-
-
 def _fixed(delay: str) -> str:
     return "(" + " + ".join(f"({delay} >= {e!r}::DOUBLE)::INT" for e in _EDGES) + ")"
 
 
-@job("delay_bucket_fixed", query(f"""
-SELECT sample_id, b AS bucket, round({_list(_REPS)}[b + 1], 6) AS representative FROM (
-  SELECT sample_id, {_fixed('notification_delay_minutes')} AS b FROM smp)"""))
+# The fixed buckets again, from the settings alone: floor * ratio^k below the ceiling, then the ceiling.
+fragment("fixed_edges", f"""
+SELECT CAST(row_number() OVER (ORDER BY e) AS INTEGER) AS b, e FROM (
+  SELECT {P.bucket_floor_minutes} * pow({P.bucket_ratio}::DOUBLE, k) AS e FROM range(500) r(k)
+  WHERE {P.bucket_floor_minutes} * pow({P.bucket_ratio}::DOUBLE, k) < {P.bucket_ceiling_days} * 1440
+  UNION ALL SELECT {P.bucket_ceiling_days} * 1440::DOUBLE)""")
+fragment("fixed_buckets", f"""
+SELECT b, e AS lo, coalesce(sqrt(e * lead(e) OVER (ORDER BY b)), e * sqrt({P.bucket_ratio}::DOUBLE)) AS representative FROM fixed_edges
+UNION ALL SELECT 0, -1::DOUBLE, min(e) / sqrt({P.bucket_ratio}::DOUBLE) FROM fixed_edges""")
+
+
+@job("delay_bucket_fixed", query("""
+SELECT sample_id, b AS bucket, round(representative, 6) AS representative
+FROM smp ASOF JOIN fixed_buckets ON notification_delay_minutes >= lo"""))
 def delay_bucket_fixed(ws: Workspace) -> DataFrame:
     bucket = D.fixed_bucket(F.col("notification_delay_minutes"), ws.params)
     reps = F.array(*(F.lit(r) for r in _REPS))
