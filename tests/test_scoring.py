@@ -142,7 +142,7 @@ def test_answers_fail_with_a_stage_and_a_reason(spark):
     assert got["text"]["failure_stage"] == "parse" and got["list"]["failure_stage"] == "parse"
     for k in ("missing", "extra", "enum", "kind", "hour"):
         assert (got[k]["status"], got[k]["failure_stage"]) == ("failed", "schema"), k
-    ladder = [D.Rung(1, None, 9, 30.0, "empirical")]
+    ladder = D.Ladder((), (9,), (30.0,), ("empirical",))
     unknown = G.to_predictions(G.parse_answers(df, THREE.names, ["LOW"]), "one", ladder)
     with pytest.raises(Exception, match="unknown bucket"):
         unknown.collect()
