@@ -69,7 +69,7 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, folder, "documents"))
 
 
-@query("op7_ngram_join")
+@query("op7_ngram_join", ngram_join.ORACLE_SQL)
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under links of shingle sets."""
     return ngram_join.link_components(table(spark, folder, "documents"))

@@ -423,3 +423,28 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     worded = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     live = keyed.where(worded).dropDuplicates(["_key", "_hash"]).join(winners, ["_key", "_hash"], "left_semi")
     return live.select("_all.*").unionByName(keyed.where(~worded).select("_all.*"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle
+  FROM worded),
+sized AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY 1),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingled a JOIN shingled b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM worded
+  UNION SELECT r.doc_id, e.y FROM reached r JOIN edges e ON e.x = r.other)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM worded w LEFT JOIN sized s USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1) r USING (doc_id)
+"""
