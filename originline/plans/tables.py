@@ -538,3 +538,29 @@ def reconcile_tables(ws: Workspace) -> DataFrame:
     ).withColumnRenamed("n", "live")
     strays = ws.comparison.join(ws.holdout.select("sample_id"), "sample_id", "left_anti")
     return C.reconcile(recorded, live, strays)
+
+
+_TAMPERED = "concat_ws(chr(31), sample_id, CASE WHEN sample_id = 'S0000001' THEN 'tampered' ELSE split END)"
+
+
+@job("reconcile_digests", query(f"""
+SELECT name, a.fingerprint AS recorded, b.fingerprint AS recomputed,
+  a.fingerprint IS NOT DISTINCT FROM b.fingerprint AS same
+FROM ({_print("splits", _SPLIT_LINE, "ss")} UNION ALL {_print("splits_tampered", _SPLIT_LINE, "ss")}) a
+FULL JOIN ({_print("splits", _SPLIT_LINE, "ss")} UNION ALL {_print("splits_tampered", _TAMPERED, "ss")}) b USING (name)"""))
+def reconcile_digests(ws: Workspace) -> DataFrame:
+    """Identities recorded when a table was written, against what is read back.
+
+    The second case changes one row after the record was taken, and must differ.
+    """
+    rows = ws.splits.select("sample_id", "split")
+    table, record = T.scratch(ws.spark, "splits"), T.scratch(ws.spark, "identities")
+    rows.write.parquet(table)
+    taken = I.fingerprint(rows, "splits", ["sample_id"])
+    taken.unionByName(taken.withColumn("name", F.lit("splits_tampered"))).write.json(record)
+    back = ws.spark.read.parquet(table)
+    changed = back.withColumn("split", F.when(F.col("sample_id") == "S0000001", "tampered").otherwise(F.col("split")))
+    live = I.fingerprint(back, "splits", ["sample_id"]).unionByName(
+        I.fingerprint(changed, "splits_tampered", ["sample_id"]))
+    recorded = ws.spark.read.schema("name string, rows bigint, fingerprint string").json(record)
+    return I.compare(recorded, live)
