@@ -184,7 +184,11 @@ def delay_metrics(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -> Da
 
 
 def evaluation_report(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -> DataFrame:
-    """Every metric as (track, model, split, metric, value), class recalls included."""
+    """Every metric as (track, model, split, metric, value).
+
+    Class recalls are included, and the delay both as submitted and raw, that is
+    before negative delays become zero.
+    """
     by = list(by)
     pairs = freeze(class_pairs(scored, by))
     heads = class_accuracy(pairs, by).join(macro_f1(pairs, by), [*by, "head"])
@@ -192,9 +196,13 @@ def evaluation_report(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -
         F.max(F.when(F.col("head") == h, F.col(m))).alias(f"{h}_{m}")
         for h in CLASS_HEADS for m in ("accuracy", "macro_f1")
     ))
+    error = F.col("predicted_delay_minutes") - F.col("notification_delay_minutes")
+    raw = scored.groupBy(*by).agg(
+        F.avg(F.abs(error)).alias("raw_mae_minutes"), F.avg(error).alias("raw_signed_bias_minutes")
+    )
     full = (
         match_summary(scored, by).join(wide, by).join(hour_metrics(scored, by), by)
-        .join(delay_metrics(scored, p, by), by)
+        .join(delay_metrics(scored, p, by), by).join(raw, by)
     )
     recall = per_class_recall(pairs, by).select(
         *by, F.concat_ws("_", F.lit("recall"), "head", "actual").alias("metric"),

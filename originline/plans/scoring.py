@@ -299,6 +299,10 @@ UNION ALL SELECT track, model, split, head || '_macro_f1', macro_f1 FROM f1
 UNION ALL SELECT track, model, split, 'hour_mae', avg({_CIRC}) FROM sc GROUP BY track, model, split
 UNION ALL SELECT track, model, split, 'within_1_hour', avg(({_CIRC} <= 1)::INT) FROM sc
   GROUP BY track, model, split
+UNION ALL SELECT track, model, split, 'raw_mae_minutes', avg(abs(predicted_delay_minutes - notification_delay_minutes))
+  FROM sc GROUP BY track, model, split
+UNION ALL SELECT track, model, split, 'raw_signed_bias_minutes', avg(predicted_delay_minutes - notification_delay_minutes)
+  FROM sc GROUP BY track, model, split
 UNION ALL SELECT track, model, split, 'recall_' || head || '_' || actual, avg((actual = predicted)::INT) FROM hd
   GROUP BY track, model, split, head, actual
 {' '.join(f"UNION ALL SELECT track, model, split, '{n}', {n} FROM dm" for n in _DM)}""")
