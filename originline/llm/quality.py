@@ -1,10 +1,15 @@
 """A quality classifier by co-training two views of a document.
 
-One classifier sees only what the text looks like, the other only the page's
-metadata (source, language, length). Each is fitted on labelled rows; in every
-round each labels the unlabelled rows it is sure of for the other one. In the end
-both are calibrated on labelled rows held out of the fit, and their evidence is
-added up: the logits' sum less the base rate that both contain.
+One classifier sees only the text: what it looks like, and what its words say. The
+other sees only the page's metadata (source, language, length). Each is fitted on
+labelled rows; in every round each labels the unlabelled rows it is sure of for the
+other one. In the end both are calibrated on labelled rows held out of the fit, and
+their evidence is added up: the logits' sum less the base rate that both contain.
+
+The words' evidence is a sparse logistic regression on hashed words, word
+beginnings and pairs of words of the whole text. It joins the text view as one
+feature, made for labelled rows by models that did not see their texts. A second
+regression of this kind, on the ``toxic`` label, is a verdict of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from originline.llm.common import draw, extended, prepare, text_bytes, word_hashes
+from originline.llm.common import SPACES, draw, extended, mix, prepare, slices, text_bytes, word_hashes
 
 SOURCES, LANGS = 32, 8
 #: Byte classes whose shares describe a text's look.
@@ -30,6 +35,43 @@ _CLASSES = (
 _CLASS = np.full(256, len(_CLASSES), np.int64)
 for _k, _chars in enumerate(_CLASSES):
     _CLASS[list(_chars)] = _k
+#: Bits of a hashed word feature; bytes of a word's beginning.
+WORD_BITS, STEM = 20, 6
+#: Features of one regression at most, and the least likelihood ratio of one.
+FEATURES, LEAST_GAIN = 4096, 12.0
+#: Letters, digits and bytes beyond ASCII stay; all else separates words.
+_FOLD = np.array([b if b > 127 or chr(b).isalnum() else SPACES[0] for b in range(256)], np.uint8)
+
+
+def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, word beginnings and word pairs of whole texts, each once a text, and their n + 1 bounds."""
+    data, offsets = text_bytes(texts)
+    data, found, counts = _FOLD[data], [], []
+    for low, high in slices(data, offsets):
+        part, own = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        words, bounds = word_hashes(part, own)
+        of = np.repeat(np.arange(high - low, dtype=np.int64), np.diff(bounds))
+        stems, _ = word_hashes(_stemmed(part, own), own)
+        with np.errstate(over="ignore"):
+            pairs = mix(words[:-1] * np.uint64(0x100000001B3) + words[1:])
+            stems = mix(stems + np.uint64(0x51ED270B))
+        same = of[1:] == of[:-1]
+        values = np.concatenate([words, stems, pairs[same]]) >> np.uint64(64 - WORD_BITS)
+        key = np.unique((np.concatenate([of, of, of[1:][same]]) << WORD_BITS) | values.astype(np.int64))
+        found.append((key & ((1 << WORD_BITS) - 1)).astype(np.int32))
+        counts.append(np.bincount(key >> WORD_BITS, minlength=high - low))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))])
+    return np.concatenate(found) if found else np.zeros(0, np.int32), bounds.astype(np.int64)
+
+
+def _stemmed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes with all of a word blanked but its first ``STEM`` bytes."""
+    first = data != SPACES[0]
+    first[1:] &= data[:-1] == SPACES[0]
+    inner = offsets[offsets < len(data)]
+    first[inner] = data[inner] != SPACES[0]
+    at = np.arange(len(data), dtype=np.int64)
+    return np.where(at - np.maximum.accumulate(np.where(first, at, 0)) < STEM, data, SPACES[0])
 
 
 def text_view(texts: pa.Array) -> np.ndarray:
@@ -121,6 +163,117 @@ def fit_view(x: np.ndarray, y: np.ndarray, xc: np.ndarray, yc: np.ndarray, ridge
     return model
 
 
+@dataclasses.dataclass
+class Words:
+    """Logistic regression on the presence of hashed words, with a Platt calibration."""
+
+    ids: np.ndarray  # sorted features
+    weight: np.ndarray
+    bias: float
+    platt: tuple[float, float] = (1.0, 0.0)
+
+    def margin(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        owner, column = _columns(self.ids, ids, bounds)
+        return self.bias + np.bincount(owner, self.weight[column], minlength=len(bounds) - 1)
+
+    def logit(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return np.clip(self.platt[0] * self.margin(ids, bounds) + self.platt[1], -12, 12)
+
+
+def _columns(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and position in ``known`` of every feature that is there."""
+    place = np.full(1 << WORD_BITS, -1, np.int32)
+    place[known] = np.arange(len(known))
+    column = place[ids]
+    hit = np.flatnonzero(column >= 0)
+    return np.searchsorted(bounds, hit, side="right") - 1, column[hit]
+
+
+def _counts(ids: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """How many texts hold each feature, counted in chunks to keep copies small."""
+    out = np.zeros(1 << WORD_BITS, np.int64)
+    for low in range(0, len(ids), chunk):
+        out += np.bincount(ids[low : low + chunk], minlength=1 << WORD_BITS)
+    return out
+
+
+def _telling(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The features whose presence tells most of ``y``, by the likelihood ratio; those of one text are left out."""
+    both, with_1 = _counts(ids), _counts(ids[np.repeat(y > 0, np.diff(bounds))])
+    seen = np.flatnonzero(both > 1)
+    n, n1 = len(y), y.sum()
+    gain = np.zeros(len(seen))
+    c, c1 = both[seen].astype(float), with_1[seen].astype(float)
+    for cell, row, column in ((c1, c, n1), (c - c1, c, n - n1), (n1 - c1, n - c, n1), (n - n1 - c + c1, n - c, n - n1)):
+        gain += 2 * cell * np.log(np.maximum(cell, 1e-12) * n / np.maximum(row * column, 1e-12))
+    order = np.argsort(-gain, kind="stable")[:FEATURES]
+    return np.sort(seen[order[gain[order] > LEAST_GAIN]])
+
+
+def _fit_words(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> Words:
+    """Newton steps, each solved by conjugate gradients, so that no square matrix is made."""
+    n = len(y)
+    known = _telling(ids, bounds, y)
+    row, column = _columns(known, ids, bounds)
+    k = len(known)
+    keep = np.append(np.full(k, ridge), 1e-6)
+    forward = lambda v: v[k] + np.bincount(row, v[column], minlength=n)
+    back = lambda r: np.append(np.bincount(column, r[row], minlength=k), r.sum())
+    w = np.zeros(k + 1)
+    w[k] = np.log(y.mean() / (1 - y.mean()))
+    for _ in range(10):
+        p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        curve = p * (1 - p) + 1e-6
+        r = -(back(p - y) + keep * w)
+        scale = 1 / (back(curve) + keep)
+        step, z = np.zeros(k + 1), scale * r
+        d, rz, first = z, r @ z, r @ z
+        for _ in range(30):
+            if rz <= 1e-8 * first or rz < 1e-12:
+                break
+            image = back(curve * forward(d)) + keep * d
+            a = rz / (d @ image)
+            step, r = step + a * d, r - a * image
+            z = scale * r
+            rz, old = r @ z, rz
+            d = z + rz / old * d
+        w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-2:
+            break
+    return Words(known, w[:k], float(w[k]))
+
+
+def _take(ids: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features and bounds of some rows."""
+    if len(rows) == len(bounds) - 1 and (rows[1:] > rows[:-1]).all():
+        return ids, bounds
+    out = np.concatenate([[0], np.cumsum(np.diff(bounds)[rows])])
+    taken = np.empty(out[-1], ids.dtype)
+    for k, row in enumerate(rows.tolist()):
+        taken[out[k] : out[k + 1]] = ids[bounds[row] : bounds[row + 1]]
+    return taken, out
+
+
+def cross_fit(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, folds: int = 4) -> tuple[Words, np.ndarray] | None:
+    """A calibrated fit on all rows, and for every row the margin of a fit without its fold.
+
+    Equal texts are in one fold. None if ``y`` shows a single class.
+    """
+    if not 0 < y.sum() < len(y):
+        return None
+    total = np.array([ids[low:high].sum(dtype=np.int64) for low, high in zip(bounds[:-1], bounds[1:], strict=True)])
+    fold = mix(total.astype(np.uint64)) % np.uint64(folds)
+    model = _fit_words(ids, bounds, y)
+    margin = model.margin(ids, bounds)
+    for k in range(folds):
+        out, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(out) and 0 < y[rest].sum() < len(rest):
+            margin[out] = _fit_words(*_take(ids, bounds, rest), y[rest]).margin(*_take(ids, bounds, out))
+    b, a = _newton(margin[:, None], y, 1e-3)
+    model.platt = (float(a), float(b)) if a > 0 else (0.0, float(np.log(y.mean() / (1 - y.mean()))))
+    return model, margin
+
+
 @dataclasses.dataclass
 class CoTrained:
     """Both views and the base rate they share."""
@@ -186,81 +339,146 @@ def _viewed(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.struct(*parts).alias("_view"))
 
 
-def _views(view: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+@dataclasses.dataclass
+class Judge:
+    """All that was learned; a part is None where its label shows a single class."""
+
+    quality: CoTrained | None = None
+    words: Words | None = None  # the words' evidence on quality, a feature of the text view
+    toxic: Words | None = None
+
+
+def _views(view: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text view without the words' evidence, metadata view, word features and their bounds."""
     text, source, lang, n_chars = view.flatten()
     lengths = n_chars.to_numpy(zero_copy_only=False).astype(float)
-    return text_view(text), page_view(source.to_pylist(), lang.to_pylist(), lengths)
+    return text_view(text), page_view(source.to_pylist(), lang.to_pylist(), lengths), *word_features(text)
+
+
+def _told(a: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """The text view with the words' evidence as its first feature."""
+    return np.column_stack([np.clip(evidence, -12, 12), a])
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray | None = None) -> pa.Array:
+    if bounds is None:
+        bounds, values = np.arange(len(values) + 1) * values.shape[1], values.ravel()
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
 
 
 def train(
     docs: DataFrame, labels: DataFrame, labelled_rows: int = 20_000, pool_rows: int = 20_000, rounds: int = 3, seed: int = 5,
-) -> CoTrained | None:
+) -> Judge:
     """Fit on a seeded sample of about ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents.
 
     The two bounds are the documented limits of the fit: features of that many rows
-    reach the driver, whatever the size of the tables. Labels with a null doc_id or
-    quality are left out; of contradicting labels the lower one counts.
+    reach the driver, whatever the size of the tables. Labels with a null doc_id, or
+    null in both labels, are left out; of contradicting labels the worse one counts.
+    Without a ``toxic`` column there is no verdict on it.
     """
-    prepare(docs.sparkSession)
-    labels = labels.where("doc_id is not null and quality is not null")
+    spark = prepare(docs.sparkSession)
+    for name in ("quality", "toxic"):
+        if name not in labels.columns:
+            labels = labels.withColumn(name, F.lit(None).cast("int"))
+    labels = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     n_labels, n_docs = labels.count(), docs.count()
     if n_labels == 0 or n_docs == 0:
-        return None
+        return Judge()
     unit = draw(seed, F.col("doc_id"))
-    known = labels.where(unit < labelled_rows / n_labels).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_quality"))
-    share = pool_rows / n_docs
-    free = docs.where("doc_id is not null").select("doc_id").where(unit < share).distinct().join(
-        labels.where(unit < share).select("doc_id"), "doc_id", "left_anti").withColumn("_quality", F.lit(-1))
-    picked = known.unionByName(free)
-    rows = _viewed(docs.join(F.broadcast(picked), "doc_id"), ["doc_id", "_quality"])
+    known = labels.where(unit < labelled_rows / n_labels).groupBy("doc_id").agg(
+        F.coalesce(F.min("quality"), F.lit(-1)).cast("int").alias("_quality"),
+        F.coalesce(F.max("toxic"), F.lit(-1)).cast("int").alias("_toxic"))
+    rows = _viewed(docs.join(F.broadcast(known), "doc_id"), ["doc_id", "_quality", "_toxic"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _views(batch.column(2))
+            a, b, ids, bounds = _views(batch.column(3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))],
-                ["doc_id", "y", "a", "b"])
+                [*(batch.column(i) for i in range(3)), _lists(a), _lists(b), _lists(ids, bounds)],
+                ["doc_id", "y", "t", "a", "b", "ids"])
 
-    found = rows.mapInArrow(describe, "doc_id long, y int, a array<double>, b array<double>").toArrow()
+    found = rows.mapInArrow(
+        describe, "doc_id long, y int, t int, a array<double>, b array<double>, ids array<int>").toArrow().combine_chunks()
     if found.num_rows == 0:
-        return None
-    ids, y = found["doc_id"].to_numpy(), found["y"].to_numpy()
-    a, b = (np.array(found[c].combine_chunks().flatten()).reshape(len(ids), -1) for c in ("a", "b"))
-    # An order that does not depend on partitions; copies of a row follow each other.
+        return Judge()
+    order, a, b = _ordered(found)
+    y, t = found["y"].to_numpy()[order], found["t"].to_numpy()[order]
+    lists = found["ids"].combine_chunks()
+    ids, bounds = _take(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), order)
+    at = np.flatnonzero(t >= 0)
+    toxic = cross_fit(*_take(ids, bounds, at), (t[at] > 0).astype(float))
+    at = np.flatnonzero(y >= 0)
+    y = (y[at] > 0).astype(float)
+    words = cross_fit(*_take(ids, bounds, at), y)
+    judge = Judge(None, words and words[0], toxic and toxic[0])
+    if words is None:
+        return judge
+    share = pool_rows / n_docs
+    free = docs.where("doc_id is not null").select("doc_id").where(unit < share).distinct().join(
+        labels.where(unit < share).select("doc_id"), "doc_id", "left_anti")
+    shared = spark.sparkContext.broadcast(judge.words)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, ids, bounds = _views(batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _lists(_told(a, shared.value.margin(ids, bounds))), _lists(b)], ["doc_id", "a", "b"])
+
+    pool = _viewed(docs.join(F.broadcast(free), "doc_id"), ["doc_id"]).mapInArrow(
+        tell, "doc_id long, a array<double>, b array<double>").toArrow().combine_chunks()
+    _, pool_a, pool_b = _ordered(pool)
+    judge.quality = co_train(_told(a[at], words[1]), b[at], y, pool_a, pool_b, rounds)
+    return judge
+
+
+def _ordered(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows that does not depend on partitions, and both views in it; copies of a row follow each other."""
+    n = found.num_rows
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0))
+    ids = found["doc_id"].to_numpy()
+    a, b = (np.array(found[c].combine_chunks().flatten()).reshape(n, -1) for c in ("a", "b"))
     order = np.lexsort((a[:, -4], ids * np.int64(2654435761) % np.int64(1 << 31)))
-    y, a, b = y[order], a[order], b[order]
-    known_rows = y >= 0
-    return co_train(a[known_rows], b[known_rows], (y[known_rows] > 0).astype(float), a[~known_rows], b[~known_rows], rounds)
+    return order, a[order], b[order]
+
+
+RESULT = ("score", "p_text", "p_page", "accepted", "p_toxic", "toxic")
 
 
-def scored(docs: DataFrame, model: CoTrained | None, keep: list[str], least: float = 0.5) -> DataFrame:
-    """``keep`` columns, ``score`` (chance of good quality), ``p_text``, ``p_page`` and ``accepted``.
+def scored(docs: DataFrame, model: Judge, keep: list[str], least: float = 0.5) -> DataFrame:
+    """``keep`` columns, ``score`` (chance of good quality), ``p_text``, ``p_page``, ``accepted``, ``p_toxic`` and ``toxic``.
 
-    Without a model (no labels, or of one class only) every score is null and every
-    row accepted. A null text is judged like an empty one, a null in the metadata as
-    a value of its own. Names of the result replace columns of the same name.
+    ``accepted`` is the verdict on quality alone. Without a model of quality (no
+    labels, or of one class only) every score is null and every row accepted; without
+    one of toxicity ``p_toxic`` is null and no row toxic. A null text is judged like
+    an empty one, a null in the metadata as a value of its own. Names of the result
+    replace columns of the same name.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    keep = [c for c in keep if c not in ("score", "p_text", "p_page", "accepted")]
+    keep = [c for c in keep if c not in RESULT]
     rows = _viewed(docs, keep)
+    chance = lambda x: 1 / (1 + np.exp(-x))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        judge = shared.value
         for batch in batches:
             n = batch.num_rows
-            if model is None:
-                made = [pa.nulls(n, pa.float64())] * 3 + [pa.array(np.ones(n, bool))]
-            else:
-                a, b = _views(batch.column(batch.num_columns - 1))
-                score = model.score(a, b)
-                sure = [1 / (1 + np.exp(-m.logit(x))) for m, x in ((model.text, a), (model.page, b))]
-                made = [pa.array(score), *map(pa.array, sure), pa.array(score >= least)]
+            made = [pa.nulls(n, pa.float64())] * 3 + [pa.array(np.ones(n, bool)), pa.nulls(n, pa.float64()), pa.array(np.zeros(n, bool))]
+            if judge.quality is not None or judge.toxic is not None:
+                a, b, ids, bounds = _views(batch.column(batch.num_columns - 1))
+            if judge.quality is not None:
+                a = _told(a, judge.words.margin(ids, bounds))
+                score = judge.quality.score(a, b)
+                sure = [chance(m.logit(x)) for m, x in ((judge.quality.text, a), (judge.quality.page, b))]
+                made[:4] = [pa.array(score), *map(pa.array, sure), pa.array(score >= least)]
+            if judge.toxic is not None:
+                p = chance(judge.toxic.logit(ids, bounds))
+                made[4:] = [pa.array(p), pa.array(p >= 0.5)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(batch.num_columns - 1)), *made],
-                [*keep, "score", "p_text", "p_page", "accepted"])
+                [*(batch.column(i) for i in range(batch.num_columns - 1)), *made], [*keep, *RESULT])
 
-    out = extended(rows.drop("_view"), "score double, p_text double, p_page double, accepted boolean")
+    out = extended(rows.drop("_view"), "score double, p_text double, p_page double, accepted boolean, p_toxic double, toxic boolean")
     return rows.mapInArrow(work, out)
 
 
@@ -270,8 +488,8 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
 
 
 def accepted_rows(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all their columns, that the classifier accepts."""
+    """The rows of ``docs``, all their columns, of good quality and not toxic."""
     verdict = "_accepted"
     rows = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     judged = scored(rows, train(docs, labels), ["_row"], least).withColumnRenamed("accepted", verdict)
-    return judged.where(F.col(verdict)).select("_row.*")
+    return judged.where(F.col(verdict) & ~F.col("toxic")).select("_row.*")

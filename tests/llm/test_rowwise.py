@@ -158,3 +158,23 @@ def test_views_help_each_other():
     score = lambda m: (((m.text.margin(a[3000:]) > 0) == (y[3000:] > 0.5)).mean())
     assert score(both) >= score(alone)
     assert math.isfinite(both.prior)
+
+
+def test_words_alone_mark_toxic_and_low_texts(spark):
+    """Texts of one typography: only a word tells the toxic ones, only a pair of words the low ones."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(900):
+        words = [f"w{'abcdefghij'[k]}x" for k in rng.integers(0, 10, 60)]
+        toxic, low = i % 5 == 0, i % 3 == 0
+        words[20] = "wzx" if toxic else words[20]
+        words[40:42] = ["wpx", "wqx"] if low else ["wqx", "wpx"]
+        rows.append((i, " ".join(words), "en", "a", 300))
+        labels.append((i, int(not low), int(toxic)))
+    docs, known = cases.table(spark, rows), spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, known).toPandas().set_index("doc_id").loc[600:]
+    want = {i: (q, t) for i, q, t in labels}
+    assert all(out.toxic[i] == (want[i][1] == 1) and out.accepted[i] == (want[i][0] == 1) for i in out.index)
+    kept = {r["doc_id"] for r in quality.accepted_rows(docs, known).collect() if r["doc_id"] >= 600}
+    assert kept == {i for i in range(600, 900) if want[i] == (1, 0)}
+    assert not quality.classify(docs, known.drop("toxic")).toPandas().toxic.any()
