@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-An item of w words is compared with every window of w words of a document. Both are
+An item of w words is compared with every window of w words of a document, or with
+the whole document if that has fewer words. Both are
 sets of five-word shingles, weighted by their rarity among the items, so that a
 stock phrase of many items counts for little. The weights' signs add up to a
 SimHash of 128 bits. Items are indexed by blocks of their fingerprint's bits: with
@@ -8,6 +9,8 @@ more blocks than half the radius, two fingerprints within the radius agree in so
 block but for one bit, so looking up each block and its one-bit neighbours finds
 all of them. The exact weighted similarity then decides.
 
+Whole documents against longer items need no fingerprint: shared shingles are counted.
+
 A window that holds no shingle of any item has similarity 0; such windows are left
 out before they are hashed. That takes a table of the items' shingles, which is part
 of the broadcast index. The index is bounded: a benchmark larger than ``BLOCK_WORDS``
@@ -57,6 +60,8 @@ class Index:
     idf: np.ndarray  # their weights
     lengths: list[np.ndarray]  # per known shingle: word counts of the items that hold it
     sets: list[np.ndarray]  # per item: positions in ``known``
+    owners: np.ndarray  # items by known shingle, and the bounds of each shingle's run
+    runs: np.ndarray
     weight: np.ndarray  # per item: sum of weights
     prints: np.ndarray  # items x 16
     radius: int
@@ -100,6 +105,9 @@ def build_index(ids: list, texts: list[str | None], radius: int = 40) -> Index:
     places = [np.searchsorted(known, s) for s in sets]
     prints = np.array(
         [simhash(_signs(own[i]), idf[np.searchsorted(known, own[i])]) for i in keep], np.uint8).reshape(len(keep), BITS // 8)
+    held_at = np.concatenate(places) if places else np.zeros(0, np.int64)
+    holders = np.repeat(np.arange(len(places)), [len(p) for p in places])[np.argsort(held_at, kind="stable")]
+    runs = np.concatenate([[0], np.cumsum(np.bincount(held_at, minlength=len(known)))])
     lengths = counts[keep]
     held: list[set[int]] = [set() for _ in known]
     for k, place in enumerate(places):
@@ -118,7 +126,7 @@ def build_index(ids: list, texts: list[str | None], radius: int = 40) -> Index:
             owners = np.tile(items, high - low + 1)
             order = np.argsort(keys, kind="stable")
             lookup[length].append((low, high, keys[order], owners[order]))
-    return Index([ids[i] for i in keep], lengths, known, idf, [np.array(sorted(h), np.int64) for h in held], places,
+    return Index([ids[i] for i in keep], lengths, known, idf, [np.array(sorted(h), np.int64) for h in held], places, holders, runs,
                  np.array([idf[p].sum() for p in places]), prints, radius, lookup)
 
 
@@ -159,6 +167,9 @@ def matches(index: Index, words: np.ndarray, least: float) -> list[tuple[int, fl
             for length in index.lengths[place[anchor]].tolist():
                 if min(WIDTH, length) == width and length <= n:
                     wanted.setdefault(length, []).append(anchor)
+        for item, value in _longer(index, n, width, shingles, place):
+            if value >= least - 1e-12 and value > best.get(item, (0.0, 0))[0]:
+                best[item] = (value, 0)
         for length, near in wanted.items():
             per = length - width + 1
             starts = np.unique((np.array(near)[:, None] - np.arange(per)[None, :]).ravel())
@@ -175,6 +186,22 @@ def matches(index: Index, words: np.ndarray, least: float) -> list[tuple[int, fl
     return [(item, value, start) for item, (value, start) in sorted(best.items())]
 
 
+def _longer(index: Index, n: int, width: int, shingles: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, float]]:
+    """Items of more than ``n`` words that share a shingle with the whole document, and their similarity."""
+    if n >= index.words.max():
+        return
+    inside = np.unique(shingles, return_index=True)[1]
+    held = place[inside]
+    held = held[held >= 0]
+    pairs = np.concatenate([index.owners[index.runs[p] : index.runs[p + 1]] for p in held.tolist()])
+    at = np.repeat(held, index.runs[held + 1] - index.runs[held])
+    right = (index.words[pairs] > n) & (np.minimum(index.words[pairs], WIDTH) == width)
+    weight = np.where(place[inside] >= 0, index.idf[np.maximum(place[inside], 0)], 1.0).sum()
+    shared = np.bincount(pairs[right], index.idf[at[right]], minlength=len(index.ids))
+    for item in np.flatnonzero(shared).tolist():
+        yield item, float(shared[item] / (weight + index.weight[item] - shared[item]))
+
+
 def _window_prints(shingles, weight, starts, per, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Starts and fingerprints of the windows of ``per`` shingles, as differences of running sums."""
     for group in np.split(starts, np.flatnonzero(np.diff(starts) > per) + 1):
@@ -214,7 +241,7 @@ def _scan(batch_text: pa.Array, index: Index, quick: Filter, least: float) -> It
         for row in np.flatnonzero(hit).tolist():
             mine = words[bounds[row] : bounds[row + 1]]
             for item, value, start in matches(index, mine, least):
-                yield low + row, item, value, start, int(index.words[item])
+                yield low + row, item, value, start, min(len(mine), int(index.words[item]))
 
 
 def contaminated(
@@ -223,7 +250,8 @@ def contaminated(
     """A row per document and benchmark item that it contains.
 
     Columns: ``doc_id``, ``item_id``, ``similarity`` (of the best window),
-    ``start_word`` and ``n_words``. Words are lower-cased runs between white space; an item of fewer than five words is one shingle. A null or empty text or
+    ``start_word`` and ``n_words`` (of that window; a document shorter than the item is
+    one window). Words are lower-cased runs between white space; an item of fewer than five words is one shingle. A null or empty text or
     item matches nothing; repeated items count once, repeated rows each; an empty
     table on either side gives an empty result; other columns are ignored.
     """

@@ -252,3 +252,19 @@ def test_pipeline_edges(spark, tmp_path):
         for name, function in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stage(function(spark, docs, str(tmp_path)), name)
         assert set(docs.columns) >= {"doc_id", "text", "shard", "slot"}
+
+
+def test_documents_shorter_than_an_item(spark):
+    """An item less its first or last words is compared as a whole."""
+    items = [(1, " ".join(f"a{i}" for i in range(59))), (2, " ".join(f"b{i}" for i in range(15))), (3, "c0 c1 c2 c3 c4")]
+    cut = lambda k, low, high: " ".join(items[k][1].split()[low:high])
+    docs = [(0, cut(0, 0, 58)), (1, cut(0, 1, 59)), (2, cut(1, 0, 14)), (3, cut(1, 3, 14)), (4, cut(0, 0, 40)), (5, cut(2, 0, 4))]
+    rows = cases.table(spark, [(i, t, None, None, None) for i, t in docs])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(rows, bench).collect()}
+    want = {(i, k) for i, t in docs for k, own in items if len(t.split()) < len(own.split())
+            for a, b in [({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split(), own.split()))]
+            if len(a & b) >= 0.8 * len(a | b)}
+    assert set(out) == want == {(0, 1), (1, 1), (2, 2)}
+    assert out[0, 1]["similarity"] == pytest.approx(54 / 55) and out[0, 1]["n_words"] == 58 and out[0, 1]["start_word"] == 0
+    assert {r["doc_id"] for r in decontaminate.clean_rows(rows, bench).collect()} == {3, 4, 5}
