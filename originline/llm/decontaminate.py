@@ -2,7 +2,7 @@
 
 An item of w words is compared with every window of w words of a document, or with
 the whole document if that has fewer words. Both are
-sets of five-word shingles, weighted by their rarity among the items, so that a
+sets of five-word shingles, weighted by their rarity among the distinct item texts, so that a
 stock phrase of many items counts for little. The weights' signs add up to a
 SimHash of 128 bits. Items are indexed by blocks of their fingerprint's bits: with
 more blocks than half the radius, two fingerprints within the radius agree in some
@@ -20,6 +20,7 @@ words is handled in blocks of whole items, each of them against all documents.
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,7 @@ class Index:
     owners: np.ndarray  # items by known shingle, and the bounds of each shingle's run
     runs: np.ndarray
     weight: np.ndarray  # per item: sum of weights
+    uneven: np.ndarray  # per item: whether its prints may be further off than the radius; compared without
     prints: np.ndarray  # items x 16
     radius: int
     lookup: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]]  # by word count: a table per bit block
@@ -87,11 +89,14 @@ def _number(bits: np.ndarray) -> np.ndarray:
     return bits.astype(np.int64) @ (1 << np.arange(bits.shape[1] - 1, -1, -1, dtype=np.int64))
 
 
-def build_index(ids: list, texts: list[str | None], radius: int = 40) -> Index:
+def build_index(ids: list, texts: list[str | None], radius: int = 40, repeated: tuple | None = None) -> Index:
     """Index of items; those without a word are left out. ``radius`` is in bits of 128.
 
     Sets of similarity 0.8 differ in 18 to 20 bits on average, give or take 4; 40 is
-    five deviations above, and unrelated sets differ in 64, give or take 6.
+    five deviations above, and unrelated sets differ in 64, give or take 6. That holds
+    for equal weights; items with a weight below 1 or a repeated shingle are compared
+    without fingerprints. ``repeated`` has the shingles that several distinct texts of
+    the whole benchmark hold, sorted, and by how many; without it these texts are all.
     """
     data, offsets = text_bytes(pc.utf8_lower(pa.array(texts, pa.string())))
     words, bounds = word_hashes(data, offsets)
@@ -100,7 +105,14 @@ def build_index(ids: list, texts: list[str | None], radius: int = 40) -> Index:
     own = [shingles[at[i] : at[i + 1]] for i in range(len(ids))]
     keep = [i for i in range(len(ids)) if counts[i] > 0]
     sets = [np.unique(own[i]) for i in keep]
-    known, df = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+    first = np.unique([words[bounds[i] : bounds[i + 1]].tobytes() for i in keep], return_index=True)[1] if keep else []
+    known = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
+    if repeated is None:
+        repeated = np.unique(np.concatenate([sets[k] for k in first]) if keep else known, return_counts=True)
+    df = np.ones(len(known), np.int64)
+    if len(repeated[0]):
+        at_df = np.minimum(np.searchsorted(repeated[0], known), len(repeated[0]) - 1)
+        df = np.where(repeated[0][at_df] == known, repeated[1][at_df], 1)
     idf = 1.0 / (1.0 + np.log(df))
     places = [np.searchsorted(known, s) for s in sets]
     prints = np.array(
@@ -127,7 +139,9 @@ def build_index(ids: list, texts: list[str | None], radius: int = 40) -> Index:
             order = np.argsort(keys, kind="stable")
             lookup[length].append((low, high, keys[order], owners[order]))
     return Index([ids[i] for i in keep], lengths, known, idf, [np.array(sorted(h), np.int64) for h in held], places, holders, runs,
-                 np.array([idf[p].sum() for p in places]), prints, radius, lookup)
+                 np.array([idf[p].sum() for p in places]),
+                 np.array([idf[p].min() < 1 or len(p) < len(own[i]) for i, p in zip(keep, places, strict=True)], bool),
+                 prints, radius, lookup)
 
 
 def _membership(index: Index, shingles: np.ndarray) -> np.ndarray:
@@ -151,6 +165,23 @@ class Filter:
         return self.map[(shingles >> self.shift).astype(np.int64)]
 
 
+def _similarity(index: Index, item: int, shared: float, n_shared: int, n_inside: int) -> float:
+    """Weighted similarity; a window's other shingles weigh like those of the item that they stand for."""
+    size = len(index.sets[item])
+    lost = (index.weight[item] - shared) / (size - n_shared) if n_shared < size else index.weight[item] / size
+    return float(shared / (index.weight[item] + (n_inside - n_shared) * lost))
+
+
+def _sharing(index: Index, held: np.ndarray, n_inside: int, right: np.ndarray) -> Iterator[tuple[int, float]]:
+    """Those of the ``right`` items that hold one of the distinct positions ``held``, and their similarity."""
+    pairs = np.concatenate([index.owners[index.runs[p] : index.runs[p + 1]] for p in held.tolist()])
+    at = np.repeat(held, index.runs[held + 1] - index.runs[held])
+    at, pairs = at[right[pairs]], pairs[right[pairs]]
+    items, place, count = np.unique(pairs, return_inverse=True, return_counts=True)
+    for item, shared, n in zip(items.tolist(), np.bincount(place, index.idf[at]).tolist(), count.tolist(), strict=True):
+        yield item, _similarity(index, item, shared, n, n_inside)
+
+
 def matches(index: Index, words: np.ndarray, least: float) -> list[tuple[int, float, int]]:
     """(item, similarity, first word) of the best window of a document for each item it contains."""
     n = len(words)
@@ -174,13 +205,22 @@ def matches(index: Index, words: np.ndarray, least: float) -> list[tuple[int, fl
             per = length - width + 1
             starts = np.unique((np.array(near)[:, None] - np.arange(per)[None, :]).ravel())
             starts = starts[(starts >= 0) & (starts + length <= n)]
+            right = index.uneven & (index.words == length)
+            for start in starts.tolist() if right.any() else ():
+                inside = np.unique(shingles[start : start + per], return_index=True)[1] + start
+                held = place[inside]
+                if not (held >= 0).any():
+                    continue
+                for item, value in _sharing(index, held[held >= 0], len(inside), right):
+                    if value >= least - 1e-12 and value > best.get(item, (0.0, 0))[0]:
+                        best[item] = (value, start)
             for part, prints in _window_prints(shingles, weight, starts, per):
                 for window, item in zip(*(x.tolist() for x in index.near(prints, length)), strict=True):
                     start = int(part[window])
                     inside = np.unique(shingles[start : start + per], return_index=True)[1] + start
                     held = place[inside]
-                    shared = index.idf[np.intersect1d(held[held >= 0], index.sets[item], assume_unique=True)].sum()
-                    value = float(shared / (weight[inside].sum() + index.weight[item] - shared))
+                    both = np.intersect1d(held[held >= 0], index.sets[item], assume_unique=True)
+                    value = _similarity(index, item, index.idf[both].sum(), len(both), len(inside))
                     if value >= least - 1e-12 and value > best.get(item, (0.0, 0))[0]:
                         best[item] = (value, start)
     return [(item, value, start) for item, (value, start) in sorted(best.items())]
@@ -193,13 +233,8 @@ def _longer(index: Index, n: int, width: int, shingles: np.ndarray, place: np.nd
     inside = np.unique(shingles, return_index=True)[1]
     held = place[inside]
     held = held[held >= 0]
-    pairs = np.concatenate([index.owners[index.runs[p] : index.runs[p + 1]] for p in held.tolist()])
-    at = np.repeat(held, index.runs[held + 1] - index.runs[held])
-    right = (index.words[pairs] > n) & (np.minimum(index.words[pairs], WIDTH) == width)
-    weight = np.where(place[inside] >= 0, index.idf[np.maximum(place[inside], 0)], 1.0).sum()
-    shared = np.bincount(pairs[right], index.idf[at[right]], minlength=len(index.ids))
-    for item in np.flatnonzero(shared).tolist():
-        yield item, float(shared[item] / (weight + index.weight[item] - shared[item]))
+    right = (index.words > n) & (np.minimum(index.words, WIDTH) == width)
+    yield from _sharing(index, held, len(inside), right)
 
 
 def _window_prints(shingles, weight, starts, per, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -220,9 +255,33 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[Da
     return [sized.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def _index_of(block: DataFrame, radius: int) -> Index:
+def _held_shingles(items: DataFrame) -> DataFrame:
+    """Distinct (item text, shingle) by their hashes; texts of the same words are one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(pc.utf8_lower(batch.column(0)))
+            words, bounds = word_hashes(data, offsets)
+            whole = [int(shingle_hashes(words[low:high], np.array([0, high - low]), max(high - low, 1))[0][:1].sum())
+                     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            shingles, at = shingle_hashes(words, bounds, WIDTH)
+            owner = np.repeat(np.array(whole, np.uint64), np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), pa.array(shingles.view(np.int64))], ["whole", "shingle"])
+
+    return items.select("text").mapInArrow(work, "whole long, shingle long").distinct()
+
+
+def _index_of(block: DataFrame, radius: int, blocks: list[DataFrame]) -> Index:
+    """Index of a block; how many distinct texts hold a shingle is counted over all blocks."""
     rows = sorted({(r["item_id"], r["text"]) for r in block.toLocalIterator()}, key=str)
-    return build_index([r[0] for r in rows], [r[1] for r in rows], radius)
+    if len(blocks) == 1:
+        return build_index([r[0] for r in rows], [r[1] for r in rows], radius)
+    items = functools.reduce(DataFrame.unionByName, blocks)
+    counts = _held_shingles(items).groupBy("shingle").count().where("count > 1")
+    found = counts.join(_held_shingles(block).select("shingle"), "shingle", "left_semi").toArrow()
+    keys = found["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return build_index([r[0] for r in rows], [r[1] for r in rows], radius, (keys[order], found["count"].to_numpy()[order]))
 
 
 def _scan(batch_text: pa.Array, index: Index, quick: Filter, least: float) -> Iterator[tuple[int, int, float, int, int]]:
@@ -261,8 +320,9 @@ def contaminated(
     out = extended(rows.drop("_text"), "item_id string, similarity double, start_word long, n_words long")
     out["item_id"].dataType = kind
     parts = []
-    for block in item_blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(_index_of(block, radius))
+    blocks = item_blocks(benchmark, block_words)
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(_index_of(block, radius, blocks))
         parts.append(rows.mapInArrow(_finder(shared, least, to_arrow_type(kind)), out))
     result = parts[0]
     for part in parts[1:]:
@@ -305,6 +365,7 @@ def clean_rows(
 
         return work
 
-    for block in item_blocks(benchmark, block_words):
-        docs = docs.mapInArrow(dropper(spark.sparkContext.broadcast(_index_of(block, radius))), docs.schema)
+    blocks = item_blocks(benchmark, block_words)
+    for block in blocks:
+        docs = docs.mapInArrow(dropper(spark.sparkContext.broadcast(_index_of(block, radius, blocks))), docs.schema)
     return docs

@@ -268,3 +268,19 @@ def test_documents_shorter_than_an_item(spark):
     assert set(out) == want == {(0, 1), (1, 1), (2, 2)}
     assert out[0, 1]["similarity"] == pytest.approx(54 / 55) and out[0, 1]["n_words"] == 58 and out[0, 1]["start_word"] == 0
     assert {r["doc_id"] for r in decontaminate.clean_rows(rows, bench).collect()} == {3, 4, 5}
+
+
+def test_repeated_items_keep_the_threshold(spark):
+    """A passage under several ids, in near copies, and in one block or many is found alike."""
+    words = [f"d{i}" for i in range(59)]
+    near = [*words[:50], "other", *words[51:]]
+    items = [(1, " ".join(words)), (2, " ".join(words).upper()), (3, " ".join(near)), *((k, f"filler{k} " * 30) for k in range(4, 12))]
+    edited = " ".join(["before"] * 9 + words[:20] + ["changed"] + words[21:] + ["after"] * 9)
+    rows = cases.table(spark, [(0, edited, None, None, None), (1, "before after", None, None, None)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for block in (1_000_000, 250):
+        out = decontaminate.contaminated(rows, bench, block_words=block).collect()
+        found.append(sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in out))
+        assert {r["doc_id"] for r in decontaminate.clean_rows(rows, bench, block_words=block).collect()} == {1}
+    assert found[0] == found[1] and {(0, 1), (0, 2)} <= {f[:2] for f in found[0]}
