@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originline.llm import decontaminate, fingerprint, language, licenses, mixing, ngram_join, pages, quality, shards, tokens
+from originline.llm import collocations, decontaminate, fingerprint, language, licenses, mixing, ngram_join, pages, quality, shards, tokens
 from originline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return pages.extract(table(spark, folder, "pages"))
+
+
+@query("op11_collocations", collocations.ORACLE_SQL)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases of every language whose words keep together, by their weakest cut."""
+    return collocations.collocations(table(spark, folder, "documents"))
