@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originline.llm import collocations, decontaminate, fingerprint, language, licenses, mixing, ngram_join, pages, quality, shards, tokens
+from originline.llm import (
+    collocations, decontaminate, embedding_dedup, filter_audit, fingerprint, language, licenses, mixing, ngram_join, pages, quality,
+    shards, tokens,
+)
 from originline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +101,15 @@ def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
 def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """Phrases of every language whose words keep together, by their weakest cut."""
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op12_filter_audit", filter_audit.ORACLE_SQL)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove in every order, by source, from a stream over the documents' files."""
+    return filter_audit.audit(spark, f"{folder}/documents.parquet", table(spark, folder, "labels"))
+
+
+@query("op13_embedding_dedup", embedding_dedup.ORACLE_SQL)
+def op13_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector under a cosine of 0.95."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
