@@ -323,11 +323,9 @@ SELECT metric, round(m, 5) AS model, round(b, 5) AS baseline, round(gain, 5) AS
   round(CASE WHEN metric = 'mae_minutes' THEN 1 - m / nullif(b, 0) ELSE (m - b) / nullif(b, 0) END, 5) AS relative,
   CASE WHEN metric = 'overall' THEN CASE WHEN gain > 0 THEN 'beats' WHEN gain < 0 THEN 'loses' ELSE 'ties' END
   END AS verdict
-FROM (SELECT metric, x.value AS m, y.value AS b,
-    CASE WHEN metric = 'mae_minutes' THEN y.value - x.value ELSE x.value - y.value END AS gain
-  FROM (SELECT * FROM rep WHERE split = 'test' AND model = 'transition') x
-  JOIN (SELECT * FROM rep WHERE split = 'test' AND model = 'habit') y USING (metric)
-  WHERE metric IN ({quoted((*S.HEADS, 'overall', 'strict', 'mae_minutes'))}))"""))
+FROM (SELECT metric, m, b, CASE WHEN metric = 'mae_minutes' THEN b - m ELSE m - b END AS gain
+  FROM (SELECT metric, max(value) FILTER (model = 'transition') AS m, max(value) FILTER (model = 'habit') AS b
+    FROM rep WHERE split = 'test' AND metric IN ({quoted((*S.HEADS, 'overall', 'strict', 'mae_minutes'))}) GROUP BY metric))"""))
 def compare_reports(ws: Workspace) -> DataFrame:
     return rounded(S.compare_reports(test_report(ws), "transition", "habit"), 5)
 
