@@ -124,10 +124,16 @@ def _windows(w: int) -> Column:
 
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """A row per template: number, license, words, shingle width, shingle hashes, band keys."""
-    rows = [
-        (k, name, len(w), min(WIDTH, len(w)), shingles_of(w)) for k, (name, text) in enumerate(templates) if (w := words_of(text))
+    rows = [(k, name, w) for k, (name, text) in enumerate(templates) if (w := words_of(text))]
+    if not rows:
+        return spark.range(0).selectExpr(
+            "0 AS template", "'' AS license", "0 AS n_words", "0 AS width", "array(0L) AS wanted", "array(0L) AS bands")
+    cells = [
+        F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(len(w)).alias("n_words"),
+                 F.lit(min(WIDTH, len(w))).alias("width"), F.array(*map(F.lit, shingles_of(w))).alias("parts"))
+        for k, name, w in rows
     ]
-    base = spark.createDataFrame(rows, "template int, license string, n_words int, width int, parts array<string>")
+    base = spark.range(1).select(F.inline(F.array(*cells)))
     hashed = base.withColumn("wanted", F.transform("parts", _hash)).drop("parts")
     return hashed.withColumn("bands", _bands(F.col("wanted")))
 
