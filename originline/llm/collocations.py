@@ -1,8 +1,8 @@
 """Phrase collocations by HAT-trie counting.
 
 Phrases are counted one length after the other. A task walks its texts once a length
-and counts in a :class:`HatTrie`: a word-id trie of two levels (language, first word)
-over hash containers of the remaining ids, which burst into branches as they fill.
+and counts in a :class:`HatTrie`: a shallow trie by the language and the digits of the
+first word's id, over hash containers of paths, which burst into branches as they fill.
 When the trie is full, its largest subtrees are written out whole as sorted runs of
 (language, phrase, count); the runs of all tasks are then merged by ranges of their
 prefixes. Nothing of a task's memory grows with the corpus.
@@ -124,82 +124,124 @@ def _phrase_hashes(words: np.ndarray, salts: np.ndarray, length: int) -> np.ndar
     return value
 
 
+class Box:
+    """A hash container: keys, counts and paths in open addressing, filled a batch at a time."""
+
+    def __init__(self, length: int, slots: int = 1024) -> None:
+        self.size, self.length = 0, length
+        self._make(slots)
+
+    def _make(self, slots: int) -> None:
+        self.keys, self.counts = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+        self.paths = np.zeros((slots, self.length), np.int32)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, paths: np.ndarray) -> None:
+        """Count distinct, non-zero keys."""
+        need = 2 * (self.size + len(keys))
+        if need > len(self.keys):
+            old = self.content()
+            self.size = 0
+            self._make(1 << int(need - 1).bit_length())
+            self._put(*old)
+        self._put(keys, counts, paths)
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray, paths: np.ndarray) -> None:
+        last = np.uint64(len(self.keys) - 1)
+        slot = ((keys ^ (keys >> np.uint64(32))) & last).astype(np.int64)
+        open_rows = np.arange(len(keys))
+        while len(open_rows):
+            there, own = self.keys[slot], keys[open_rows]
+            free = np.flatnonzero(there == 0)
+            if len(free):  # of several rows that want a slot the last one has it
+                self.keys[slot[free]] = own[free]
+                won = free[self.keys[slot[free]] == own[free]]
+                self.paths[slot[won]] = paths[open_rows[won]]
+                self.size += len(won)
+            hit = self.keys[slot] == own
+            self.counts[slot[hit]] += counts[open_rows[hit]]
+            open_rows, slot = open_rows[~hit], (slot[~hit] + 1) & int(last)
+
+    def content(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        used = self.keys != 0
+        return self.keys[used], self.counts[used], self.paths[used]
+
+
 class HatTrie:
     """Counts of paths (language, word, word, ...) of local ids.
 
-    A node is a hash container (a dict from the bytes of the ids below to a count) or,
-    once that has held more than ``burst`` paths, a branch by the next id. Branches
-    are made at the language and at the first word only.
+    The trie branches by the language and then by the digits of the first word's id,
+    ``DIGIT`` bits each. Below lie hash containers (:class:`Box`) of whole paths; one
+    that holds more than ``burst`` of them bursts into a branch, down to ``DEEPEST``.
     """
 
-    DEEPEST = 2
+    DIGIT, DEEPEST = 4, 4
 
-    def __init__(self, burst: int = 4096) -> None:
-        self.burst, self.root, self.size = burst, _Branch(), 0
+    def __init__(self, length: int, burst: int = 1 << 15) -> None:
+        self.length, self.burst = length, burst
+        self.root = Branch()
 
-    def add(self, paths: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort((paths[:, 0].astype(np.int64) << 32) | paths[:, 1], kind="stable")
-        self._branch(self.root, 0, paths[order], counts[order])
+    def _digit(self, paths: np.ndarray, depth: int) -> np.ndarray:
+        if depth == 0:
+            return paths[:, 0]
+        return (paths[:, 1] >> (self.DIGIT * (depth - 1))) & ((1 << self.DIGIT) - 1)
 
-    def _branch(self, node: _Branch, depth: int, paths: np.ndarray, counts: np.ndarray) -> None:
-        own = paths[:, depth]
-        edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+    def add(self, keys: np.ndarray, counts: np.ndarray, paths: np.ndarray) -> None:
+        """Count distinct paths, each with a 64-bit key that no other path has."""
+        self._spread(self.root, 0, np.maximum(keys, np.uint64(1)), counts, paths)
+
+    def _spread(self, node: Branch, depth: int, keys: np.ndarray, counts: np.ndarray, paths: np.ndarray) -> None:
+        if len(keys) == 0:
+            return
+        digit = self._digit(paths, depth)
+        order = np.argsort(digit, kind="stable")
+        digit, keys, counts, paths = digit[order], keys[order], counts[order], paths[order]
+        edges = [0, *(np.flatnonzero(digit[1:] != digit[:-1]) + 1).tolist(), len(digit)]
         for low, high in zip(edges, edges[1:], strict=False):
-            key = int(own[low])
+            key = int(digit[low])
             child = node.children.get(key)
             if child is None:
-                child = node.children[key] = {}
-            if isinstance(child, _Branch):
-                self._branch(child, depth + 1, paths[low:high], counts[low:high])
+                child = node.children[key] = Box(self.length + 1)
+            if isinstance(child, Branch):
+                self._spread(child, depth + 1, keys[low:high], counts[low:high], paths[low:high])
                 continue
-            self._fill(child, depth + 1, paths[low:high], counts[low:high])
-            if len(child) > self.burst and depth + 1 < min(self.DEEPEST, paths.shape[1] - 1):
-                node.children[key] = _burst(child)
-
-    def _fill(self, box: dict[bytes, int], depth: int, paths: np.ndarray, counts: np.ndarray) -> None:
-        width = 4 * (paths.shape[1] - depth)
-        had, data, get = len(box), np.ascontiguousarray(paths[:, depth:]).tobytes(), box.get
-        for at, count in enumerate(counts.tolist()):
-            key = data[at * width : (at + 1) * width]
-            box[key] = get(key, 0) + count
-        self.size += len(box) - had
-
-    def subtrees(self) -> list[tuple[int, tuple[int, ...], _Branch, int]]:
-        """(size, path, branch above, its key there) of every container."""
+            child.add(keys[low:high], counts[low:high], paths[low:high])
+            if child.size > self.burst and depth + 1 < self.DEEPEST:
+                node.children[key] = Branch()
+                self._spread(node.children[key], depth + 1, *child.content())
+
+    def subtrees(self) -> list[tuple[Box, Branch, int, tuple[int, ...]]]:
+        """Every container, the branch above it, its key there, and the path of digits."""
         found, open_nodes = [], [((), self.root)]
         while open_nodes:
             path, node = open_nodes.pop()
             for key, child in node.children.items():
-                if isinstance(child, _Branch):
+                if isinstance(child, Branch):
                     open_nodes.append(((*path, key), child))
                 else:
-                    found.append((len(child), (*path, key), node, key))
+                    found.append((child, node, key, (*path, key)))
         return found
 
+    @property
+    def size(self) -> int:
+        return sum(box.size for box, *_ in self.subtrees())
+
     def spill(self, room: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Take whole subtrees out, the largest first, until ``room`` paths are left."""
-        for size, path, node, key in sorted(self.subtrees(), key=lambda s: (-s[0], s[1])):
-            if self.size <= room:
+        left = self.size
+        for box, node, key, _ in sorted(self.subtrees(), key=lambda s: (-s[0].size, s[3])):
+            if left <= room:
                 break
-            box = node.children.pop(key)
-            self.size -= size
-            rest = np.frombuffer(b"".join(box), np.int32).reshape(size, -1)
-            head = np.broadcast_to(np.array(path, np.int32), (size, len(path)))
-            yield np.concatenate([head, rest], axis=1), np.fromiter(box.values(), np.int64, size)
+            del node.children[key]
+            left -= box.size
+            _, counts, paths = box.content()
+            yield paths, counts
 
 
-class _Branch:
+class Branch:
     __slots__ = ("children",)
 
     def __init__(self) -> None:
-        self.children: dict[int, dict[bytes, int] | _Branch] = {}
-
-
-def _burst(box: dict[bytes, int]) -> _Branch:
-    out = _Branch()
-    for key, count in box.items():
-        out.children.setdefault(int.from_bytes(key[:4], "little"), {})[key[4:]] = count
-    return out
+        self.children: dict[int, Box | Branch] = {}
 
 
 class _Local:
@@ -230,11 +272,11 @@ class _Local:
         return out
 
 
-def _paths(words: Words, langs: np.ndarray, local: _Local, length: int, known: Bits | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct phrases of a stretch that may be frequent, as paths, and their counts."""
+def _paths(words: Words, langs: np.ndarray, local: _Local, length: int, known: Bits | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct phrases of a stretch that may be frequent: hashes, counts, and paths of local ids."""
     n = len(words) - length + 1
     if n <= 0:
-        return np.zeros((0, length + 1), np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, length + 1), np.int32)
     own = langs[words.owners]
     salts = np.array(local.salts, np.uint64)[own]
     there = words.pieces[:n] == words.pieces[length - 1 :]
@@ -244,12 +286,12 @@ def _paths(words: Words, langs: np.ndarray, local: _Local, length: int, known: B
         there &= shorter[:n] & shorter[1 : n + 1]
     at = np.flatnonzero(there)
     value = _phrase_hashes(words.hashes, salts, length)[at]
-    _, first, counts = np.unique(value, return_index=True, return_counts=True)
+    value, first, counts = np.unique(value, return_index=True, return_counts=True)
     places = at[first][:, None] + np.arange(length)
     flat = places.ravel()
     hashes, one, back = np.unique(words.hashes[flat], return_index=True, return_inverse=True)
     ids = local.ids(hashes, flat[one], words)
-    return np.column_stack([own[at[first]].astype(np.int32), ids[back].reshape(places.shape)]).astype(np.int32), counts
+    return value, counts, np.column_stack([own[at[first]].astype(np.int32), ids[back].reshape(places.shape)]).astype(np.int32)
 
 
 def _runs(subtrees: Iterator[tuple[np.ndarray, np.ndarray]], local: _Local, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -280,7 +322,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def counted(docs: DataFrame, length: int, shorter: Bits | None, room: int = 300_000) -> DataFrame:
+def counted(docs: DataFrame, length: int, shorter: Bits | None, room: int = 1_500_000) -> DataFrame:
     """``lang``, ``phrase`` and its count ``n``, of all phrases of ``length`` words that may be frequent.
 
     ``shorter`` holds the frequent phrases one word shorter; ``room`` is how many
@@ -290,14 +332,12 @@ def counted(docs: DataFrame, length: int, shorter: Bits | None, room: int = 300_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if shared is None else shared.value
-        trie, local = HatTrie(), _Local()
+        trie, local = HatTrie(length), _Local()
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             langs = np.array([local.lang(x) for x in batch.column(0).to_pylist()], np.int32)
             for words in word_stretches(_LOWER[data], offsets, length - 1):
-                paths, counts = _paths(words, langs, local, length, known)
-                if len(paths):
-                    trie.add(paths, counts)
+                trie.add(*_paths(words, langs, local, length, known))
                 if trie.size > room:
                     yield from _runs(trie.spill(room // 2), local)
                 if len(local.words) > room:

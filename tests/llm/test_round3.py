@@ -98,19 +98,22 @@ def test_stretches_see_every_phrase_once(chunk):
 
 def test_trie_bursts_and_spills_whole_subtrees():
     rng = np.random.default_rng(5)
-    trie, want = collocations.HatTrie(burst=20), Counter()
+    trie, want = collocations.HatTrie(3, burst=20), Counter()
     for _ in range(30):
-        paths = np.unique(rng.integers(0, [2, 5, 9, 9], (200, 4)), axis=0).astype(np.int32)
+        paths = np.unique(rng.integers(0, [2, 40, 9, 9], (200, 4)), axis=0).astype(np.int32)
+        keys = (paths.astype(np.uint64) * np.array([1, 64, 4096, 65536], np.uint64)).sum(axis=1) << np.uint64(20)
         counts = rng.integers(1, 5, len(paths))
         want.update({tuple(p): c for p, c in zip(paths.tolist(), counts.tolist(), strict=True)})
-        trie.add(paths, counts)
-    assert any(isinstance(b, collocations._Branch) for b in trie.root.children.values())
+        trie.add(keys, counts, paths)
+    assert any(isinstance(c, collocations.Branch) for b in trie.root.children.values() for c in b.children.values())
     had, got = trie.size, Counter()
+    left = []
     for part in (trie.spill(had // 2), trie.spill(0)):
         for paths, counts in part:
-            assert len(set(map(tuple, paths[:, :2].tolist()))) == 1  # one subtree
+            assert len({(p[0], p[1] % 16) for p in paths.tolist()}) == 1  # one subtree
             got.update({tuple(p): c for p, c in zip(paths.tolist(), counts.tolist(), strict=True)})
-    assert got == want and trie.size == 0 and had == len(want)
+        left.append(trie.size)
+    assert got == want and 0 < left[0] <= had // 2 and left[1] == 0 and had == len(want)
 
 
 def test_collocations_with_a_small_room(spark):
