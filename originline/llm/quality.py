@@ -7,8 +7,9 @@ other one. In the end both are calibrated on labelled rows held out of the fit,
 their evidence is added up: the logits' sum less the base rate that both contain.
 
 The words' evidence is a sparse logistic regression on hashed words, word
-beginnings and pairs of words of the whole text. It joins the text view as one
-feature, made for labelled rows by models that did not see their texts. A second
+beginnings and pairs of words of the whole text. It is fitted again in every round,
+also on the rows that the metadata are sure of, and joins the text view as one
+feature, made for every row by models that did not see its text. A second
 regression of this kind, on the ``toxic`` label, is a verdict of its own.
 """
 
@@ -21,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from originline.llm.common import SPACES, draw, extended, mix, prepare, slices, text_bytes, word_hashes
+from originline.session import stage
 
 SOURCES, LANGS = 32, 8
 #: Byte classes whose shares describe a text's look.
@@ -39,6 +42,8 @@ for _k, _chars in enumerate(_CLASSES):
 WORD_BITS, STEM = 20, 6
 #: Features of one regression at most, and the least likelihood ratio of one.
 FEATURES, LEAST_GAIN = 4096, 12.0
+#: Parts of the sampled texts that are left out of a fit in turn.
+FOLDS = 4
 #: Letters, digits and bytes beyond ASCII stay; all else separates words.
 _FOLD = np.array([b if b > 127 or chr(b).isalnum() else SPACES[0] for b in range(256)], np.uint8)
 
@@ -75,7 +80,7 @@ def _stemmed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def text_view(texts: pa.Array) -> np.ndarray:
-    """The text view: shares of byte classes, word lengths, and repetition."""
+    """The text view: shares of byte classes, word lengths, and repetition; the length is the metadata's."""
     data, offsets = text_bytes(texts)
     n, kinds = len(offsets) - 1, len(_CLASSES) + 1
     size = np.diff(offsets)
@@ -94,7 +99,7 @@ def text_view(texts: pa.Array) -> np.ndarray:
     rare = types / np.maximum(np.sqrt(count), 1)
     length = shares[:, :3].sum(axis=1) * size / np.maximum(count, 1)
     base = np.column_stack([shares, echo, types / np.maximum(count, 1)])
-    return np.column_stack([base, np.sqrt(base), np.log1p(size), np.log1p(count), np.minimum(length, 30), np.minimum(rare, 30)])
+    return np.column_stack([base, np.sqrt(base), np.minimum(length, 30), np.minimum(rare, 30)])
 
 
 @functools.lru_cache(maxsize=4096)
@@ -189,31 +194,9 @@ def _columns(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np
     return np.searchsorted(bounds, hit, side="right") - 1, column[hit]
 
 
-def _counts(ids: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
-    """How many texts hold each feature, counted in chunks to keep copies small."""
-    out = np.zeros(1 << WORD_BITS, np.int64)
-    for low in range(0, len(ids), chunk):
-        out += np.bincount(ids[low : low + chunk], minlength=1 << WORD_BITS)
-    return out
-
-
-def _telling(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The features whose presence tells most of ``y``, by the likelihood ratio; those of one text are left out."""
-    both, with_1 = _counts(ids), _counts(ids[np.repeat(y > 0, np.diff(bounds))])
-    seen = np.flatnonzero(both > 1)
-    n, n1 = len(y), y.sum()
-    gain = np.zeros(len(seen))
-    c, c1 = both[seen].astype(float), with_1[seen].astype(float)
-    for cell, row, column in ((c1, c, n1), (c - c1, c, n - n1), (n1 - c1, n - c, n1), (n - n1 - c + c1, n - c, n - n1)):
-        gain += 2 * cell * np.log(np.maximum(cell, 1e-12) * n / np.maximum(row * column, 1e-12))
-    order = np.argsort(-gain, kind="stable")[:FEATURES]
-    return np.sort(seen[order[gain[order] > LEAST_GAIN]])
-
-
-def _fit_words(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> Words:
-    """Newton steps, each solved by conjugate gradients, so that no square matrix is made."""
+def _fit_words(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> Words:
+    """Fit on the features in ``known`` by Newton steps, each solved by conjugate gradients, so that no square matrix is made."""
     n = len(y)
-    known = _telling(ids, bounds, y)
     row, column = _columns(known, ids, bounds)
     k = len(known)
     keep = np.append(np.full(k, ridge), 1e-6)
@@ -254,24 +237,41 @@ def _take(ids: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return taken, out
 
 
-def cross_fit(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, folds: int = 4) -> tuple[Words, np.ndarray] | None:
-    """A calibrated fit on all rows, and for every row the margin of a fit without its fold.
-
-    Equal texts are in one fold. None if ``y`` shows a single class.
+@dataclasses.dataclass
+class WordRows:
+    """Sampled rows as lists of telling features: those of each fit, and the fold of every row's text."""
+
+    ids: np.ndarray
+    bounds: np.ndarray
+    fold: np.ndarray
+    known: dict[int, np.ndarray]  # by the fold left out; -1 for none
+
+    def fit(self, y: np.ndarray) -> tuple[Words, np.ndarray]:
+        """A fit on the rows with ``y`` of 0 or 1, and for every row the margin of a fit without its fold."""
+        at = np.flatnonzero(y >= 0)
+        model = _fit_words(self.known[-1], *_take(self.ids, self.bounds, at), y[at])
+        margin = model.margin(self.ids, self.bounds)
+        for k in range(FOLDS):
+            out, rest = np.flatnonzero(self.fold == k), at[self.fold[at] != k]
+            if len(out) and 0 < y[rest].sum() < len(rest):
+                other = _fit_words(self.known[k], *_take(self.ids, self.bounds, rest), y[rest])
+                margin[out] = other.margin(*_take(self.ids, self.bounds, out))
+        return model, margin
+
+
+def cross_fit(rows: WordRows, y: np.ndarray) -> Words | None:
+    """A fit on the rows with a label, calibrated by margins of fits that did not see a row's text.
+
+    None if ``y`` shows a single class.
     """
-    if not 0 < y.sum() < len(y):
+    at = y >= 0
+    if not 0 < y[at].sum() < at.sum():
         return None
-    total = np.array([ids[low:high].sum(dtype=np.int64) for low, high in zip(bounds[:-1], bounds[1:], strict=True)])
-    fold = mix(total.astype(np.uint64)) % np.uint64(folds)
-    model = _fit_words(ids, bounds, y)
-    margin = model.margin(ids, bounds)
-    for k in range(folds):
-        out, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-        if len(out) and 0 < y[rest].sum() < len(rest):
-            margin[out] = _fit_words(*_take(ids, bounds, rest), y[rest]).margin(*_take(ids, bounds, out))
-    b, a = _newton(margin[:, None], y, 1e-3)
-    model.platt = (float(a), float(b)) if a > 0 else (0.0, float(np.log(y.mean() / (1 - y.mean()))))
-    return model, margin
+    model, margin = rows.fit(y)
+    b, a = _newton(margin[at][:, None], y[at], 1e-3)
+    mean = y[at].mean()
+    model.platt = (float(a), float(b)) if a > 0 else (0.0, float(np.log(mean / (1 - mean))))
+    return model
 
 
 @dataclasses.dataclass
@@ -282,6 +282,7 @@ class CoTrained:
     page: Logistic
     prior: float
     rounds: int
+    words: Words | None = None
 
     def score(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.text.logit(a) + self.page.logit(b) - self.prior)))
@@ -289,44 +290,54 @@ class CoTrained:
 
 def co_train(
     a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray,
-    rounds: int = 3, sure: float = 0.98, held: int = 4,
+    rounds: int = 3, sure: float = 0.98, held: int = 4, words: WordRows | None = None,
 ) -> CoTrained | None:
     """Exchange confident labels between the views for some rounds.
 
-    ``y`` holds 0 and 1; every ``held``-th labelled row calibrates and is not fitted.
-    A view gives the other one equally many labels of either class, by the base
-    rate, its surest first. None if the labelled rows show a single class.
+    ``y`` holds 0 and 1; every ``held``-th labelled row calibrates and is not fitted by
+    a view. A view gives the other one equally many labels of either class, by the base
+    rate, its surest first. ``words`` holds the features of the labelled rows and then
+    of the pool: its regression is fitted again in every round, on the labelled rows
+    and on what the metadata view is sure of, and its margins are the text view's first
+    feature. None if the labelled rows show a single class.
     """
     if not 0 < y.sum() < len(y):
         return None
-    out = np.arange(len(y)) % held == 0
+    n = len(y)
+    out = np.arange(n) % held == 0
     if not (0 < y[out].sum() < out.sum() and 0 < y[~out].sum() < (~out).sum()):
-        out = np.zeros(len(y), bool)
-    xa, xb, ya = a[~out], b[~out], y[~out]
-    ca, cb, cy = (a[out], b[out], y[out]) if out.any() else (a, b, y)
-    rate = ya.mean()
+        out = np.zeros(n, bool)
+    every_a, every_b = np.vstack([a, pool_a]), np.vstack([b, pool_b])
+    fitted = np.concatenate([~out, np.ones(len(pool_a), bool)])
+    calibrating = np.flatnonzero(out) if out.any() else np.arange(n)
+    rate = y[~out].mean()
     prior = float(np.log(rate / (1 - rate)))
-    given = {"text": (np.zeros(0, int), np.zeros(0)), "page": (np.zeros(0, int), np.zeros(0))}
+    unknown = np.concatenate([y, np.full(len(pool_a), -1.0)])
+    given = {"text": unknown, "page": unknown}
+
+    def view(x: np.ndarray, labels: np.ndarray) -> Logistic:
+        at = np.flatnonzero(fitted & (labels >= 0))
+        return fit_view(x[at], labels[at], x[calibrating], y[calibrating])
 
-    def fit() -> tuple[Logistic, Logistic]:
-        (ia, la), (ib, lb) = given["text"], given["page"]
-        return (
-            fit_view(np.vstack([xa, pool_a[ia]]), np.concatenate([ya, la]), ca, cy),
-            fit_view(np.vstack([xb, pool_b[ib]]), np.concatenate([ya, lb]), cb, cy),
-        )
+    def fit() -> tuple[Logistic, Logistic, np.ndarray, Words | None]:
+        x, model = every_a, None
+        if words is not None:
+            model, margin = words.fit(given["text"])
+            x = _told(every_a, margin)
+        return view(x, given["text"]), view(every_b, given["page"]), x, model
 
-    text, page = fit()
+    text, page, x, model = fit()
     for _ in range(rounds if len(pool_a) else 0):
-        for model, view, other in ((text, pool_a, "page"), (page, pool_b, "text")):
-            p = 1 / (1 + np.exp(-model.logit(view)))
+        for judge, seen, other in ((text, x, "page"), (page, every_b, "text")):
+            p = 1 / (1 + np.exp(-judge.logit(seen[n:])))
             good, bad = np.flatnonzero(p >= sure), np.flatnonzero(p <= 1 - sure)
             n_bad = min(len(bad), int(len(good) * (1 - rate) / rate))
             n_good = min(len(good), int(n_bad * rate / (1 - rate)))
-            good = good[np.argsort(-p[good], kind="stable")[:n_good]]
-            bad = bad[np.argsort(p[bad], kind="stable")[:n_bad]]
-            given[other] = (np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))]))
-        text, page = fit()
-    return CoTrained(text, page, prior, rounds)
+            given[other] = unknown.copy()
+            given[other][n + good[np.argsort(-p[good], kind="stable")[:n_good]]] = 1.0
+            given[other][n + bad[np.argsort(p[bad], kind="stable")[:n_bad]]] = 0.0
+        text, page, x, model = fit()
+    return CoTrained(text, page, prior, rounds, model)
 
 
 _VIEW = "struct<text:string,source:string,lang:string,n_chars:double>"
@@ -366,13 +377,76 @@ def _lists(values: np.ndarray, bounds: np.ndarray | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
 
 
+def _sampled(docs: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int, seed: int) -> DataFrame:
+    """Features of the sampled rows, staged: labels (-1 unknown), the fold of the text, an order, both views, word features."""
+    n_labels, n_docs = labels.count(), docs.count()
+    unit = draw(seed, F.col("doc_id"))
+    known = labels.where(unit < labelled_rows / max(n_labels, 1)).groupBy("doc_id").agg(
+        F.coalesce(F.min("quality"), F.lit(-1)).cast("int").alias("_y"), F.coalesce(F.max("toxic"), F.lit(-1)).cast("int").alias("_t"))
+    share = pool_rows / max(n_docs, 1)
+    free = docs.where("doc_id is not null").select("doc_id").where(unit < share).distinct().join(
+        labels.where(unit < share).select("doc_id"), "doc_id", "left_anti")
+    marks = known.select("doc_id", "_y", "_t", F.lit(False).alias("_pool")).unionByName(
+        free.select("doc_id", F.lit(-1).alias("_y"), F.lit(-1).alias("_t"), F.lit(True).alias("_pool")))
+    # About labelled_rows + pool_rows ids: bounded by the parameters.
+    rows = _viewed(docs.join(F.broadcast(stage(marks, "marks")), "doc_id"), ["doc_id", "_y", "_t", "_pool"])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, ids, bounds = _views(batch.column(4))
+            sums = np.concatenate([[0], np.cumsum(ids, dtype=np.int64)])
+            text = mix((sums[bounds[1:]] - sums[bounds[:-1]]).astype(np.uint64))
+            with np.errstate(over="ignore"):
+                order = mix(batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x100000001B3) + text)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in (1, 2, 3)), pa.array((text % np.uint64(FOLDS)).astype(np.int32)), pa.array(order.view(np.int64)),
+                 _lists(a), _lists(b), _lists(ids, bounds)],
+                ["y", "t", "pool", "fold", "place", "a", "b", "ids"])
+
+    ddl = "y int, t int, pool boolean, fold int, place long, a array<double>, b array<double>, ids array<int>"
+    return stage(rows.mapInArrow(describe, ddl), "sampled")
+
+
+def telling_features(rows: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """Per label (y, t) and fold left out (-1: none) the features that tell most of it, ascending.
+
+    Rows are counted by feature on the executors. The features of one fit are the
+    ``FEATURES`` of the largest likelihood ratio, if that is above ``LEAST_GAIN``;
+    features of a single text are left out. Only their numbers reach the driver.
+    """
+    labelled = rows.where("not pool")
+    count = lambda label, fold, ones: F.count_if(
+        (F.col(label) > 0 if ones else F.col(label) >= 0) & (F.col("fold") == fold)).alias(f"{label}{fold}{int(ones)}")
+    cells = [count(label, fold, ones) for label in "yt" for fold in range(FOLDS) for ones in (False, True)]
+    total = labelled.agg(*cells).first()
+    by_id = labelled.select("y", "t", "fold", F.explode("ids").alias("id")).groupBy("id").agg(*cells)
+
+    def gain(label: str, left_out: int) -> F.Column:
+        used = [f for f in range(FOLDS) if f != left_out]
+        c, c1 = (sum((F.col(f"{label}{f}{ones}") for f in used), F.lit(0)).cast("double") for ones in (0, 1))
+        n, n1 = (float(sum(total[f"{label}{f}{ones}"] for f in used)) for ones in (0, 1))
+        parts = ((c1, c, n1), (c - c1, c, n - n1), (n1 - c1, n - c, n1), (n - n1 - c + c1, n - c, n - n1))
+        tiny = F.lit(1e-12)
+        value = sum((2 * cell * F.log(F.greatest(cell, tiny) * n / F.greatest(row * column, tiny)) for cell, row, column in parts), F.lit(0.0))
+        return F.struct(F.lit(label).alias("label"), F.lit(left_out).alias("left_out"), F.when(c > 1, value).alias("gain"))
+
+    fits = [(label, k) for label in "yt" for k in (-1, *range(FOLDS)) if total[f"{label}00"] is not None]
+    told = by_id.select("id", F.inline(F.array(*[gain(*f) for f in fits]))).where(F.col("gain") > LEAST_GAIN)
+    first = Window.partitionBy("label", "left_out").orderBy(F.col("gain").desc(), "id")
+    best = told.select("label", "left_out", "id", F.row_number().over(first).alias("at")).where(F.col("at") <= FEATURES).toArrow()
+    label, left_out, ids = (best[c].to_numpy() for c in ("label", "left_out", "id"))
+    return {f: np.sort(ids[(label == f[0]) & (left_out == f[1])]) for f in fits}
+
+
 def train(
     docs: DataFrame, labels: DataFrame, labelled_rows: int = 20_000, pool_rows: int = 20_000, rounds: int = 3, seed: int = 5,
 ) -> Judge:
     """Fit on a seeded sample of about ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents.
 
-    The two bounds are the documented limits of the fit: features of that many rows
-    reach the driver, whatever the size of the tables. Labels with a null doc_id, or
+    The two bounds are the documented limits of the fit, whatever the size of the
+    tables. The sampled rows' word features stay on the executors, where they are
+    counted; of a row only the features that some fit uses (at most ``FEATURES`` each)
+    and its two views reach the driver. Labels with a null doc_id, or
     null in both labels, are left out; of contradicting labels the worse one counts.
     Without a ``toxic`` column there is no verdict on it.
     """
@@ -381,65 +455,38 @@ def train(
         if name not in labels.columns:
             labels = labels.withColumn(name, F.lit(None).cast("int"))
     labels = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
-    n_labels, n_docs = labels.count(), docs.count()
-    if n_labels == 0 or n_docs == 0:
+    rows = _sampled(docs, labels, labelled_rows, pool_rows, seed)
+    if rows.where("not pool").limit(1).count() == 0:
         return Judge()
-    unit = draw(seed, F.col("doc_id"))
-    known = labels.where(unit < labelled_rows / n_labels).groupBy("doc_id").agg(
-        F.coalesce(F.min("quality"), F.lit(-1)).cast("int").alias("_quality"),
-        F.coalesce(F.max("toxic"), F.lit(-1)).cast("int").alias("_toxic"))
-    rows = _viewed(docs.join(F.broadcast(known), "doc_id"), ["doc_id", "_quality", "_toxic"])
+    known = telling_features(rows)
+    used = np.zeros(1 << WORD_BITS, bool)
+    used[np.concatenate(list(known.values())).astype(np.int64)] = True
+    shared = spark.sparkContext.broadcast(used)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, ids, bounds = _views(batch.column(3))
+            lists = batch.column(batch.num_columns - 1)
+            ids, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            live = shared.value[ids]
+            kept = np.concatenate([[0], np.cumsum(live)])[bounds]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), _lists(a), _lists(b), _lists(ids, bounds)],
-                ["doc_id", "y", "t", "a", "b", "ids"])
+                [*(batch.column(k) for k in range(batch.num_columns - 1)), _lists(ids[live], kept)], batch.schema.names)
 
-    found = rows.mapInArrow(
-        describe, "doc_id long, y int, t int, a array<double>, b array<double>, ids array<int>").toArrow().combine_chunks()
-    if found.num_rows == 0:
-        return Judge()
-    order, a, b = _ordered(found)
-    y, t = found["y"].to_numpy()[order], found["t"].to_numpy()[order]
+    found = rows.mapInArrow(narrow, rows.schema).toArrow().combine_chunks()
+    order = np.lexsort((found["place"].to_numpy(), found["pool"].to_numpy(zero_copy_only=False)))
+    y, t, fold, pool = (found[c].to_numpy(zero_copy_only=False)[order] for c in ("y", "t", "fold", "pool"))
+    a, b = (np.array(found[c].combine_chunks().flatten()).reshape(len(order), -1)[order] for c in ("a", "b"))
     lists = found["ids"].combine_chunks()
     ids, bounds = _take(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), order)
-    at = np.flatnonzero(t >= 0)
-    toxic = cross_fit(*_take(ids, bounds, at), (t[at] > 0).astype(float))
-    at = np.flatnonzero(y >= 0)
-    y = (y[at] > 0).astype(float)
-    words = cross_fit(*_take(ids, bounds, at), y)
-    judge = Judge(None, words and words[0], toxic and toxic[0])
-    if words is None:
-        return judge
-    share = pool_rows / n_docs
-    free = docs.where("doc_id is not null").select("doc_id").where(unit < share).distinct().join(
-        labels.where(unit < share).select("doc_id"), "doc_id", "left_anti")
-    shared = spark.sparkContext.broadcast(judge.words)
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, ids, bounds = _views(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _lists(_told(a, shared.value.margin(ids, bounds))), _lists(b)], ["doc_id", "a", "b"])
-
-    pool = _viewed(docs.join(F.broadcast(free), "doc_id"), ["doc_id"]).mapInArrow(
-        tell, "doc_id long, a array<double>, b array<double>").toArrow().combine_chunks()
-    _, pool_a, pool_b = _ordered(pool)
-    judge.quality = co_train(_told(a[at], words[1]), b[at], y, pool_a, pool_b, rounds)
-    return judge
-
-
-def _ordered(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of the rows that does not depend on partitions, and both views in it; copies of a row follow each other."""
-    n = found.num_rows
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0))
-    ids = found["doc_id"].to_numpy()
-    a, b = (np.array(found[c].combine_chunks().flatten()).reshape(n, -1) for c in ("a", "b"))
-    order = np.lexsort((a[:, -4], ids * np.int64(2654435761) % np.int64(1 << 31)))
-    return order, a[order], b[order]
+    del found, lists
+    some = np.flatnonzero(~pool)
+    toxic = cross_fit(WordRows(*_take(ids, bounds, some), fold[some], {k: v for (label, k), v in known.items() if label == "t"}),
+                      np.where(t[some] >= 0, t[some] > 0, -1.0).astype(float))
+    some = np.concatenate([np.flatnonzero(~pool & (y >= 0)), np.flatnonzero(pool)])
+    n = int((~pool & (y >= 0)).sum())
+    words = WordRows(*_take(ids, bounds, some), fold[some], {k: v for (label, k), v in known.items() if label == "y"})
+    quality = co_train(a[some[:n]], b[some[:n]], (y[some[:n]] > 0).astype(float), a[some[n:]], b[some[n:]], rounds, words=words)
+    return Judge(quality, quality and quality.words, toxic)
 
 
 RESULT = ("score", "p_text", "p_page", "accepted", "p_toxic", "toxic")
