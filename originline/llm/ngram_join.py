@@ -216,17 +216,8 @@ def descend(probe: np.ndarray, members: list[np.ndarray], order: list[int], firs
 BLOCK, BLOCK_MEMBERS = 64, 100_000  # sets, and shingles in them, of one trie
 
 
-def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
-    """Links (a, b) between probes and members: one at least wherever a probe links with a group's block.
-
-    ``members`` has (group, node) and ``meetings`` (group, node): sets that may link
-    with a member of the group. Members are cut into tries of bounded size, probes
-    into blocks, and each trie meets each block of its group's probes. Sets are
-    made again from the texts, of the nodes in question only.
-    """
-    meetings = stage(meetings, "meetings")
-    members = stage(members.join(meetings.select("group").distinct(), "group"), "members")
-    wanted = members.select("node").unionByName(meetings.select("node")).distinct()
+def made_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node``, ``n`` and ``members``, the shingles of the nodes in ``wanted``, made again from the texts and staged."""
     wanted = stage(nodes.select("node", "sig", "pick", "n").join(wanted, "node"), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "pick"))
 
@@ -240,7 +231,16 @@ def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: Da
 
     rows = docs.select(_row_hash().alias("_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(emit, "sig binary, members binary").dropDuplicates(["sig"])
-    sets = stage(wanted.select("node", "sig", "n").join(made, "sig").select("node", "n", "members"), "sets")
+    return stage(wanted.select("node", "sig", "n").join(made, "sig").select("node", "n", "members"), "sets")
+
+
+def compared(sets: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Links (a, b) between probes and members: one at least wherever a probe links with a group's block.
+
+    ``members`` has (group, node) and ``meetings`` (group, node): sets that may link
+    with a member of the group. Members are cut into tries of bounded size, probes
+    into blocks, and each trie meets each block of its group's probes.
+    """
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
         load = side.join(sets.select("node", "n"), "node").groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
@@ -272,6 +272,37 @@ def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: Da
     return both.groupBy("group", "m", "p").applyInArrow(check, "a long, b long")
 
 
+#: Members of a component that a round looks at, about so many up to here; the last round takes the rest.
+ROUNDS = (64, 1024)
+
+
+def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Links that tie every node to every group of which it links with a member; ``known`` are earlier ones.
+
+    ``members`` has (group, node, k), k the members of the group, and ``meetings``
+    (group, node). A round compares the nodes with a few members of their groups,
+    drawn by hash, then ties what it has linked: a node that is by now in one
+    component with its group needs no further comparison with it. In a group of near
+    copies nearly all leave in the first round. Whoever is left meets the rest.
+    """
+    meetings = stage(meetings, "meetings")
+    members = stage(members.join(meetings.select("group").distinct(), "group"), "members")
+    sets = made_sets(docs, nodes, members.select("node").unionByName(meetings.select("node")).distinct())
+    place = F.pmod(F.xxhash64(F.lit(17), "node"), F.col("k"))
+    links, low = known, 0
+    for high in (*ROUNDS, None):
+        part = members.where((place >= low) & (place < high) if high else place >= low)
+        found = stage(compared(sets, part.select("group", "node"), meetings), "links")
+        links = found if links is None else links.unionByName(found)
+        if high is None or members.where(place >= high).limit(1).count() == 0:
+            return links
+        tied = stage(components(links, "a", "b"), "tied")
+        at = lambda key: tied.select(F.col("node").alias(key), F.col("component").alias(f"_{key}"))
+        apart = F.coalesce("_node", "node") != F.coalesce("_group", "group")
+        meetings = stage(meetings.join(at("node"), "node", "left").join(at("group"), "group", "left").where(apart).select("group", "node"), "meetings")
+        low = high
+
+
 def star_meetings(nodes: DataFrame) -> DataFrame:
     """Every node with the least node of its MinHash groups, where ``SHARED`` groups agree on it."""
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("k", "key"))
@@ -388,15 +419,14 @@ def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
         F.min("doc_id").alias("least_id"), F.min(F.struct("pick", "n_shingles", "keys")).alias("one"))
     nodes = nodes.select("sig", "least_id", "one.pick", F.col("one.n_shingles").alias("n"), "one.keys")
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    alone = nodes.select(F.col("node").alias("group"), "node")
-    stars = stage(verified(docs, nodes, alone, star_meetings(nodes)), "stars")
+    alone = nodes.select(F.col("node").alias("group"), "node", F.lit(1).alias("k"))
+    stars = linked(docs, nodes, alone, star_meetings(nodes))
     known = stage(components(stars, "a", "b"), "known")
     sizes = known.groupBy("component").agg(F.count("*").alias("members"))
     placed = stage(nodes.select("node", "n", "sig", "pick").join(known.join(sizes, "component"), "node", "left"), "placed")
-    groups = placed.select(F.coalesce("component", "node").alias("group"), "node")
+    groups = placed.select(F.coalesce("component", "node").alias("group"), "node", F.coalesce("members", F.lit(1)).alias("k"))
     branches = prefixes(docs, placed, frequent_shingles(docs))
-    links = stage(verified(docs, nodes, groups, branch_meetings(branches)), "branches").unionByName(stars)
-    final = components(links, "a", "b")
+    final = components(linked(docs, nodes, groups, branch_meetings(branches), stars), "a", "b")
     member = nodes.select("node", "sig", "least_id").join(final, "node", "left").select(
         "sig", "least_id", F.coalesce("component", "node").alias("component"))
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
