@@ -1,7 +1,7 @@
-"""Four classifiers on the feature table, with Spark ML.
+"""Inputs, labels and classes of the four heads, and a forest for the controls.
 
-Multiclass heads are random forests, because Spark's boosted trees are binary;
-the candidate-ranking head is binary and uses boosted trees.
+The heads themselves are boosted trees, in :mod:`originline.operators.framings`; a
+random forest is the classifier of the shuffled-label control.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ import dataclasses
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -23,7 +22,6 @@ from originline.operators import candidates as K
 from originline.operators.delays import delay_grid, fixed_bucket, window_decode
 from originline.operators.features import numeric_features, text_features
 from originline.operators.scoring import log_ratio
-from originline.operators.splits import tail_fold
 from originline.params import HEADS, MISSING, Params, bucket_edges
 
 
@@ -103,132 +101,12 @@ def fit_head(rows: DataFrame, head: str, p: Params, settings: Settings) -> Head:
     return Head(head, classes(head, p), tuple(inputs), settings, pipeline.fit(ready))
 
 
-def fit_heads(rows: DataFrame, p: Params, settings: Settings | None = None) -> dict[str, Head]:
-    chosen = settings or Settings()
-    return {h: fit_head(rows, h, p, chosen) for h in HEADS}
-
-
-def probabilities(heads: dict[str, Head], table: DataFrame, p: Params) -> DataFrame:
-    """One row per sample with the probability array of every head.
-
-    The heads are applied one after the other to the same rows, so no join is
-    needed to bring their answers together.
-    """
-    # Missing values are filled the same way for every head, so the inputs are
-    # prepared once, for the union of the heads' columns.
-    rows = matrix(table, p, Settings()).select("sample_id", *model_inputs(p, Settings()))
-    done: list[str] = []
-    for name, head in heads.items():
-        scored = head.model.transform(rows)
-        array = vector_to_array("probability")
-        n = len(head.classes)
-        padded = F.slice(F.concat(array, F.array_repeat(F.lit(0.0), n)), 1, n)
-        rows = scored.select(
-            "sample_id", *model_inputs(p, Settings()), *done, padded.alias(f"p_{name}")
-        )
-        done.append(f"p_{name}")
-    return rows.select("sample_id", *done)
-
-
 def argmax_class(array: Column, names: Sequence[str]) -> Column:
     """Likeliest class, the first one on a tie."""
     at = F.array_position(array, F.array_max(array)) - 1
     return F.get(F.array(*map(F.lit, names)), at.cast("int"))
 
 
-def predict_heads(heads: dict[str, Head], table: DataFrame, p: Params) -> DataFrame:
-    """All four predictions per row; the delay by window decoding."""
-    rows = probabilities(heads, table, p)
-    delay = F.exp(window_decode(F.col("p_notification"), delay_grid(p)))
-
-    def pick(h: str) -> Column:
-        return argmax_class(F.col(f"p_{h}"), heads[h].classes)
-
-    return rows.select(
-        "sample_id", pick("facility").alias("predicted_facility_id"),
-        pick("usage_weekday").cast("int").alias("predicted_usage_weekday"),
-        pick("usage_hour").cast("int").alias("predicted_usage_hour"),
-        delay.alias("predicted_delay_minutes"),
-    )
-
-
-def predict_probabilities(heads: dict[str, Head], table: DataFrame, p: Params) -> DataFrame:
-    """Class probabilities of the three class heads, long form, from one pass."""
-    three = {h: heads[h] for h in HEADS[:3]}
-    rows = probabilities(three, table, p)
-
-    def cells(name: str, head: Head) -> Column:
-        names = F.array(*map(F.lit, head.classes))
-        return F.transform(
-            F.col(f"p_{name}"),
-            lambda x, i: F.struct(F.lit(name).alias("head"), F.get(names, i).alias("class"), x.alias("probability")),
-        )
-
-    every = F.concat(*(cells(name, head) for name, head in three.items()))
-    return rows.select("sample_id", F.inline(every))
-
-
-def feature_importance(heads: dict[str, Head], spark, top: int = 20) -> DataFrame:
-    """Top features of each head by impurity gain; a model-sized table."""
-    rows = []
-    for name, head in heads.items():
-        gains = head.model.stages[-1].featureImportances.toArray()
-        best = sorted(zip(head.inputs, gains.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
-        rows += [(name, i + 1, f, g) for i, (f, g) in enumerate(best[:top])]
-    return spark.createDataFrame(rows, "head string, rank int, feature string, gain double")
-
-
-def describe(heads: dict[str, Head], rows: DataFrame, p: Params) -> DataFrame:
-    """One row per fitted head: its size, and on the given rows its accuracy and the majority prior."""
-    out = []
-    for head in heads.values():
-        scored = head.model.transform(
-            matrix(rows, p, head.settings).withColumn("label", label(head.name, p))
-        )
-        accuracy = _accuracy(scored)
-        sizes = scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        prior = sizes.agg(F.max("n") / F.sum("n")).first()[0]
-        forest = head.model.stages[-1]
-        out.append((head.name, len(head.classes), len(head.inputs), forest.getNumTrees,
-                    head.settings.depth, float(accuracy), float(prior)))
-    return rows.sparkSession.createDataFrame(
-        out, "head string, classes int, features int, trees int, depth int, accuracy double, "
-        "prior double"
-    )
-
-
-def _accuracy(scored: DataFrame) -> float:
-    return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
-
-
-def search_rounds(rows: DataFrame, p: Params, grid: Sequence[Settings]) -> DataFrame:
-    """Accuracy of every size on the latest inner fold, and the one chosen.
-
-    The first size wins a tie; the chosen one is what a refit on all training
-    rows would use.
-    """
-    fold = tail_fold(rows.select("sample_id", "target_us"), p.inner_frac)
-    marked = rows.join(fold.select("sample_id", "fold"), "sample_id")
-    fit, held = marked.filter("fold = 'fit'"), marked.filter("fold = 'held_out'")
-    out = []
-    for name in HEADS:
-        tried = []
-        for settings in grid:
-            head = fit_head(fit, name, p, settings)
-            scored = head.model.transform(
-                matrix(held, p, settings).withColumn("label", label(name, p))
-            )
-            tried.append(float(_accuracy(scored)))
-        best = tried.index(max(tried))
-        out += [
-            (name, s.trees, s.depth, a, i == best)
-            for i, (s, a) in enumerate(zip(grid, tried, strict=True))
-        ]
-    return rows.sparkSession.createDataFrame(
-        out, "head string, trees int, depth int, accuracy double, chosen boolean"
-    )
-
-
 def match_rate(head: Head, rows: DataFrame, p: Params) -> DataFrame:
     """Share of rows one head's answer matches."""
     scored = head.model.transform(
@@ -246,35 +124,6 @@ def match_rate(head: Head, rows: DataFrame, p: Params) -> DataFrame:
     return scored.agg(F.avg(hit.cast("int")).alias("rate"))
 
 
-def variant_sweep(
-    train: DataFrame, validation: DataFrame, p: Params, variants: dict[str, Settings],
-    frozen: dict[str, Head],
-) -> DataFrame:
-    """Each variant's match rate per head against the frozen heads' rate."""
-    rates = {h: match_rate(head, validation, p).first()[0] for h, head in frozen.items()}
-    out = []
-    for variant, settings in variants.items():
-        for name in HEADS:
-            rate = match_rate(fit_head(train, name, p, settings), validation, p).first()[0]
-            out.append((variant, name, float(rate), float(rates[name]),
-                        float(rate - rates[name]), rate > rates[name]))
-    return train.sparkSession.createDataFrame(
-        out, "variant string, head string, rate double, frozen_rate double, delta double, "
-        "improved boolean",
-    )
-
-
-def candidate_head(long: DataFrame, p: Params, rounds: int = 10) -> PipelineModel:
-    """Boosted trees on candidate relevance."""
-    inputs = candidate_inputs(p)
-    trees = GBTClassifier(
-        labelCol="relevance", featuresCol="features", maxIter=rounds, maxDepth=4, seed=p.seed
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), trees]).fit(
-        candidate_matrix(long, p)
-    )
-
-
 def candidate_inputs(p: Params) -> list[str]:
     families = K.families(p)
     return [
@@ -295,13 +144,6 @@ def candidate_matrix(long: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def score_candidates(model: PipelineModel, long: DataFrame, p: Params) -> DataFrame:
-    scored = model.transform(candidate_matrix(long, p))
-    return scored.select(
-        "sample_id", K.CANDIDATE, vector_to_array("probability")[1].alias("score")
-    )
-
-
 def shuffled_control(
     train: DataFrame, held: DataFrame, p: Params, settings: Settings, head: str = "facility",
 ) -> DataFrame:

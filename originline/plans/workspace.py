@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from originline.operators import delays as D
+from originline.operators import framings as B
 from originline.operators import habits as H
-from originline.operators import heads as M
 from originline.operators import prompts as G
 from originline.operators import samples as S
 from originline.operators import splits as P
@@ -17,11 +17,15 @@ from originline.operators.community import community_features
 from originline.operators.features import feature_table
 from originline.operators.history import History, build_history, prepare, resident_features
 from originline.operators.scoring import score
-from originline.params import TEST, Params
-from originline.session import configure, freeze
+from originline.params import HEADS, TEST, Params
+from originline.session import configure, freeze, new_folder
 from originline.sources import binding
 
 
+#: Fits that the declared variants may take together.
+VARIANT_BUDGET = 8
+
+
 class Workspace:
     """Lazily built stage tables over one folder of inputs."""
 
@@ -160,8 +164,36 @@ class Workspace:
         return freeze(self.features.join(targets, "sample_id"))
 
     @cached_property
-    def heads(self) -> dict[str, M.Head]:
-        return M.fit_heads(self.model_rows.filter("split = 'train'"), self.params)
+    def heads(self) -> dict[str, B.Fitted]:
+        """The boosted heads in their frozen framing, and the other framings of two of them."""
+        return B.fit_framings(self.model_rows.filter("split = 'train'"), self.params)
+
+    @cached_property
+    def saved_heads(self) -> dict[str, B.Fitted]:
+        """The heads after a round trip through the shared folder."""
+        folder = new_folder(self.spark, "heads")
+        B.save(self.heads, self.spark, folder)
+        return B.load(self.spark, folder)
+
+    @cached_property
+    def head_scores(self) -> DataFrame:
+        """What the heads give out for every sample: a density each."""
+        return freeze(B.probabilities(self.heads, self.features, self.params))
+
+    @cached_property
+    def head_answers(self) -> DataFrame:
+        return freeze(B.submitted(self.heads, self.head_scores, self.params))
+
+    @cached_property
+    def planted(self) -> tuple[dict[str, float], dict[str, bool]]:
+        train, held = (self.model_rows.filter(F.col("split") == s) for s in ("train", "validation"))
+        return B.planted_control(train, held, self.params)
+
+    @cached_property
+    def variants(self) -> DataFrame:
+        train, held = (self.model_rows.filter(F.col("split") == s) for s in ("train", "validation"))
+        frozen = {h: self.heads[h] for h in HEADS}
+        return B.run_variants(train, held, self.params, frozen, VARIANT_BUDGET)
 
     def origin_rows(self) -> DataFrame:
         """Resident features of the rows that are an origin, one per sample."""
