@@ -369,7 +369,7 @@ def _known(phrases: DataFrame, length: int) -> Bits:
             found = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
-    return bitmap(stage(phrases.select("lang", "phrase").mapInArrow(work, "h long"), "hashes"), "h")
+    return bitmap(stage(phrases.select("lang", "phrase").mapInArrow(work, "h long"), "hashes"), "h", each=256)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:

@@ -60,10 +60,10 @@ class Bits:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap(hashes: DataFrame, column: str) -> Bits:
-    """The bitmap of a column of hashes; what is collected is bounded by its size."""
+def bitmap(hashes: DataFrame, column: str, each: int = 16) -> Bits:
+    """The bitmap of a column of hashes, of ``each`` bits or more for one; what is collected is bounded by its size."""
     n = hashes.count()
-    bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(max(n, 1) * 16)))))
+    bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(max(n, 1) * each)))))
     at = F.shiftrightunsigned(F.col(column), 64 - bits)
     rows = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("b"))
     found = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
