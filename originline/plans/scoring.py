@@ -122,13 +122,12 @@ def habit_predictions(ws: Workspace) -> DataFrame:
 SELECT track, model, sample_id, predicted_facility_id, predicted_usage_weekday, predicted_usage_hour FROM pr"""))
 def overwrite_predictions_partition(ws: Workspace) -> DataFrame:
     path = T.scratch(ws.spark, "predictions")
-    T.conform(ws.predictions, "predictions").filter("model = 'transition'").write.partitionBy(
-        "track", "model").parquet(path)
+    T.overwrite_table(ws.predictions.filter("model = 'transition'"), "predictions", path)
     habit = ws.predictions.filter("model = 'habit'")
     stale = habit.withColumn("predicted_usage_hour", F.lit(0))
     T.overwrite_predictions(stale, "baseline", "habit", path)
     T.overwrite_predictions(habit, "baseline", "habit", path)
-    return ws.spark.read.parquet(path).select(
+    return T.read_table(ws.spark, "predictions", path, ordered=False).select(
         "track", "model", "sample_id", "predicted_facility_id", "predicted_usage_weekday",
         "predicted_usage_hour",
     )

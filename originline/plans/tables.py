@@ -60,7 +60,9 @@ def read_table_ordered(ws: Workspace) -> DataFrame:
 def overwrite_table(ws: Workspace) -> DataFrame:
     path = T.scratch(ws.spark, "bookings")
     T.overwrite_table(ws.bookings.filter("facility_id = 'view'"), "bookings", path)
-    T.overwrite_table(ws.bookings, "bookings", path)
+    others = ws.bookings.filter("facility_id <> 'view'")
+    # The table is read and replaced in one job.
+    T.overwrite_table(T.read_table(ws.spark, "bookings", path, ordered=False).unionByName(others), "bookings", path)
     return ntz(T.read_table(ws.spark, "bookings", path, ordered=False))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from originline.schemas import TABLES
 from originline.session import configure, new_folder
+from originline.sources import jdbc as database
+from originline.sources.snapshots import SnapshotTable
 
 # Fixed value: ISO-8601 with offset, so that a file round-trips to the same instant.
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -34,36 +36,61 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
+#: Tables of which single partitions are replaced, and by what.
+PARTITIONED = {"predictions": ("track", "model")}
+
+
+def snapshots(spark: SparkSession, name: str, path: str) -> SnapshotTable:
+    """A declared table in snapshots under a path."""
+    return SnapshotTable(spark, path, declared(name)[0], PARTITIONED.get(name, ()))
+
+
 def read_table(
-    spark: SparkSession, name: str, path: str, ordered: bool = True,
-    jdbc: dict[str, str] | None = None,
+    spark: SparkSession, name: str, path: str | None = None, ordered: bool = True,
+    jdbc: dict[str, str] | None = None, partitions: int = 8,
 ) -> DataFrame:
-    """A whole declared table from Parquet or a JDBC source.
+    """A whole declared table from snapshots, plain Parquet or a database.
 
-    Ordering by the primary key is for final consumers; it costs a range shuffle,
-    so jobs that only aggregate or join leave it off.
+    A database table (``jdbc`` with its ``dbtable``) is read by ranges of the last
+    column of its key, one task each. Ordering by the primary key is for final
+    consumers; it costs a range shuffle, so jobs that only aggregate or join leave it off.
     """
     schema, key = declared(name)
     if jdbc:
-        raw = spark.read.format("jdbc").options(**jdbc).load()
+        raw = database.read(spark, jdbc, jdbc["dbtable"], f'"{key[-1]}"', partitions)
+    elif SnapshotTable.is_one(spark, path):
+        raw = snapshots(spark, name, path).read()
     else:
         raw = spark.read.parquet(path)
     df = raw.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
     return df.orderBy(*key) if ordered else df
 
 
-def overwrite_table(df: DataFrame, name: str, path: str) -> int:
-    """Replace a table's contents; returns the rows written."""
-    conform(df, name).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+def overwrite_table(df: DataFrame, name: str, path: str | None = None, jdbc: dict[str, str] | None = None) -> int:
+    """Replace a table's contents in one step; returns the rows written.
 
+    Readers, this job's own included, see the old rows until the new ones are all
+    there, and keep them if the write fails.
+    """
+    rows = conform(df, name)
+    if jdbc:
+        return database.replace(rows, jdbc, jdbc["dbtable"])
+    return snapshots(df.sparkSession, name, path).replace(rows)
 
-def overwrite_predictions(df: DataFrame, track: str, model: str, path: str) -> None:
+
+def overwrite_predictions(df: DataFrame, track: str, model: str, path: str | None = None, jdbc: dict[str, str] | None = None) -> None:
     """Replace one (track, model) of the shared predictions table, keep the others.
 
-    Dynamic partition overwrite touches only the partitions the frame holds.
+    In snapshots or a database in one step. Of a plain partitioned folder, dynamic
+    partition overwrite touches only the partitions the frame holds.
     """
     rows = conform(df, "predictions")
+    if jdbc:
+        database.replace(rows, jdbc, jdbc["dbtable"], {"track": track, "model": model})
+        return
+    if SnapshotTable.is_one(df.sparkSession, path):
+        snapshots(df.sparkSession, "predictions", path).replace_partition(rows, track=track, model=model)
+        return
     stray = rows.filter(
         ~(F.col("track").eqNullSafe(track) & F.col("model").eqNullSafe(model))
     )
