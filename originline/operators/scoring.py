@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from originline.functions.ordered import exact_quantiles
+from originline.functions.ordered import exact_quantiles, global_rank
 from originline.functions.scalar import ratio
 from originline.params import HEADS, Params
 from originline.session import freeze
@@ -345,30 +345,46 @@ def paired_differences(scored: DataFrame, base: str, trained: str, ids: DataFram
 PRIME = 4_294_967_291
 
 
-def poisson_limits(terms: int = 12) -> list[int]:
-    """Where a uniform number below 2^32 passes to the next Poisson(1) count."""
-    shares = np.cumsum([1.0 / math.factorial(k) for k in range(terms)]) * math.exp(-1.0)
+#: How many standard deviations the first share of the draws stays under the number of rows.
+SHORT = 6.0
+
+
+def poisson_rate(n: int) -> float:
+    """Expected count of a row in the first share of a resample of ``n`` draws."""
+    return max(0.0, 1.0 - SHORT / math.sqrt(n)) if n else 0.0
+
+
+def poisson_limits(rate: float, terms: int = 12) -> list[int]:
+    """Where a uniform number below 2^32 passes to the next Poisson count."""
+    shares = np.cumsum([math.pow(rate, k) / math.factorial(k) for k in range(terms)]) * math.exp(-rate)
     return [math.ceil(x * 2**32) for x in shares.tolist()]
 
 
 def _resampled(rows: DataFrame, row_id: str, category: str | None, values: dict[str, Column], p: Params) -> DataFrame:
-    """Weighted sums of ``values`` for every resample (and category).
-
-    A resample with replacement gives each row a count that is Poisson with mean 1.
-    The count of a row in resample b comes from two hashes of the row:
-    (h1 + b * h2) modulo a prime is uniform and independent between rows, and
-    pairwise independent between resamples. All resamples of a block of rows are
-    one matrix product inside the task; a task sends one row per resample and
-    category, whatever the number of its rows.
+    """Sums of ``values`` for every resample (and category); each is exactly n draws of n rows with replacement.
+
+    Counts of rows that are independent and Poisson are, given their total m, the
+    counts of m draws. So a first share of each resample, a few standard deviations
+    short of n, gives every row a Poisson count by itself: from two hashes of the row,
+    as (h1 + b * h2) modulo a prime is uniform and independent between rows. All
+    resamples of a block of rows are one matrix product inside the task; a task sends
+    one row per resample and category, whatever the number of its rows. The n - m
+    draws that are left, of the order of sqrt(n), pick places in the order of the ids
+    and are joined with the rows there. Should a first share exceed n, all n draws of
+    that resample are picked so. Nothing depends on how the rows are partitioned.
+
+    ``drawn`` is the number of draws in a row's sums.
     """
+    n = rows.count()
     # Its own salt: seeded draws order rows by an MD5 of seed and id, too.
     key = F.md5(F.concat_ws("|", F.lit(f"{p.seed}|bootstrap"), F.col(row_id).cast("string")))
-    hashed = rows.select(
+    named = rows.select(
+        F.col(row_id), (F.lit("") if category is None else F.col(category)).alias("category"),
+        *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()), F.lit(1.0).alias("drawn"))
+    hashed = named.select(
         *(F.conv(F.substring(key, at, 8), 16, 10).cast("long").alias(name) for name, at in (("h1", 1), ("h2", 9))),
-        (F.lit("") if category is None else F.col(category)).alias("category"),
-        *(v.cast("double").alias(k) for k, v in values.items()),
-    )
-    names, resamples, limits = list(values), p.resamples, np.array(poisson_limits(), np.uint64)
+        "category", *values, "drawn")
+    names, resamples, limits = [*values, "drawn"], p.resamples, np.array(poisson_limits(poisson_rate(n)), np.uint64)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, np.ndarray] = {}
@@ -383,7 +399,7 @@ def _resampled(rows: DataFrame, row_id: str, category: str | None, values: dict[
                     h1, h2 = (block[c].to_numpy(np.uint64)[:, None] for c in ("h1", "h2"))
                     # h2 < 2^32 and b < 2^31: the product fits 64 bits.
                     counts = np.searchsorted(limits, (h1 + b * h2) % np.uint64(PRIME), side="right")
-                    total += np.nan_to_num(block[names].to_numpy(float)).T @ counts.astype(float)
+                    total += block[names].to_numpy(float).T @ counts.astype(float)
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * resamples, pa.string()), pa.array(b.astype(np.int64)), *map(pa.array, total)],
@@ -391,11 +407,27 @@ def _resampled(rows: DataFrame, row_id: str, category: str | None, values: dict[
             )
 
     schema = "category string, b bigint, " + ", ".join(f"{k} double" for k in names)
-    return hashed.mapInArrow(draw, schema).groupBy("category", "b").agg(*(F.sum(k).alias(k) for k in names))
+    first = freeze(hashed.mapInArrow(draw, schema).groupBy("category", "b").agg(*(F.sum(k).alias(k) for k in names)))
+    # As many rows as resamples: a setting, not a property of the data.
+    totals = first.groupBy("b").agg(F.sum("drawn").cast("long").alias("m")).select(
+        "b", F.when(F.col("m") <= n, F.col("m")).otherwise(0).alias("m"))
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long") - F.col("m") - 1)).alias("i")
+    left = totals.where(F.col("m") < n).select("b", i)
+    pick = F.md5(F.concat_ws("|", F.lit(f"{p.seed}|draw"), F.col("b").cast("string"), F.col("i").cast("string")))
+    places = left.select("b", (F.conv(F.substring(pick, 1, 13), 16, 10).cast("long") % n + 1).alias("_rank"))
+    ranked = global_rank(named, [row_id, "category"], "_rank")
+    second = places.join(ranked, "_rank").select("category", "b", *names)
+    kept = first.join(totals.where(F.col("m") > 0).select("b"), "b", "left_semi").select("category", "b", *names)
+    return kept.unionByName(second).groupBy("category", "b").agg(*(F.sum(k).alias(k) for k in names))
+
+
+def resample_sizes(rows: DataFrame, row_id: str, p: Params) -> DataFrame:
+    """``b`` and ``drawn``, the draws of each resample."""
+    return _resampled(rows, row_id, None, {}, p).select("b", F.col("drawn").cast("long").alias("drawn"))
 
 
 def bootstrap_mean(rows: DataFrame, row_id: str, value: str, p: Params) -> DataFrame:
-    """Percentile interval of a mean from Poisson resampling of the rows."""
+    """Percentile interval of a mean from resamples of as many draws as rows."""
     x = F.col(value)
     drawn = _resampled(rows, row_id, None, {"x": x, "c": x.isNotNull()}, p)
     tail = (1 - p.level) / 2

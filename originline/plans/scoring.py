@@ -397,27 +397,46 @@ def compose_predictions(ws: Workspace) -> DataFrame:
     return rounded(S.compose(ws.predictions, head_sources(ws), ORDER))
 
 
-def poisson_count(row: str, b: str) -> str:
-    """A row's Poisson(1) count in a resample, from the definition of its distribution."""
-    def word(at: int) -> str:
-        return f"('0x' || substr(md5('{P.seed}|bootstrap|' || {row}), {at}, 8))::UBIGINT"
+def resampled(name: str, rows: str, row: str) -> None:
+    """Fragment ``name``: the rows of a table with their weight ``w`` in every resample ``b``.
 
-    terms = [f"1 / {math.factorial(k)}::DOUBLE" for k in range(12)]
-    u = f"(({word(1)} + {b}::UBIGINT * {word(9)}) % {S.PRIME})"
-    return "(" + " + ".join(
-        f"({u} >= ceil(exp(-1::DOUBLE) * ({' + '.join(terms[:k + 1])}) * 4294967296))::INT" for k in range(12)) + ")"
+    First a Poisson count of a rate a little under one, from the definition of its
+    distribution; then draws of single places up to the number of rows.
+    """
+    def word(at: int) -> str:
+        return f"('0x' || substr(key, {at}, 8))::UBIGINT"
+
+    terms = [f"pow(rate, {k}) / {math.factorial(k)}::DOUBLE" for k in range(12)]
+    count = " + ".join(f"(u >= ceil(({' + '.join(terms[:k + 1])}) * exp(-rate) * 4294967296))::INT" for k in range(12))
+    fragment(f"{name}_rows", f"""
+SELECT *, {word(1)} AS h1, {word(9)} AS h2, greatest(0, 1 - {S.SHORT}::DOUBLE / sqrt(n)) AS rate FROM (
+  SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY {row}) AS place, md5('{P.seed}|bootstrap|' || {row}) AS key FROM {rows})""")
+    fragment(f"{name}_first", f"""
+SELECT place, b, {count} AS w FROM (
+  SELECT place, rate, b, (h1 + b::UBIGINT * h2) % {S.PRIME} AS u FROM {name}_rows, range({P.resamples}) r(b))""")
+    fragment(f"{name}_totals", f"""
+SELECT b, CASE WHEN m <= n THEN m ELSE 0 END AS m, n
+FROM (SELECT b, sum(w)::BIGINT AS m FROM {name}_first GROUP BY 1), (SELECT count(*) AS n FROM {name}_rows)""")
+    fragment(f"{name}_second", f"""
+SELECT ('0x' || substr(md5('{P.seed}|draw|' || b || '|' || i), 1, 13))::BIGINT % n + 1 AS place, b, 1 AS w
+FROM (SELECT b, n, unnest(range(n - m)) AS i FROM {name}_totals)""")
+    fragment(name, f"""
+SELECT r.*, b, w FROM {name}_rows r JOIN (
+  SELECT place, b, w FROM {name}_first SEMI JOIN (SELECT b FROM {name}_totals WHERE m > 0) USING (b) WHERE w > 0
+  UNION ALL SELECT * FROM {name}_second) USING (place)""")
+
+
+fragment("diffs", """
+SELECT sample_id, (max(score) FILTER (model = 'transition') - max(score) FILTER (model = 'habit')) / 4.0::DOUBLE AS diff
+FROM sc WHERE sample_id IN (SELECT sample_id FROM cmp_ids) GROUP BY 1""")
+resampled("pairs", "diffs", "sample_id")
 
 
 @job("paired_bootstrap", query(f"""
-, diffs AS (SELECT sample_id, (max(score) FILTER (model = 'transition') - max(score) FILTER (model = 'habit'))
-    / 4.0::DOUBLE AS diff
-  FROM sc WHERE sample_id IN (SELECT sample_id FROM cmp_ids) GROUP BY 1),
-means AS (SELECT sum(w * diff) / sum(w) AS m FROM (
-    SELECT b, diff, {{weight}} AS w FROM diffs, range({P.resamples}) r(b)) GROUP BY b)
 SELECT (SELECT count(*) FROM diffs) AS "rows", round((SELECT avg(diff) FROM diffs), 6) AS mean_difference,
   round(quantile_cont(m, {(1 - P.level) / 2!r}::DOUBLE), 6) AS lower,
-  round(quantile_cont(m, {1 - (1 - P.level) / 2!r}::DOUBLE), 6) AS upper FROM means""").replace(
-    "\n\n, diffs", ",\ndiffs").replace("{weight}", poisson_count("sample_id", "b")))
+  round(quantile_cont(m, {1 - (1 - P.level) / 2!r}::DOUBLE), 6) AS upper
+FROM (SELECT sum(w * diff) / sum(w) AS m FROM pairs GROUP BY b)"""))
 def paired_bootstrap(ws: Workspace) -> DataFrame:
     diffs = S.paired_differences(ws.scored, "habit", "transition", ws.comparison)
     return rounded(S.paired_bootstrap(diffs, ws.params))
@@ -539,15 +558,20 @@ def lead_quantiles(ws: Workspace) -> DataFrame:
     return rounded(Q.lead_quantiles(lead_hours(ws)))
 
 
-fragment("bw", f"""
-SELECT booking_id, facility_id, lh, b, {poisson_count('booking_id', 'b')} AS w FROM ld, range({P.resamples}) r(b)""")
+resampled("leads", "ld", "booking_id")
 _TAILS = (repr((1 - P.level) / 2), repr(1 - (1 - P.level) / 2))
 
 
+@job("resample_sizes", query(f"SELECT range AS b, (SELECT count(*) FROM ld) AS drawn FROM range({P.resamples})"))
+def resample_sizes(ws: Workspace) -> DataFrame:
+    """Draws of every resample: as many as there are rows."""
+    return S.resample_sizes(lead_hours(ws), "booking_id", ws.params)
+
+
 @job("bootstrap_mean_ci", query(f"""
 SELECT (SELECT count(*) FROM ld) AS "rows", round((SELECT avg(lh) FROM ld), 6) AS mean,
   round(quantile_cont(m, {_TAILS[0]}::DOUBLE), 6) AS lower, round(quantile_cont(m, {_TAILS[1]}::DOUBLE), 6) AS upper
-FROM (SELECT sum(w * lh) / sum(w) AS m FROM bw GROUP BY b)"""))
+FROM (SELECT sum(w * lh) / sum(w) AS m FROM leads GROUP BY b)"""))
 def bootstrap_mean_ci(ws: Workspace) -> DataFrame:
     return rounded(S.bootstrap_mean(lead_hours(ws), "booking_id", "lead_hours", ws.params))
 
@@ -560,7 +584,7 @@ LEFT JOIN (SELECT facility_id, count(*) AS n FROM bk GROUP BY 1) USING (facility
 LEFT JOIN (SELECT facility_id, quantile_cont(m, {_TAILS[0]}::DOUBLE) AS lower,
     quantile_cont(m, {_TAILS[1]}::DOUBLE) AS upper FROM (
   SELECT facility_id, c / sum(c) OVER (PARTITION BY b) AS m FROM (
-    SELECT b, facility_id, sum(w) AS c FROM bw GROUP BY 1, 2))
+    SELECT b, facility_id, sum(w) AS c FROM leads GROUP BY 1, 2))
   GROUP BY 1) USING (facility_id)"""
 
 
