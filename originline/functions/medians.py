@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from originline.functions.ordered import BLOCK, REAL
+from originline.functions.ordered import BLOCK, REAL, Running, range_blocks, running
 from originline.session import freeze
 
 
@@ -72,32 +72,26 @@ def _context(own: DataFrame, key: str) -> DataFrame:
 
     While a block of m rows is read, the median moves by at most m/2 ranks from
     where it stood, so only earlier values near that rank can ever be it. All
-    others are replaced by how many lie below and above. Values are grouped into
-    bins of about one block's size to find the neighbourhood, so a block receives
-    a constant multiple of its own rows.
+    others are replaced by how many lie below and above. Values are grouped by rank
+    into bins of one block's size, however many blocks the key has, to find the
+    neighbourhood, so a block receives a constant multiple of its own rows.
     """
     sizes = own.groupBy(key, "b").agg(F.count(F.lit(1)).alias("m"))
     along = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     need = sizes.select(key, "b", "m", F.sum("m").over(along).alias("p")).filter("p > 0")
-    per_key = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("n_blocks"))
-    cuts = freeze(
-        own.groupBy(key)
-        .agg(F.percentile_approx("v", [i / 65.0 for i in range(1, 65)], 10_000).alias("cuts"))
-        .join(per_key, key)
-        .filter("n_blocks > 1")
-        .select(key, F.array_distinct("cuts").alias("cuts"))
-    )
-    binned = (
-        own.join(F.broadcast(cuts), key)
-        .withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
-        .groupBy(key, "b", "bin", "v")
-        .agg(F.sum("w").alias("w"))
-    )
+    weighted = freeze(own.groupBy(key, "b", "v").agg(F.sum("w").alias("w")))
+    hist = weighted.groupBy(key, "v").agg(F.sum("w").alias("n"))
+    ranked = running(
+        range_blocks(hist, [key, "v"]), [key], ["v"], {"upto": Running("sum", F.col("n"))}, blocked=True)
+    most = sizes.groupBy(key).agg(F.max("m").alias("most"))
+    bins = ranked.join(most, key).select(key, "v", F.floor((F.col("upto") - 1) / F.col("most")).cast("int").alias("bin"))
+    last = freeze(bins.groupBy(key).agg(F.max("bin").alias("last")))
+    binned = weighted.join(bins, [key, "v"]).select(key, "b", "bin", "v", "w")
     binned = freeze(binned)
     cells = binned.groupBy(key, "b", "bin").agg(F.sum("w").alias("c"))
-    # Earlier rows per (block, bin): each block meets every bin once, a bounded
-    # grid of blocks by 65 bins.
-    met = need.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(65))))
+    # Earlier rows per (block, bin): each block meets every bin once, a grid of
+    # about as many bins as blocks.
+    met = need.join(last, key).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     prior = (
         met.join(cells.withColumnRenamed("c", "own_c"), [key, "b", "bin"], "left")
         .select(key, "b", "bin", "m", "p", F.coalesce("own_c", F.lit(0)).alias("own_c"))
@@ -148,69 +142,49 @@ def _context(own: DataFrame, key: str) -> DataFrame:
     return middle.unionByName(low_end).unionByName(high_end).filter("w > 0")
 
 
+def order_statistics(ranks: np.ndarray, weights: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The rank at which the first ``ends[i]`` items reach a weight of ``wanted[i]``, for all i at once.
+
+    A wavelet matrix: the items are split by the bits of their ranks, the highest
+    first, each time keeping their order, so the items of a prefix that share the
+    higher bits stay one stretch. A step tells for every i how much weight of its
+    stretch has a 0 next, and follows the 0s or the 1s. As many steps as a rank has
+    bits, each a few operations on whole arrays.
+    """
+    low, high, wanted = np.zeros(len(ends), np.int64), ends.astype(np.int64), wanted.astype(np.int64)
+    found = np.zeros(len(ends), np.int64)
+    for bit in reversed(range(max(1, int(ranks.max(initial=0)).bit_length()))):
+        zero = (ranks >> bit) & 1 == 0
+        count = np.concatenate([[0], np.cumsum(zero)])
+        weight = np.concatenate([[0], np.cumsum(np.where(zero, weights, 0))])
+        inside = weight[high] - weight[low]
+        ones = wanted > inside
+        to_zero, to_one = (count[low], count[high]), (count[-1] + low - count[low], count[-1] + high - count[high])
+        low, high = (np.where(ones, one, null) for one, null in zip(to_one, to_zero, strict=True))
+        wanted = np.where(ones, wanted - inside, wanted)
+        found |= ones.astype(np.int64) << bit
+        order = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
+        ranks, weights = ranks[order], weights[order]
+    return found
+
+
 def _block_medians(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Median after each row of one block, by deleting rows newest first."""
+    """Median after each row of one block: of the context, which lies before all rows, and the rows so far.
+
+    Memory is a few arrays of the block's and its context's length.
+    """
     rows = pdf[pdf["kind"] == 1].sort_values("at", kind="stable")
-    ids = rows["id"].to_numpy()
     valued = rows["v"].notna().to_numpy()
     context = pdf[pdf["kind"] == 0]
     values = np.concatenate([context["v"].to_numpy(float), rows["v"].to_numpy(float)[valued]])
-    weights = np.concatenate(
-        [context["w"].to_numpy(np.int64), np.ones(int(valued.sum()), np.int64)]
-    )
+    weights = np.concatenate([context["w"].to_numpy(np.int64), np.ones(int(valued.sum()), np.int64)])
     out = np.full(len(rows), np.nan)
-    if len(values):
-        order = np.argsort(values, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        v, w = values[order].tolist(), weights[order].tolist()
-        nxt = list(range(1, len(v) + 1))
-        prv = list(range(-1, len(v) - 1))
-        total = int(weights.sum())
-        rank = (total + 1) // 2
-        at = int(np.searchsorted(np.cumsum(weights[order]), rank))
-        below = int(weights[order][:at].sum())  # weight before the current node
-        spots = place[len(context):][::-1].tolist()
-        newest = np.flatnonzero(valued)[::-1].tolist()
-        last = len(rows)
-        for position, spot in zip(newest, spots, strict=True):
-            upper = v[at] if below + w[at] > rank or total % 2 else v[nxt[at]]
-            out[position:last] = v[at] if total % 2 else (v[at] + upper) / 2.0
-            last = position
-            total -= 1
-            rank = (total + 1) // 2
-            if spot < at:
-                below -= 1
-            before, after = prv[spot], nxt[spot]
-            if before >= 0:
-                nxt[before] = after
-            if after < len(v):
-                prv[after] = before
-            if spot == at:
-                if after < len(v):
-                    at = after
-                elif before >= 0:
-                    at = before
-                    below -= w[before]
-            if total:
-                while below >= rank:
-                    at = prv[at]
-                    below -= w[at]
-                while below + w[at] < rank:
-                    below += w[at]
-                    at = nxt[at]
-        if last and len(context):
-            out[:last] = _weighted_median(context)
-    elif len(context):
-        out[:] = _weighted_median(context)
-    return pd.DataFrame({"id": ids, "m": out})
-
-
-def _weighted_median(context: pd.DataFrame) -> float:
-    """Median of the earlier rows alone, for rows before a block's first value."""
-    c = context.sort_values("v")
-    upto = np.cumsum(c["w"].to_numpy(np.int64))
-    n = int(upto[-1])
-    lo = c["v"].to_numpy()[np.searchsorted(upto, (n + 1) // 2)]
-    hi = c["v"].to_numpy()[np.searchsorted(upto, n // 2 + 1)]
-    return float((lo + hi) / 2.0)
+    distinct, ranks = np.unique(values, return_inverse=True)
+    ends = len(context) + np.cumsum(valued)
+    total = np.concatenate([[0], np.cumsum(weights)])[ends]
+    some = np.flatnonzero(total > 0)
+    if len(some):
+        lower = order_statistics(ranks, weights, ends[some], (total[some] + 1) // 2)
+        upper = order_statistics(ranks, weights, ends[some], total[some] // 2 + 1)
+        out[some] = (distinct[lower] + distinct[upper]) / 2.0
+    return pd.DataFrame({"id": rows["id"].to_numpy(), "m": out})

@@ -248,7 +248,7 @@ def blocked_history(df: DataFrame, key: str, order: str, hot: DataFrame, back: i
         lambda x, i: F.struct(x["to"].alias("to"), F.col("_next")[i]["cum"].alias("upto")),
     )
     chain = chain.withColumn("_hops", hops)
-    reach = tails.join(F.broadcast(chain.drop("_prev", "_next")), [key, BLOCK])
+    reach = tails.join(chain.drop("_prev", "_next"), [key, BLOCK])
     index = F.col("_cum") - F.col("_fromend") + 1
     before = reach.select(
         *df.columns,
@@ -258,7 +258,7 @@ def blocked_history(df: DataFrame, key: str, order: str, hot: DataFrame, back: i
     ).select(*df.columns, F.col("_hop.to").alias(BLOCK))
     after = (
         edges.filter(F.col("_fromstart") == 1)
-        .join(F.broadcast(chain.select(key, BLOCK, "_prev")), [key, BLOCK])
+        .join(chain.select(key, BLOCK, "_prev"), [key, BLOCK])
         .filter("_prev is not null")
         .select(*df.columns, F.col("_prev").alias(BLOCK))
     )

@@ -134,6 +134,22 @@ def test_blocked_residents_equal_whole_residents(spark):
                 assert b[key][name] == value, (key, name)
 
 
+def test_several_hot_residents_in_many_blocks(spark):
+    """Running medians of residents with many small blocks each, beside residents with none."""
+    parts = [skewed(spark, 220, seed=s).select(
+        *(F.concat(F.lit(f"{s}-"), c).alias(c) for c in ("booking_id", "resident_id")), "facility_id", "booking_timestamp", "usage_timestamp")
+        for s in (5, 6, 7)]
+    df = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    names = ["booking_id", "inter_booking_interval_median_days", "lead_minutes_median"]
+    whole = {r[0]: r for r in resident_features(build_history(df, TEST)).select(*names).collect()}
+    h = build_history(df, small_blocks(TEST))
+    assert h.blocked and h.frame.filter("resident_id like '%-%'").select("resident_id").distinct().count() > 3
+    cut = {r[0]: r for r in resident_features(h).select(*names).collect()}
+    assert cut.keys() == whole.keys()
+    for name, row in whole.items():
+        assert cut[name][1:] == pytest.approx(row[1:], nan_ok=True) if None not in row else cut[name] == row
+
+
 def test_the_future_does_not_change_earlier_rows(spark):
     """Deleting or moving later bookings leaves earlier origins' features as they were."""
     df = skewed(spark, 160, seed=3)

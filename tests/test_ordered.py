@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from originline.functions import medians as M
 from originline.functions.ordered import Running, exact_quantiles, global_rank, range_blocks, running
 
 
@@ -61,3 +63,29 @@ def test_running_over_blocks_equals_cumulative(rows):
                 assert r["sd"] == pytest.approx(np.std([y[2] for y in seen], ddof=1), abs=1e-6)
             else:
                 assert r["sd"] is None
+
+
+def test_order_statistics_of_all_prefixes():
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 1), (7, 3), (300, 40), (500, 10_000)):
+        ranks, weights = rng.integers(0, top, n), rng.integers(1, 4, n)
+        ends = np.arange(1, n + 1)
+        wanted = 1 + (rng.random(n) * np.cumsum(weights)).astype(int).clip(max=np.cumsum(weights) - 1)
+        got = M.order_statistics(ranks, weights, ends, wanted)
+        for end, k, rank in zip(ends, wanted, got, strict=True):
+            spread = np.sort(np.repeat(ranks[:end], weights[:end]))
+            assert spread[k - 1] == rank
+
+
+def test_block_medians_by_plain_loops():
+    rng = np.random.default_rng(6)
+    context = [(None, None, v, int(w), 0) for v, w in ((-np.inf, 5), (1.0, 2), (2.0, 1), (2.5, 3), (np.inf, 6))]
+    rows = [(f"r{i}", i, None if rng.random() < 0.2 else float(rng.choice([1.0, 1.5, 2.0, 2.25, 3.0])), 1, 1) for i in range(40)]
+    for parts in (rows, context + rows):
+        frame = pd.DataFrame(parts, columns=["id", "at", "v", "w", "kind"]).sample(frac=1, random_state=1)
+        got = M._block_medians(frame).set_index("id")["m"]
+        seen = [v for _, _, v, w, kind in parts if kind == 0 for _ in range(w)]
+        for name, _, v, _, _ in rows:
+            seen += [] if v is None else [v]
+            want = np.median(seen) if seen else np.nan
+            assert got[name] == want or (np.isnan(got[name]) and np.isnan(want)), name
