@@ -194,8 +194,11 @@ def _columns(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np
     return np.searchsorted(bounds, hit, side="right") - 1, column[hit]
 
 
-def _fit_words(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> Words:
-    """Fit on the features in ``known`` by Newton steps, each solved by conjugate gradients, so that no square matrix is made."""
+def _fit_words(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, near: Words | None = None, ridge: float = 0.3) -> Words:
+    """Fit on the features in ``known`` by Newton steps, each solved by conjugate gradients, so that no square matrix is made.
+
+    ``near`` is the fit of nearly the same rows, to start from; two short steps lead from there.
+    """
     n = len(y)
     row, column = _columns(known, ids, bounds)
     k = len(known)
@@ -204,15 +207,19 @@ def _fit_words(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.nda
     back = lambda r: np.append(np.bincount(column, r[row], minlength=k), r.sum())
     w = np.zeros(k + 1)
     w[k] = np.log(y.mean() / (1 - y.mean()))
-    for _ in range(10):
+    if near is not None:
+        _, here, there = np.intersect1d(known, near.ids, assume_unique=True, return_indices=True)
+        w[here], w[k] = near.weight[there], near.bias
+    steps, inner = (10, 30) if near is None else (2, 15)
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
         curve = p * (1 - p) + 1e-6
         r = -(back(p - y) + keep * w)
         scale = 1 / (back(curve) + keep)
         step, z = np.zeros(k + 1), scale * r
         d, rz, first = z, r @ z, r @ z
-        for _ in range(30):
-            if rz <= 1e-8 * first or rz < 1e-12:
+        for _ in range(inner):
+            if rz <= 1e-6 * first or rz < 1e-12:
                 break
             image = back(curve * forward(d)) + keep * d
             a = rz / (d @ image)
@@ -221,7 +228,7 @@ def _fit_words(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.nda
             rz, old = r @ z, rz
             d = z + rz / old * d
         w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-2:
+        if np.abs(step).max() < 3e-2:
             break
     return Words(known, w[:k], float(w[k]))
 
@@ -246,17 +253,30 @@ class WordRows:
     fold: np.ndarray
     known: dict[int, np.ndarray]  # by the fold left out; -1 for none
 
-    def fit(self, y: np.ndarray) -> tuple[Words, np.ndarray]:
-        """A fit on the rows with ``y`` of 0 or 1, and for every row the margin of a fit without its fold."""
+    near: dict[int, Words] = dataclasses.field(default_factory=dict)  # the last fits, to start the next ones from
+
+    def fit(self, y: np.ndarray) -> Words:
+        """A fit on the rows with ``y`` of 0 or 1."""
+        at = np.flatnonzero(y >= 0)
+        self.near[-1] = _fit_words(self.known[-1], *_take(self.ids, self.bounds, at), y[at], self.near.get(-1))
+        return self.near[-1]
+
+    def margins(self, y: np.ndarray) -> np.ndarray:
+        """For every row the margin of a fit on the rows with ``y`` of 0 or 1, but those of its fold."""
         at = np.flatnonzero(y >= 0)
-        model = _fit_words(self.known[-1], *_take(self.ids, self.bounds, at), y[at])
-        margin = model.margin(self.ids, self.bounds)
+        margin = np.zeros(len(y))
         for k in range(FOLDS):
             out, rest = np.flatnonzero(self.fold == k), at[self.fold[at] != k]
-            if len(out) and 0 < y[rest].sum() < len(rest):
-                other = _fit_words(self.known[k], *_take(self.ids, self.bounds, rest), y[rest])
-                margin[out] = other.margin(*_take(self.ids, self.bounds, out))
-        return model, margin
+            if len(out) == 0:
+                continue
+            if 0 < y[rest].sum() < len(rest):
+                self.near[k] = _fit_words(
+                    self.known[k], *_take(self.ids, self.bounds, rest), y[rest], self.near.get(k, self.near.get(-1)))
+                model = self.near[k]
+            else:
+                model = self.fit(y)
+            margin[out] = model.margin(*_take(self.ids, self.bounds, out))
+        return margin
 
 
 def cross_fit(rows: WordRows, y: np.ndarray) -> Words | None:
@@ -267,7 +287,7 @@ def cross_fit(rows: WordRows, y: np.ndarray) -> Words | None:
     at = y >= 0
     if not 0 < y[at].sum() < at.sum():
         return None
-    model, margin = rows.fit(y)
+    model, margin = rows.fit(y), rows.margins(y)
     b, a = _newton(margin[at][:, None], y[at], 1e-3)
     mean = y[at].mean()
     model.platt = (float(a), float(b)) if a > 0 else (0.0, float(np.log(mean / (1 - mean))))
@@ -319,14 +339,13 @@ def co_train(
         at = np.flatnonzero(fitted & (labels >= 0))
         return fit_view(x[at], labels[at], x[calibrating], y[calibrating])
 
-    def fit() -> tuple[Logistic, Logistic, np.ndarray, Words | None]:
-        x, model = every_a, None
-        if words is not None:
-            model, margin = words.fit(given["text"])
-            x = _told(every_a, margin)
-        return view(x, given["text"]), view(every_b, given["page"]), x, model
+    def fit() -> tuple[Logistic, Logistic, np.ndarray]:
+        x = every_a if words is None else _told(every_a, words.margins(given["text"]))
+        return view(x, given["text"]), view(every_b, given["page"]), x
 
-    text, page, x, model = fit()
+    if words is not None:
+        words.fit(unknown)  # the others start from it
+    text, page, x = fit()
     for _ in range(rounds if len(pool_a) else 0):
         for judge, seen, other in ((text, x, "page"), (page, every_b, "text")):
             p = 1 / (1 + np.exp(-judge.logit(seen[n:])))
@@ -336,8 +355,8 @@ def co_train(
             given[other] = unknown.copy()
             given[other][n + good[np.argsort(-p[good], kind="stable")[:n_good]]] = 1.0
             given[other][n + bad[np.argsort(p[bad], kind="stable")[:n_bad]]] = 0.0
-        text, page, x, model = fit()
-    return CoTrained(text, page, prior, rounds, model)
+        text, page, x = fit()
+    return CoTrained(text, page, prior, rounds, words and words.fit(given["text"]))
 
 
 _VIEW = "struct<text:string,source:string,lang:string,n_chars:double>"
