@@ -288,6 +288,20 @@ def matches(answers: DataFrame, rows: DataFrame, heads: Sequence[str], p: Params
     return joined.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(cells[h]().cast("int")).alias(h) for h in heads])
 
 
+def likely_hits(heads: dict[str, Fitted], scored: DataFrame, rows: DataFrame, p: Params, k: int = 3) -> DataFrame:
+    """``head`` and ``hit`` beside the columns of ``rows``: whether a label is among the k likeliest classes, ties by class order.
+
+    For the report's ``likely``; heads of the delay are left out.
+    """
+    cells = []
+    for name, head in heads.items():
+        if head.name != DELAY:
+            ordered = F.slice(F.sort_array(F.transform(F.col(f"p_{name}"), lambda x, i: F.struct(x.alias("p"), (-i).alias("o"))), asc=False), 1, k)
+            hit = F.exists(ordered, lambda e, y=M.label(head.name, p).cast("int"): -e["o"] == y)
+            cells.append(F.struct(F.lit(name).alias("head"), hit.alias("hit")))
+    return scored.join(rows, "sample_id").select(*[c for c in rows.columns if c != "sample_id"], F.inline(F.array(*cells)))
+
+
 def gains(heads: dict[str, Fitted], spark: SparkSession, top: int = 20) -> DataFrame:
     """The features of every head whose cuts move its margins most; a model-sized table."""
     rows = []

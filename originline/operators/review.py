@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from originline.functions.ordered import global_rank
 from originline.operators.contracts import catalog
 from originline.operators.scoring import (
     MATCHES, circular_hours, hour_metrics, log_ratio, match_summary, submitted,
 )
 from originline.params import HEADS, WEEKDAYS, Params
+from originline.session import freeze
 
 # Glyphs and formats of the sheet.
 YES, NO = "✓", "✗"
@@ -161,22 +163,24 @@ def track_states(predictions: DataFrame, tracks: list[str]) -> DataFrame:
 def dictionary(frame: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     """Sorted distinct values over the columns, with their positions.
 
-    The values are labels of a catalog, so the dictionary is small.
+    The positions are global ranks, counted in blocks; a column may have any number of
+    values.
     """
-    values = frame.select(F.explode(F.array(*(F.col(c) for c in columns))).alias("value"))
-    w = Window.orderBy("value")
-    return values.distinct().select(
-        F.lit(kind).alias("kind"), "value", (F.row_number().over(w) - 1).alias("code")
-    )
+    values = frame.select(F.explode(F.array(*(F.col(c) for c in columns))).alias("value")).filter("value is not null").distinct()
+    ranked = global_rank(values, ["value"], "_rank")
+    return ranked.select(F.lit(kind).alias("kind"), "value", (F.col("_rank") - 1).cast("int").alias("code"))
 
 
 def encode(frame: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
-    """Replace text columns by their dictionary positions."""
+    """Replace text columns by their dictionary positions; a null has none.
+
+    A dictionary is staged, so Spark knows its size and picks the join.
+    """
     out = frame
     for kind, columns in kinds.items():
-        words = dictionary(frame, kind, columns)
+        words = freeze(dictionary(frame, kind, columns))
         for c in columns:
-            side = F.broadcast(words.select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")))
+            side = words.select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
             out = out.join(side, c, "left")
     drop = [c for columns in kinds.values() for c in columns]
     return out.drop(*drop)

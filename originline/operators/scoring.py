@@ -183,11 +183,13 @@ def delay_metrics(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -> Da
     return plain.join(spread.drop("n"), list(by)).join(logs.drop("n"), list(by))
 
 
-def evaluation_report(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -> DataFrame:
+def evaluation_report(scored: DataFrame, p: Params, by: Sequence[str] = MODEL, likely: DataFrame | None = None) -> DataFrame:
     """Every metric as (track, model, split, metric, value).
 
     Class recalls are included, and the delay both as submitted and raw, that is
-    before negative delays become zero.
+    before negative delays become zero. ``likely`` has ``head`` and ``hit``, whether a
+    row's label is among the three likeliest of the head, for models that give
+    probabilities; the report then holds the heads' top-3 accuracy.
     """
     by = list(by)
     pairs = freeze(class_pairs(scored, by))
@@ -208,7 +210,11 @@ def evaluation_report(scored: DataFrame, p: Params, by: Sequence[str] = MODEL) -
         *by, F.concat_ws("_", F.lit("recall"), "head", "actual").alias("metric"),
         F.col("recall").alias("value"),
     )
-    return unpivot(full, by).unionByName(recall)
+    report = unpivot(full, by).unionByName(recall)
+    if likely is None:
+        return report
+    top = likely.groupBy(*by, "head").agg(F.avg(F.col("hit").cast("int")).alias("value"))
+    return report.unionByName(top.select(*by, F.concat(F.col("head"), F.lit("_top_3_accuracy")).alias("metric"), "value"))
 
 
 def unpivot(wide: DataFrame, by: Sequence[str]) -> DataFrame:

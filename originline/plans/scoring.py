@@ -8,6 +8,7 @@ import statistics
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from originline.functions.scalar import attach
 from originline.operators import profiles as Q
 from originline.operators import scoring as S
 from originline.operators import slices as L
@@ -212,14 +213,22 @@ fragment("probs", " UNION ALL ".join(
        for d in range(7)]))
 
 
-@job("top_k_accuracy", query("""
-SELECT split, head, count(DISTINCT sample_id) AS "rows", round(sum((c = actual)::INT) / count(DISTINCT sample_id), 6)
-  AS top_3_accuracy
+fragment("top3", """
+SELECT track, model, split, head, count(DISTINCT sample_id) AS "rows", sum((c = actual)::INT) / count(DISTINCT sample_id) AS top_3_accuracy
 FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, head ORDER BY p DESC, o) AS rn
-  FROM (SELECT sample_id, split, head, actual, origin_booking_id AS id FROM hd
+  FROM (SELECT track, model, sample_id, split, head, actual, origin_booking_id AS id FROM hd
         JOIN (SELECT sample_id, origin_booking_id FROM smp) USING (sample_id) WHERE model = 'habit')
-  JOIN probs USING (id, head)) WHERE rn <= 3 GROUP BY ALL"""))
+  JOIN probs USING (id, head)) WHERE rn <= 3 GROUP BY ALL""")
+
+
+@job("top_k_accuracy", query('SELECT split, head, "rows", round(top_3_accuracy, 6) AS top_3_accuracy FROM top3'))
 def top_k_accuracy(ws: Workspace) -> DataFrame:
+    return rounded(share_hits(ws).groupBy("split", "head").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(F.col("hit").cast("int")).alias("top_3_accuracy")))
+
+
+def share_hits(ws: Workspace) -> DataFrame:
+    """Whether each sample's label is among the three largest shares of its history: the habit rule's probabilities."""
     shares = ws.features.select(
         "sample_id", *(f"facility_share_{s}" for s in P.slugs),
         *(f"usage_weekday_share_{d}" for d in range(7)),
@@ -234,14 +243,10 @@ def top_k_accuracy(ws: Workspace) -> DataFrame:
         [(str(d), F.col(f"usage_weekday_share_{d}")) for d in range(7)], 3,
     )
     cells = F.array(
-        F.struct(F.lit("facility").alias("head"), facility.cast("int").alias("hit")),
-        F.struct(F.lit("usage_weekday").alias("head"), weekday.cast("int").alias("hit")),
-    )
-    return rounded(
-        rows.select("split", F.inline(cells)).groupBy("split", "head").agg(
-            F.count(F.lit(1)).alias("rows"), F.avg("hit").alias("top_3_accuracy")
-        )
+        F.struct(F.lit("facility").alias("head"), facility.alias("hit")),
+        F.struct(F.lit("usage_weekday").alias("head"), weekday.alias("hit")),
     )
+    return rows.select("split", F.inline(cells))
 
 
 _CIRC = """least((predicted_usage_hour - target_usage_hour + 24) % 24,
@@ -304,6 +309,7 @@ UNION ALL SELECT track, model, split, 'raw_signed_bias_minutes', avg(predicted_d
   FROM sc GROUP BY track, model, split
 UNION ALL SELECT track, model, split, 'recall_' || head || '_' || actual, avg((actual = predicted)::INT) FROM hd
   GROUP BY track, model, split, head, actual
+UNION ALL SELECT track, model, split, head || '_top_3_accuracy', top_3_accuracy FROM top3
 {' '.join(f"UNION ALL SELECT track, model, split, '{n}', {n} FROM dm" for n in _DM)}""")
 
 
@@ -314,7 +320,9 @@ def test_report(ws: Workspace) -> DataFrame:
 @job("evaluation_report", query(
     f"SELECT {_KEYS}, metric, round(value, 5) AS value FROM rep"))
 def evaluation_report(ws: Workspace) -> DataFrame:
-    return rounded(S.evaluation_report(ws.scored, ws.params), 5)
+    who = ws.scored.filter("model = 'habit'").agg(F.min("track").alias("track"), F.min("model").alias("model"))
+    likely = attach(share_hits(ws), who, "track", "model")
+    return rounded(S.evaluation_report(ws.scored, ws.params, likely=likely), 5)
 
 
 @job("compare_reports", query(f"""

@@ -13,6 +13,7 @@ from originline.operators import boosting as B
 from originline.operators import cadence as C
 from originline.operators import delays as D
 from originline.operators import framings as G
+from originline.operators import scoring as S
 from originline.params import TEST
 from originline.plans import models as J
 from originline.plans.workspace import Workspace
@@ -297,3 +298,25 @@ def test_saved_heads_answer_the_same(work):
     table = work.features.limit(40)
     answers = lambda heads: sorted(map(tuple, G.submitted(heads, G.probabilities(heads, table, TEST), TEST).collect()))
     assert answers(loaded) == answers(work.heads)
+
+
+def test_heads_top_three_in_the_report(work):
+    rows = work.split_samples.filter("split = 'test'").select(
+        "sample_id", "split", "target_facility_id", "target_usage_weekday", "target_usage_hour", "notification_delay_minutes")
+    heads = {h: work.heads[h] for h in G.HEADS}
+    hits = G.likely_hits(heads, work.head_scores, rows.drop("split").join(rows.select("sample_id", "split"), "sample_id"), TEST)
+    got = {r["head"]: r["rate"] for r in hits.groupBy("head").agg(F.avg(F.col("hit").cast("int")).alias("rate")).collect()}
+    table = {r["sample_id"]: r for r in work.head_scores.collect()}
+    want, n = dict.fromkeys(G.CLASSIFIERS, 0), 0
+    for r in rows.collect():
+        n += 1
+        labels = (TEST.names.index(r["target_facility_id"]), r["target_usage_weekday"], r["target_usage_hour"])
+        for head, y in zip(G.CLASSIFIERS, labels, strict=True):
+            p = table[r["sample_id"]][f"p_{head}"]
+            want[head] += y in sorted(range(len(p)), key=lambda i: (-p[i], i))[:3]
+    assert got == pytest.approx({h: c / n for h, c in want.items()})
+    scored = S.score(work.head_answers.join(rows, "sample_id").withColumns({"track": F.lit("ml"), "model": F.lit("boosted")}), TEST)
+    likely = hits.select("split", "head", "hit").withColumns({"track": F.lit("ml"), "model": F.lit("boosted")})
+    report = {r["metric"]: r["value"] for r in S.evaluation_report(scored, TEST, likely=likely).collect()}
+    assert {h: report[f"{h}_top_3_accuracy"] for h in G.CLASSIFIERS} == pytest.approx(got)
+    assert 0 <= report["overall"] <= 1
