@@ -22,8 +22,11 @@ from originline.llm.common import extended, prepare
 
 # Element and class names that mark parts which are not the article.
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input label "
-    "iframe object embed canvas svg math audio video map menu dialog".split())
+    "script style noscript template head title button select option textarea input label "
+    "iframe object embed canvas svg math audio video map".split())
+#: These, and what names and roles mark, may also wrap a whole page; see :func:`dropped`.
+MARKED = frozenset("nav footer aside form menu dialog".split())
+HEAD = frozenset("title meta link base style script noscript template".split())  # what may stand in a head
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -33,6 +36,7 @@ NOISE = re.compile(
     r"nav|navbar|navigation|menu|breadcrumb\w*|sidebar|side|widget\w*|footer|masthead|share|social|"
     r"related|recommend\w*|newsletter|subscribe|signup|login|comment|comments|comment-list|disqus|replies|pager|pagination|"
     r"copyright|tags|toolbar|search)(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus|replies)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 STATE = re.compile(r"(?:^|\s)(?:has|with|no|is|js)-\S*", re.I)  # says something of the page, not of the node
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
@@ -45,23 +49,37 @@ CLOSES = {
 INSIDE = frozenset(("article", "main"))
 
 
+PLAIN, MARK, DROP = 0, 1, 2
+#: The share of a page without article or main that a marked node must hold to be its wrapper.
+WRAPPER = 0.7
+
+
 class Tree(HTMLParser):
-    """The nodes of a page in order of their start tags, with their texts and block bounds."""
+    """The nodes of a page in order of their start tags, with marks, texts and block bounds.
+
+    What does not belong to an article is marked and stays in the tree, so that omitted
+    end tags close it like anything else.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.parent = ["#root"], [-1]
+        self.tags, self.parent, self.marks = ["#root"], [-1], [PLAIN]
+        self.comments = [False]
         self.chars, self.link_chars = [0], [0]
         self.open = [0]
-        self.links = self.dropped = 0  # open links; depth inside a dropped node
+        self.links = 0  # open links
         self.texts: list[tuple[int, str | None]] = []  # node and text; None is a block bound
 
+    def parse_marked_section(self, i, report=1):
+        """A malformed ``<![`` is a comment up to the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
-        if self.dropped:
-            if tag not in VOID:
-                self.dropped_names.append(tag)
-                self.dropped += 1
-            return
+        if tag not in HEAD and tag not in ("html", "head"):
+            self._close_open("head", ())
         if tag in BLOCKS:
             self._close_open("p", ("article", "section", "div", "td", "th", "li", "body", "blockquote", "button"))
             self.texts.append((self.open[-1], None))
@@ -71,35 +89,24 @@ class Tree(HTMLParser):
                 self._close_open(name, scope)
         if tag == "br" or tag in ("td", "th"):
             self.texts.append((self.open[-1], " "))
-        if self._is_noise(tag, attrs):
-            if tag not in VOID:
-                self.dropped, self.dropped_names = 1, [tag]
-            return
         if tag in VOID:
             return
+        mark, comments = self._mark(tag, attrs)
         self.tags.append(tag)
         self.parent.append(self.open[-1])
+        self.marks.append(mark)
+        self.comments.append(comments)
         self.chars.append(0)
         self.link_chars.append(0)
         self.open.append(len(self.tags) - 1)
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        elif not self.dropped:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.dropped:
-            if tag in self.dropped_names:
-                while self.dropped_names and self.dropped_names.pop() != tag:
-                    pass
-                self.dropped = len(self.dropped_names)
-            elif tag in ("body", "html"):
-                self.dropped = 0
-            return
         if any(self.tags[i] == tag for i in self.open[1:]):
             while self.tags[self._pop()] != tag:
                 pass
@@ -107,8 +114,6 @@ class Tree(HTMLParser):
             self.texts.append((self.open[-1], None))
 
     def handle_data(self, data):
-        if self.dropped:
-            return
         node = self.open[-1]
         self.texts.append((node, data))
         n = len(data.strip())
@@ -116,24 +121,24 @@ class Tree(HTMLParser):
         if self.links:
             self.link_chars[node] += n
 
-    def _is_noise(self, tag, attrs) -> bool:
+    def _mark(self, tag, attrs) -> tuple[int, bool]:
+        """How a node is marked, and whether its names speak of comments."""
         if tag in DROPPED:
-            return True
+            return DROP, False
         inside = any(self.tags[i] in INSIDE for i in self.open)
-        if tag == "header" and not inside:
-            return True
+        mark = MARK if tag in MARKED or (tag == "header" and not inside) else PLAIN
+        comments = False
         if tag in INSIDE or tag in ("html", "body"):
-            return False
+            return PLAIN, False
         for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if name == "role" and value in ROLES:
-                return True
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
+                mark = MARK
             if name in ("class", "id") and value:
                 value = STATE.sub(" ", value)
                 if NOISE.search(value) or (not inside and HEADER.search(value)):
-                    return True
-        return False
+                    mark = MARK
+                comments = comments or bool(COMMENTS.search(value))
+        return mark, comments
 
     def _pop(self) -> int:
         node = self.open.pop()
@@ -151,12 +156,44 @@ class Tree(HTMLParser):
                 return
 
 
-def densities(tree: Tree) -> tuple[list[float], list[float]]:
-    """Composite density of every node, and the sum over its children."""
+def dropped(tree: Tree) -> list[bool]:
+    """Whether a node lies in a part that is not the article's.
+
+    A marked node is kept if it wraps the page: if the article or main element with
+    most text outside links lies in it, or, on a page without either, if it holds most
+    of the page's text (a section of comments never is such a wrapper).
+    """
+    n = len(tree.tags)
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = tree.marks[i] == DROP or out[tree.parent[i]]
+    text = [0 if out[i] else tree.chars[i] - tree.link_chars[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        text[tree.parent[i]] += text[i]
+    homes = [i for i in range(n) if tree.tags[i] in INSIDE and not out[i] and text[i]]
+    wraps = set()
+    if homes:
+        node = max(homes, key=lambda i: (text[i], -i))
+        while node >= 0:
+            wraps.add(node)
+            node = tree.parent[node]
+    for i in range(1, n):
+        marked = tree.marks[i] == MARK and i not in wraps
+        if marked and not homes and not tree.comments[i] and text[i] > WRAPPER * text[0]:
+            marked = False
+        out[i] = out[i] or marked or out[tree.parent[i]]
+    return out
+
+
+def densities(tree: Tree, out: list[bool] | None = None) -> tuple[list[float], list[float]]:
+    """Composite density of every node, and the sum over its children; dropped parts count for nothing."""
     n = len(tree.tags)
-    chars, links = list(tree.chars), list(tree.link_chars)
+    out = dropped(tree) if out is None else out
+    chars, links = ([0 if o else x for x, o in zip(xs, out, strict=True)] for xs in (tree.chars, tree.link_chars))
     tags, link_tags = [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
+        if out[i]:
+            continue
         p = tree.parent[i]
         chars[p] += chars[i]
         links[p] += links[i]
@@ -177,9 +214,9 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
     return density, sums
 
 
-def chosen(tree: Tree) -> list[bool]:
+def chosen(tree: Tree, out: list[bool]) -> list[bool]:
     """Whether a node's own text belongs to the article."""
-    density, sums = densities(tree)
+    density, sums = densities(tree, out)
     n = len(tree.tags)
     best = max(range(n), key=lambda i: (sums[i], -i))
     if sums[best] <= 0:
@@ -193,7 +230,7 @@ def chosen(tree: Tree) -> list[bool]:
             threshold = min(threshold, density[node])
     kept = [False] * n
     for i in range(n):
-        if i == best or (i and kept[tree.parent[i]]) or (i not in path and density[i] >= threshold > 0):
+        if not out[i] and (i == best or (i and kept[tree.parent[i]]) or (i not in path and density[i] >= threshold > 0)):
             kept[i] = True
     return kept
 
@@ -201,15 +238,15 @@ def chosen(tree: Tree) -> list[bool]:
 def main_text(html: str) -> str:
     """The article's blocks, white space folded and trimmed, joined by an empty line."""
     tree = Tree()
-    try:
-        tree.feed(html)
-        tree.close()
-    except AssertionError:
-        pass  # a malformed declaration ends the page; what came before it stands
-    kept = chosen(tree)
+    tree.feed(html)
+    tree.close()
+    out = dropped(tree)
+    kept = chosen(tree, out)
     blocks, part = [], []
     for node, text in tree.texts:
         if text is None:
+            if out[node]:
+                continue
             blocks.append(part)
             part = []
         elif kept[node]:

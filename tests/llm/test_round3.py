@@ -316,3 +316,31 @@ def test_vector_edges(spark):
     assert got.columns == ["vec_id", "node", "n_links", "component_id", "kept"]
     assert links_of(got) == brute_links(rows)
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+# -------------------------------------------------------------------- pages
+
+FIRST, SECOND = ("The first paragraph of the article is long enough to be read as text, with commas and words.",
+                 "The second one goes on about the same matter and is as long, if not a little longer than that.")
+BODY = f"<article><p>{FIRST}</p><p>{SECOND}</p></article>"
+BOTH = f"{FIRST}\n\n{SECOND}"
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<head><title>x</title><body>{BODY}</body>", BOTH),  # no </head>
+    (f"<body><article><p>{FIRST}<p class=\"ad\">Buy now<p>{SECOND}</article></body>", BOTH),
+    (f"<body><ul><li class=\"menu\">Home<li class=\"menu\">About</ul>{BODY}</body>", BOTH),
+    (f"<body><div><nav><ul><li>Home<li>About</div>{BODY}</body>", BOTH),  # </nav> is missing
+    (f"<body><form action=\"/x\"><input name=a>{BODY}<button>Go</button></form></body>", BOTH),
+    (f"<body><div class=\"page sidebar-right\">{BODY}<div class=\"sidebar\"><p>Other things to read on this site today</p></div></div></body>", BOTH),
+    (f"<body><article><p>{FIRST}</p><![foo bar><p>{SECOND}</p></article></body>", BOTH),
+    (f"<body><form><p>{FIRST}</p><p>{SECOND}</p><label>Name</label></form></body>", BOTH),  # no article element
+    (f"<body>{BODY}<section class=\"comments\"><article class=\"comment\"><p>I read this twice and must say that I agree.</p></article></section></body>", BOTH),
+    (f"<body><div class=\"content\"><p>{FIRST}</p><p>{SECOND}</p></div><div class=\"comments\">" + "<p>A reader says a good many things at length here.</p>" * 20 + "</div></body>", BOTH),
+    (f"<body><div id=\"main-search\">{BODY}</div><aside>Ad</aside><footer>Imprint</footer></body>", BOTH),
+    ("<body><nav><a href=x>Only a menu</a></nav></body>", ""),
+])
+def test_pages_with_omitted_tags_and_wrappers(html, want):
+    from originline.llm import pages
+
+    assert pages.main_text(html) == want
