@@ -43,11 +43,64 @@ TEMPLATES = (
                    "is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+            "provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    # Further wordings of short notices.
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    # Standard headers.
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+                   "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    # Full texts of the short licenses.
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+            "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+            "notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+                     "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+                     "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+                     "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+                     "other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+                     "CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+                     "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+                     "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+                     "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+                     "other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of "
+                     "its contributors may be used to endorse or promote products derived from this software without specific prior "
+                     "written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+                     "EXPRESS OR IMPLIED WARRANTIES"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+                  "for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+             "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+             "for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+                "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+                "execute, and transmit the Software, and to prepare derivative works of the Software"),
 )
 # Words too common to anchor a search.
 COMMON = frozenset(
@@ -138,6 +191,37 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return hashed.withColumn("bands", _bands(F.col("wanted")))
 
 
+def confusable(templates: tuple[tuple[str, str], ...] = TEMPLATES, share: float = 0.4) -> list[tuple[str, str]]:
+    """Pairs of licenses of which a template of one holds ``share`` of the shingles of one of the other."""
+    sets = [(name, set(shingles_of(w))) for name, text in templates if (w := words_of(text))]
+    return sorted({(a, b) for a, x in sets for b, y in sets if a != b and len(x & y) >= share * min(len(x), len(y))})
+
+
+def _best_of_alike(found: DataFrame, templates: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The hits less those that a better hit of a confusable license explains.
+
+    A document has one row per license at most, so they are compared in one array of it.
+    Of two confusable licenses in the same words the one with the larger containment
+    stays; of equal ones the one that matched more shingles.
+    """
+    pairs = confusable(templates)
+    if not pairs:
+        return found
+    alike = F.array(*[F.lit(f"{a}|{b}") for a, b in pairs])
+    cells = ["license", "containment", "start_word", "n_windows", "matched", "until"]
+    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct(*cells)).alias("_hits"))
+
+    def beaten(x: Column) -> Column:
+        def beats(y: Column) -> Column:
+            near = (y["start_word"] < x["until"]) & (x["start_word"] < y["until"])
+            better = (y["containment"] > x["containment"]) | ((y["containment"] == x["containment"]) & (y["matched"] > x["matched"]))
+            return F.array_contains(alike, F.concat_ws("|", x["license"], y["license"])) & near & better
+
+        return F.exists("_hits", beats)
+
+    return lists.select("doc_id", F.inline(F.filter("_hits", lambda x: ~beaten(x))))
+
+
 def _once(df: DataFrame, keep: list[str], *values: Column) -> DataFrame:
     """``keep`` and ``values``, computed once a row.
 
@@ -154,6 +238,8 @@ def scan(
 
     Columns: ``doc_id``, ``license``, ``containment`` (best), ``start_word`` (of the
     best window, counted in runs of letters and digits), ``n_windows`` that match.
+    Licenses whose templates are alike (BSD-2 and BSD-3, the GNU headers) are told
+    apart by the better match; an opening that several share is named by their family.
     Shingles have five words; a shorter template is one shingle. Case and
     punctuation do not count. A null or empty text matches nothing; rows that share
     a doc_id are one document; an empty table gives an empty result; other columns
@@ -182,9 +268,14 @@ def scan(
     side = table.select("template", "license", "n_words", "wanted", F.explode("bands").alias("band"))
     met = keyed.join(F.broadcast(side), ["n_words", "band"])
     share = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
-    hits = met.select("doc_id", "license", "template", "start", share.alias("containment")).where(F.col("containment") >= least)
-    once = hits.groupBy("doc_id", "license", "template", "start").agg(F.max("containment").alias("containment"))
-    best = F.max(F.struct("containment", (-F.col("start")).alias("back")))
-    return once.groupBy("doc_id", "license").agg(best.alias("best"), F.count("*").alias("n_windows")).select(
+    hits = met.select(
+        "doc_id", "license", "template", "start", "n_words", share.alias("containment"),
+        F.size(F.array_intersect("shingles", "wanted")).alias("matched")).where(F.col("containment") >= least)
+    once = hits.groupBy("doc_id", "license", "template", "start", "n_words").agg(
+        F.max("containment").alias("containment"), F.max("matched").alias("matched"))
+    best = F.max(F.struct("containment", "matched", (-F.col("start")).alias("back"), "n_words"))
+    found = once.groupBy("doc_id", "license").agg(best.alias("best"), F.count("*").alias("n_windows")).select(
         "doc_id", "license", F.col("best.containment").alias("containment"),
-        (-F.col("best.back")).cast("long").alias("start_word"), "n_windows")
+        (-F.col("best.back")).cast("long").alias("start_word"), "n_windows", F.col("best.matched").alias("matched"),
+        (-F.col("best.back") + F.col("best.n_words") * 1.25).cast("long").alias("until"))
+    return _best_of_alike(found, templates).select("doc_id", "license", "containment", "start_word", "n_windows")

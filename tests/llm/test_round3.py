@@ -344,3 +344,26 @@ def test_pages_with_omitted_tags_and_wrappers(html, want):
     from originline.llm import pages
 
     assert pages.main_text(html) == want
+
+
+# ----------------------------------------------------------------- licenses
+
+
+def test_alike_licenses_are_told_apart(spark):
+    from originline.llm import licenses
+
+    text = {}
+    for name, words in licenses.TEMPLATES:
+        text[name] = max(text.get(name, ""), words, key=len)
+    rows, filler = [], "lorem ipsum dolor sit amet " * 60
+    asked = ["BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MIT", "BSL-1.0", "ISC", "Zlib", "Unlicense"]
+    for i, name in enumerate(asked):
+        rows.append((i, filler + text[name] + " " + filler, None, None, None))
+    rows.append((50, text["GPL-3.0"] + " " + filler * 5 + text["LGPL-3.0"], None, None, None))  # both, far apart
+    rows.append((51, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                     "conditions are met: anything goes", None, None, None))
+    found = {}
+    for r in licenses.scan(cases.table(spark, rows)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    assert {asked[i]: found[i] for i in range(len(asked))} == {name: {name} for name in asked}
+    assert found[50] == {"GPL-3.0", "LGPL-3.0"} and found[51] == {"BSD"}
