@@ -44,13 +44,13 @@ PARTIALS = 16  # partitions above which sums are added in a tree of tasks
 class Boost:
     """Settings of one fit."""
 
-    rounds: int = 24
+    rounds: int = 20
     depth: int = 3
     rate: float = 0.3
     l2: float = 3.0
     borders: int = 31
-    share: float = 0.25  # of the features, drawn anew each round
-    patience: int = 8
+    share: float = 0.15  # of the features, drawn anew each round
+    patience: int = 5
     seed: int = 42
 
 

@@ -169,15 +169,17 @@ MORE = {
 }
 
 
-def fit_framings(rows: DataFrame, p: Params, framing: Framing | None = None) -> dict[str, Fitted]:
-    """All heads of a framing, and those of :data:`MORE`, on one design."""
+def fit_more(rows: DataFrame, p: Params, framing: Framing | None = None) -> dict[str, Fitted]:
+    """The heads of :data:`MORE`: each framed otherwise than in ``framing``."""
     base = framing or Framing()
-    asked = {h: (h, base) for h in HEADS} | {n: (h, dataclasses.replace(base, **change)) for n, (h, _, change) in MORE.items()}
-    design = Design(rows, p, [base, *(f for n, (_, f) in asked.items() if n in MORE)])
-    try:
-        done = _together([lambda h=h, f=f: design.fit(h, f) for h, f in asked.values()])
-    finally:
-        design.close()
+    asked = {n: (h, dataclasses.replace(base, **change)) for n, (h, _, change) in MORE.items()}
+    done = []
+    for head, other in asked.values():
+        design = Design(rows, p, [other], [head])
+        try:
+            done.append(design.fit(head, other))
+        finally:
+            design.close()
     return dict(zip(asked, done, strict=True))
 
 
@@ -196,7 +198,7 @@ def planted_control(train: DataFrame, held: DataFrame, p: Params) -> tuple[dict[
     labels = {h: planted_label(h, p) for h in HEADS}
     inputs = M.model_inputs(p, M.Settings())
     kept = lambda rows: prepared(rows.select("*", *[c.alias(f"_y_{h}") for h, (c, _) in labels.items()]), p)
-    size = B.Boost(rounds=6, share=1.0)
+    size = B.Boost(rounds=2, share=1.0)
     matrix = B.Matrix(kept(train), F.col("features"), {h: F.col(f"_y_{h}") for h in HEADS}, F.lit(False),
                       B.find_borders(M.matrix(train, p, M.Settings()), inputs, size.borders))
     try:

@@ -163,10 +163,15 @@ class Workspace:
         )
         return freeze(self.features.join(targets, "sample_id"))
 
+    @cached_property
+    def base_heads(self) -> dict[str, B.Fitted]:
+        """The four boosted heads in their frozen framing."""
+        return B.fit_heads(self.model_rows.filter("split = 'train'"), self.params)
+
     @cached_property
     def heads(self) -> dict[str, B.Fitted]:
-        """The boosted heads in their frozen framing, and the other framings of two of them."""
-        return B.fit_framings(self.model_rows.filter("split = 'train'"), self.params)
+        """These and the other framings of two of them."""
+        return self.base_heads | B.fit_more(self.model_rows.filter("split = 'train'"), self.params)
 
     @cached_property
     def saved_heads(self) -> dict[str, B.Fitted]:
@@ -192,7 +197,7 @@ class Workspace:
     @cached_property
     def variants(self) -> DataFrame:
         train, held = (self.model_rows.filter(F.col("split") == s) for s in ("train", "validation"))
-        frozen = {h: self.heads[h] for h in HEADS}
+        frozen = self.base_heads
         return B.run_variants(train, held, self.params, frozen, VARIANT_BUDGET)
 
     def origin_rows(self) -> DataFrame:
