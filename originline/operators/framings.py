@@ -295,12 +295,15 @@ def likely_hits(heads: dict[str, Fitted], scored: DataFrame, rows: DataFrame, p:
 
     For the report's ``likely``; heads of the delay are left out.
     """
-    cells = []
-    for name, head in heads.items():
-        if head.name != DELAY:
-            ordered = F.slice(F.sort_array(F.transform(F.col(f"p_{name}"), lambda x, i: F.struct(x.alias("p"), (-i).alias("o"))), asc=False), 1, k)
-            hit = F.exists(ordered, lambda e, y=M.label(head.name, p).cast("int"): -e["o"] == y)
-            cells.append(F.struct(F.lit(name).alias("head"), hit.alias("hit")))
+
+    def hit(name: str, label: Column) -> Column:
+        ordered = F.sort_array(F.transform(F.col(f"p_{name}"), lambda x, i: F.struct(x.alias("p"), (-i).alias("o"))), asc=False)
+        return F.exists(F.slice(ordered, 1, k), lambda e: -e["o"] == label)
+
+    cells = [
+        F.struct(F.lit(name).alias("head"), hit(name, M.label(head.name, p).cast("int")).alias("hit"))
+        for name, head in heads.items() if head.name != DELAY
+    ]
     return scored.join(rows, "sample_id").select(*[c for c in rows.columns if c != "sample_id"], F.inline(F.array(*cells)))
 
 
