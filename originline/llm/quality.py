@@ -498,12 +498,14 @@ def train(
     lists = found["ids"].combine_chunks()
     ids, bounds = _take(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), order)
     del found, lists
+    pa.default_memory_pool().release_unused()
     some = np.flatnonzero(~pool)
     toxic = cross_fit(WordRows(*_take(ids, bounds, some), fold[some], {k: v for (label, k), v in known.items() if label == "t"}),
                       np.where(t[some] >= 0, t[some] > 0, -1.0).astype(float))
     some = np.concatenate([np.flatnonzero(~pool & (y >= 0)), np.flatnonzero(pool)])
     n = int((~pool & (y >= 0)).sum())
     words = WordRows(*_take(ids, bounds, some), fold[some], {k: v for (label, k), v in known.items() if label == "y"})
+    del ids, bounds
     quality = co_train(a[some[:n]], b[some[:n]], (y[some[:n]] > 0).astype(float), a[some[n:]], b[some[n:]], rounds, words=words)
     return Judge(quality, quality and quality.words, toxic)
 
