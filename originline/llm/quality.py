@@ -194,17 +194,51 @@ def _columns(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np
     return np.searchsorted(bounds, hit, side="right") - 1, column[hit]
 
 
+class Design:
+    """Which features rows hold, as positions in ``known``; products with it go through slices of ``STEP`` entries."""
+
+    STEP = 1 << 20
+
+    def __init__(self, known: np.ndarray, ids: np.ndarray, bounds: np.ndarray):
+        place = np.full(1 << WORD_BITS, -1, np.int32)
+        place[known] = np.arange(len(known))
+        parts, ends = [], [np.zeros(1, np.int64)]
+        for low, high in slices(ids, bounds, self.STEP):
+            at = place[ids[bounds[low] : bounds[high]]]
+            live = at >= 0
+            parts.append(at[live].astype(np.min_scalar_type(max(len(known), 1))))
+            ends.append(ends[-1][-1] + np.concatenate([[0], np.cumsum(live)])[bounds[low + 1 : high + 1] - bounds[low]])
+        self.column = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        self.bounds, self.width = np.concatenate(ends), len(known)
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """By row the sum of its features' weights."""
+        out = np.zeros(len(self.bounds) - 1)
+        for low, high in slices(self.column, self.bounds, self.STEP):
+            begin, end = self.bounds[low:high], self.bounds[low + 1 : high + 1]
+            full = np.flatnonzero(end > begin)
+            if len(full):
+                out[low + full] = np.add.reduceat(weight[self.column[begin[0] : end[-1]]], begin[full] - begin[0])
+        return out
+
+    def totals(self, value: np.ndarray) -> np.ndarray:
+        """By feature the sum of its rows' values."""
+        out = np.zeros(self.width)
+        for low, high in slices(self.column, self.bounds, self.STEP):
+            spread = np.repeat(value[low:high], np.diff(self.bounds[low : high + 1]))
+            out += np.bincount(self.column[self.bounds[low] : self.bounds[high]], spread, minlength=self.width)
+        return out
+
+
 def _fit_words(known: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, near: Words | None = None, ridge: float = 0.3) -> Words:
     """Fit on the features in ``known`` by Newton steps, each solved by conjugate gradients, so that no square matrix is made.
 
     ``near`` is the fit of nearly the same rows, to start from; two short steps lead from there.
     """
-    n = len(y)
-    row, column = _columns(known, ids, bounds)
-    k = len(known)
+    design, k = Design(known, ids, bounds), len(known)
     keep = np.append(np.full(k, ridge), 1e-6)
-    forward = lambda v: v[k] + np.bincount(row, v[column], minlength=n)
-    back = lambda r: np.append(np.bincount(column, r[row], minlength=k), r.sum())
+    forward = lambda v: v[k] + design.sums(v)
+    back = lambda r: np.append(design.totals(r), r.sum())
     w = np.zeros(k + 1)
     w[k] = np.log(y.mean() / (1 - y.mean()))
     if near is not None:
@@ -477,26 +511,31 @@ def train(
     rows = _sampled(docs, labels, labelled_rows, pool_rows, seed)
     if rows.where("not pool").limit(1).count() == 0:
         return Judge()
-    known = telling_features(rows)
-    used = np.zeros(1 << WORD_BITS, bool)
-    used[np.concatenate(list(known.values())).astype(np.int64)] = True
-    shared = spark.sparkContext.broadcast(used)
+    told = telling_features(rows)
+    # At most ten fits of FEATURES each: a number of 16 bits names one on the driver.
+    names = np.unique(np.concatenate(list(told.values()))).astype(np.int64)
+    known = {fit: np.searchsorted(names, ids) for fit, ids in told.items()}
+    number = np.full(1 << WORD_BITS, -1, np.int32)
+    number[names] = np.arange(len(names))
+    shared = spark.sparkContext.broadcast(number)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             ids, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-            live = shared.value[ids]
+            at = shared.value[ids]
+            live = at >= 0
             kept = np.concatenate([[0], np.cumsum(live)])[bounds]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(batch.num_columns - 1)), _lists(ids[live], kept)], batch.schema.names)
+                [*(batch.column(k) for k in range(batch.num_columns - 1)), _lists(at[live].astype(np.uint16).view(np.int16), kept)],
+                batch.schema.names)
 
-    found = rows.mapInArrow(narrow, rows.schema).toArrow().combine_chunks()
+    found = rows.mapInArrow(narrow, extended(rows.drop("ids"), "ids array<smallint>")).toArrow().combine_chunks()
     order = np.lexsort((found["place"].to_numpy(), found["pool"].to_numpy(zero_copy_only=False)))
     y, t, fold, pool = (found[c].to_numpy(zero_copy_only=False)[order] for c in ("y", "t", "fold", "pool"))
     a, b = (np.array(found[c].combine_chunks().flatten()).reshape(len(order), -1)[order] for c in ("a", "b"))
     lists = found["ids"].combine_chunks()
-    ids, bounds = _take(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), order)
+    ids, bounds = _take(lists.values.to_numpy().view(np.uint16), lists.offsets.to_numpy().astype(np.int64), order)
     del found, lists
     pa.default_memory_pool().release_unused()
     some = np.flatnonzero(~pool)
@@ -507,6 +546,8 @@ def train(
     words = WordRows(*_take(ids, bounds, some), fold[some], {k: v for (label, k), v in known.items() if label == "y"})
     del ids, bounds
     quality = co_train(a[some[:n]], b[some[:n]], (y[some[:n]] > 0).astype(float), a[some[n:]], b[some[n:]], rounds, words=words)
+    for words in filter(None, (quality and quality.words, toxic)):
+        words.ids = names[words.ids]
     return Judge(quality, quality and quality.words, toxic)
 
 

@@ -146,6 +146,20 @@ def test_quality_edges(spark):
     assert kept.columns == docs.columns and kept.count() <= len(cases.ROWS)
 
 
+def test_word_products_equal_dense_ones(monkeypatch):
+    """Rows without features, features outside the fit, and slices that end inside the rows."""
+    monkeypatch.setattr(quality.Design, "STEP", 7)
+    rng = np.random.default_rng(1)
+    held = [np.sort(rng.choice(40, n, replace=False)) for n in (0, 5, 12, 0, 1, 30, 0)]
+    known = np.sort(rng.choice(40, 11, replace=False))
+    design = quality.Design(known, np.concatenate(held), np.concatenate([[0], np.cumsum([len(h) for h in held])]))
+    dense = np.array([[float(k in h) for k in known] for h in held])
+    w, r = rng.normal(size=11), rng.normal(size=len(held))
+    assert np.allclose(design.sums(w), dense @ w) and np.allclose(design.totals(r), dense.T @ r)
+    nothing = quality.Design(known, np.zeros(0, np.int64), np.zeros(1, np.int64))
+    assert len(nothing.sums(w)) == 0 and not nothing.totals(np.zeros(0)).any()
+
+
 def test_views_help_each_other():
     """A text view with few labels learns from what the page view is sure of."""
     rng = np.random.default_rng(3)
