@@ -5,11 +5,13 @@ hash of its id. Equal texts are therefore neighbours, and a group of copies too
 large for one range can still be cut, by id. Samples weighted by size give the
 splitters of many small ranges; the exact size of every range decides which
 contiguous ranges form a shard; a range that came out overfull is sampled again
-and subdivided first.
+and subdivided first, until none is or only a single place is left in it. Where rows
+equal in text and id overfill a place, the rows are numbered and placed by number too.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,10 @@ def sizes_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def place_of() -> Column:
-    """Text hash (high half) and id hash (low half); a null text counts as empty."""
+def place_of(number: str | None = None) -> Column:
+    """Text hash (high half) and hash of id and row number, if there is one (low half); a null text counts as empty."""
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(1))
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(f"`{number}`") if number else F.lit(1))
     return F.shiftleft(F.shiftright(text, 32), 32).bitwiseOR(F.shiftrightunsigned(own, 32))
 
 
@@ -44,9 +46,8 @@ def _sample(rows: DataFrame, n: int, total: float, mean: float, round_: int) ->
     # A row heavier than one sample's share is drawn as often as its chance says.
     seeded = F.pmod(F.xxhash64("place", "size", F.lit(round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = (F.floor(chance) + (seeded < chance - F.floor(chance)).cast("int")).cast("int")
-    drawn = rows.select("place", times.alias("n")).where("n > 0")
-    parts = [np.repeat(np.array([r["place"]]), r["n"]) for r in drawn.toLocalIterator()]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    drawn = rows.select("place", times.alias("n")).where("n > 0").toArrow()
+    return np.sort(np.repeat(drawn["place"].to_numpy(), drawn["n"].to_numpy()))
 
 
 def splitters(sample: np.ndarray, hot: int = 2) -> np.ndarray:
@@ -104,7 +105,7 @@ def shard_ranges(
 
 
 def assign_shards(
-    docs: DataFrame, shards: int = 40, per_shard: int = 128, range_bytes: int = 256 << 20,
+    docs: DataFrame, shards: int = 40, per_shard: int = 128, range_bytes: int = 256 << 20, number: str | None = None,
 ) -> DataFrame:
     """Every row of ``docs``, all its columns, with ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``.
 
@@ -112,36 +113,50 @@ def assign_shards(
     plus 16). Equal texts stay together unless they fill a
     quarter of a shard. A shard has ``per_shard`` ranges or more. ``slot`` counts the rows of a
     shard from 0. ``grown_shard`` is null under this law. A null text has size 16
-    and the checksum of an empty one; repeated rows each get a slot; an empty
-    table gives an empty result; a column with a name of the result is replaced.
+    and the checksum of an empty one; a null doc_id counts as an empty one; repeated
+    rows each get a slot, and a group of them beyond a range is cut by row number (a
+    numbered copy of the table is written then); an empty table gives an empty result; a
+    column with a name of the result is replaced. ``number`` names a column that numbers
+    the rows, if there is one; it is not returned.
     """
     spark = prepare(docs.sparkSession)
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c not in made and c != number]
     text = F.col("text").cast("string")
     place, in_range, before_it = (free_name(kept, c) for c in ("place", "range", "before"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], sizes_of(text).alias("size"), place_of().alias(place))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], sizes_of(text).alias("size"), place_of(number).alias(place))
     narrow = stage(rows.select("size", F.col(place).alias("place")), "places")
     n, total = narrow.agg(F.count("*"), F.sum("size")).first()
     total = float(total or 0)
     mean = total / max(n, 1)
     ranges = max(shards * per_shard, int(total / range_bytes))
     bounds = splitters(_sample(narrow, ranges * PER_RANGE, 2 * total, mean, 0))
-    for again in range(1, 4):
+    for again in itertools.count(1):
         found = narrow.withColumn("range", range_of(bounds, spark)).groupBy("range").agg(
             F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("place").alias("low"), F.max("place").alias("high"))
         sizes, counts = np.zeros(len(bounds) + 1, np.int64), np.zeros(len(bounds) + 1, np.int64)
-        over = []
+        over, repeated = {}, False
         for r in found.toLocalIterator():
             sizes[r["range"]], counts[r["range"]] = r["size"], r["rows"]
-            if r["size"] + r["rows"] * mean > 8 * total / ranges and r["low"] < r["high"]:
-                over.append(r["range"])
-        if not over or again == 3:
+            if r["rows"] > 1 and r["size"] + r["rows"] * mean > 8 * total / ranges:
+                repeated |= r["low"] == r["high"]
+                if r["low"] < r["high"]:
+                    over[r["range"]] = (r["low"], r["high"])
+        if repeated and number is None:
+            numbered = docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(place))
+            return assign_shards(stage(numbered, "numbered"), shards, per_shard, range_bytes, place)
+        if not over:
             break
-        crowded = narrow.withColumn("range", range_of(bounds, spark)).where(F.col("range").isin(over))
-        heavy = float(sizes[over].sum() + counts[over].sum() * mean)
+        crowded = narrow.withColumn("range", range_of(bounds, spark)).where(F.col("range").isin(list(over)))
+        heavy = float(sizes[list(over)].sum() + counts[list(over)].sum() * mean)
         more = _sample(crowded, max(PER_RANGE, int(heavy / (2 * total) * ranges * PER_RANGE)) * 4, heavy, mean, again)
-        bounds = np.unique(np.concatenate([bounds, splitters(more)]))
+        more = splitters(more)
+        # A range that no new bound meets is halved, so that every round cuts it.
+        low, high = np.array(list(over.values()), np.int64).T
+        missed = np.searchsorted(more, low, side="right") == np.searchsorted(more, high, side="right")
+        halves = (low >> 1) + (high >> 1) + (low & high & 1) + 1
+        halves = np.where(halves & HIGH > low, halves & HIGH, halves)  # between texts if there are two
+        bounds = np.unique(np.concatenate([bounds, more, halves[missed]]))
     shard, before = shard_ranges(sizes, counts, cut_points(bounds, per_shard // 4), shards)
     shared = spark.sparkContext.broadcast((bounds, shard, before))
 

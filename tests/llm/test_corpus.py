@@ -86,6 +86,28 @@ def test_a_group_of_copies_beyond_a_shard_is_cut(spark):
     assert sizes.max() / sizes.mean() < 1.1
 
 
+def test_repeated_rows_beyond_a_shard_are_cut(spark):
+    rows = [(7, "the same text for all of these rows", None, None, None)] * 3000
+    rows += [(i, f"another text number {i}", None, None, None) for i in range(3000, 6000)]
+    out = shards.assign_shards(cases.table(spark, rows), shards=8)
+    assert out.columns == shards.assign_shards(cases.table(spark), shards=8).columns
+    out = out.toPandas()
+    check_shards(out, 6000, 8)
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() / sizes.mean() < 1.1
+
+
+def test_overfull_ranges_are_cut_until_none_is(spark, monkeypatch):
+    """Even a sample that never gives a new bound leads to even shards."""
+    whole = shards._sample
+    monkeypatch.setattr(shards, "_sample", lambda rows, n, total, mean, again: whole(rows, n, total, mean, again)[:0])
+    rows = [(i, f"text number {i}", None, None, None) for i in range(2000)]
+    out = shards.assign_shards(cases.table(spark, rows), shards=4, per_shard=16).toPandas()
+    check_shards(out, 2000, 4)
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 4 and sizes.max() / sizes.mean() < 1.3
+
+
 def test_shard_edges(spark):
     docs = cases.table(spark)
     out = shards.assign_shards(docs, shards=4)
