@@ -440,7 +440,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, less all but one of each component.
 
     The row of the least doc_id stays (null last; between texts of one doc_id the
-    least text hash decides). Rows without words link with nothing and all stay.
+    least text hash decides, between rows equal in both the least hash of the others). Rows without words link with nothing and all stay.
     """
     prepare(docs.sparkSession)
     text = F.col("text").cast("string")
@@ -451,7 +451,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = groups.where("_group is not null").groupBy("_group").agg(F.min(order).alias("low"))
     winners = stage(first.select("low._key", "low._hash").distinct(), "winners")
     worded = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    live = keyed.where(worded).dropDuplicates(["_key", "_hash"]).join(winners, ["_key", "_hash"], "left_semi")
+    # Rows equal in doc_id and text may differ elsewhere: the least hash of all their columns stays.
+    told = [F.col(f"_all.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    live = keyed.where(worded).join(winners, ["_key", "_hash"], "left_semi")
+    live = live.groupBy("_key", "_hash").agg(F.min_by("_all", F.xxhash64(*told)).alias("_all"))
     return live.select("_all.*").unionByName(keyed.where(~worded).select("_all.*"))
 
 
