@@ -202,6 +202,14 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert row["upper"] - row["lower"] == pytest.approx(4 * 2.87 / 20, rel=0.15)
 
 
+def test_single_draws_are_not_broadcast(spark):
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 10).cast("double").alias("v"))
+    drawn = S._resampled(df, "id", None, {"x": F.col("v")}, TEST)
+    plan = drawn._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_rank" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 FOLDER = "/root/testdata/sf0.01"
 QUICK = (
     "booking_row_contract", "booking_quarantine", "strict_order_ties", "keep_strictly_increasing",
