@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from originline.operators.community import community_features
 from originline.operators.features import as_of_audit, feature_table
-from originline.operators.history import build_history, prepare, resident_features
+from originline.operators.candidates import candidate_labels
+from originline.operators.history import ROWS_PER_TASK, build_history, prepare, resident_features
 from originline.operators.samples import build_samples
 from originline.params import TEST
 from tests.helpers import FOUR, THREE, bookings, small_blocks
@@ -198,3 +199,22 @@ def test_audit_finds_nothing_on_sound_samples(spark):
     assert all(audit[k] == 0 for k in (
         "resident_reads_past_origin", "origins_past_target", "prior_count_mismatches",
         "community_reads_at_origin"))
+
+
+def test_tasks_of_the_resident_windows_hold_a_bounded_number_of_rows(spark):
+    rows = 9 * ROWS_PER_TASK
+    many = spark.range(rows).select(
+        F.col("id").cast("string").alias("booking_id"), (F.col("id") % 5000).cast("string").alias("resident_id"),
+        F.lit("Gym").alias("facility_id"), F.timestamp_micros(F.col("id") * 1_000_000).alias("booking_timestamp"),
+        F.timestamp_micros(F.col("id") * 1_000_000 + 1).alias("usage_timestamp"))
+    h = build_history(many, THREE)
+    assert h.frame.select("n").rdd.getNumPartitions() == 9
+
+
+def test_expanded_candidates_are_not_broadcast(spark):
+    table = spark.createDataFrame([("S1", ["Gym", "Pool"])], "sample_id string, names array<string>")
+    long = table.select("sample_id", F.explode("names").alias("candidate_facility"))
+    targets = spark.createDataFrame([("S1", "Pool")], "sample_id string, target_facility_id string")
+    labels = candidate_labels(long, targets)
+    assert "SortMergeJoin" in labels._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r["candidate_facility"], r["relevance"]) for r in labels.collect()) == [("Gym", 0), ("Pool", 1)]
