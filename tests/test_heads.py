@@ -320,3 +320,26 @@ def test_heads_top_three_in_the_report(work):
     report = {r["metric"]: r["value"] for r in S.evaluation_report(scored, TEST, likely=likely).collect()}
     assert {h: report[f"{h}_top_3_accuracy"] for h in G.CLASSIFIERS} == pytest.approx(got)
     assert 0 <= report["overall"] <= 1
+
+
+def test_answers_are_computed_again_inside_the_rows(spark):
+    rows = spark.createDataFrame([("a", [0.2, 0.4, 0.4]), ("b", [0.5, 0.2, 0.3])], "sample_id string, p_x array<double>").localCheckpoint()
+    again = J.likeliest(rows, "x", ("q", "r", "s"))
+    assert sorted(map(tuple, again.collect())) == [("a", "r"), ("b", "q")]
+    grid = D.make_grid([0.0, 1.0, 2.0], [1.0, 2.0, 3.0], 7, TEST)
+    density = rows.select("sample_id", F.col("p_x").alias("p"))
+    centre = J.fullest_window(density, grid)
+    same = centre.join(density.select("sample_id", D.window_decode(F.col("p"), grid).alias("other")), "sample_id")
+    assert same.filter("centre = other").count() == 2
+    for frame in (again, centre):
+        assert "Exchange hashpartitioning" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_staged_probabilities_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("a", [0.2, 0.4, 0.4]), ("b", [0.5, 0.2, 0.3])], "sample_id string, p_x array<double>")
+    long = rows.select("sample_id", F.lit("x").alias("head"), F.posexplode("p_x").alias("position", "probability")).withColumn("class", F.lit("c"))
+    told = J.loaded_beside_staged(long, rows, ("x",))
+    assert "SortMergeJoin" in told._jdf.queryExecution().sparkPlan().toString()
+    assert all(r["same_when_loaded"] for r in told.collect())
+    swapped = rows.withColumn("p_x", F.reverse("p_x"))
+    assert not any(r["same_when_loaded"] for r in J.loaded_beside_staged(long, swapped, ("x",)).collect())
