@@ -343,3 +343,14 @@ def test_staged_probabilities_are_not_broadcast(spark):
     assert all(r["same_when_loaded"] for r in told.collect())
     swapped = rows.withColumn("p_x", F.reverse("p_x"))
     assert not any(r["same_when_loaded"] for r in J.loaded_beside_staged(long, swapped, ("x",)).collect())
+
+
+def test_histogram_of_many_rows_is_exact():
+    rng = np.random.default_rng(3)
+    n = 2 * B.STRETCH + 7
+    block = B.Block(rng.integers(0, 4, (n, 2)).astype(np.uint8), np.zeros(n, np.int32), rng.random(n) < 0.1, 1)
+    sums, _ = B.histogram(block, [], np.zeros(2), ((), ()), [1, 0], 4)
+    g = B.gradients(np.full((n, 2), 0.5), block.labels, block.held).transpose(1, 0, 2).reshape(n, 4)
+    for at, feature in enumerate((1, 0)):
+        for cell in range(4):
+            assert (sums[at, 0, cell] == g[block.bins[:, feature] == cell].sum(axis=0)).all()
