@@ -354,3 +354,33 @@ def test_histogram_of_many_rows_is_exact():
     for at, feature in enumerate((1, 0)):
         for cell in range(4):
             assert (sums[at, 0, cell] == g[block.bins[:, feature] == cell].sum(axis=0)).all()
+
+
+def drifting(spark):
+    """A label told by the last of many features; the others tell the time, and with it a commonest label that later rows do not keep."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(2000):
+        late, own = i >= 1700, rng.randrange(4)
+        y = own if rng.random() < 0.4 else (0 if late else 1 + i * 3 // 1700)
+        rows.append((i, [i + rng.gauss(0, 30) for _ in range(19)] + [float(own)], y, late))
+    return spark.createDataFrame(rows, "i int, x array<double>, y int, late boolean")
+
+
+def test_the_first_tree_sees_every_feature(spark):
+    rows = drifting(spark)
+    borders = [list(map(float, range(50, 2000, 60)))[:31]] * 19 + [[1.0, 2.0, 3.0]]
+    matrix = B.Matrix(rows, F.col("x"), {"y": F.col("y")}, F.col("late"), borders)
+    size = B.Boost(rounds=3, share=0.1)
+    assert matrix.counts("y", 4).tolist() == [rows.filter(f"y = {k} and not late").count() for k in range(4)]
+    trees, start, curve = B.boost(matrix, "y", 4, size, curve=True)
+    assert start == pytest.approx(np.log((matrix.counts("y", 4) + 1) / (matrix.counts("y", 4).sum() + 4)).tolist())
+    assert [r.rounds for r in curve] == [0, 1, 2, 3] and {r.rows for r in curve} == {300}
+    other = {b.features for b in (B.boost(matrix, "y", 4, dataclasses.replace(size, rounds=1, seed=s))[0][0] for s in range(4))}
+    assert len(other) == 1  # no draw decides the first tree
+
+
+def test_no_tree_is_a_choice_of_the_search():
+    told = [B.Round(i, 10, hits, 0.0) for i, hits in enumerate([5, 3, 5, 4])]
+    assert B.best_round(told) == 0 and B.stopped(told, 3)
+    assert B.best_round([B.Round(i, 0, 0, 0.0) for i in range(3)]) == 1
