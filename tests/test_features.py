@@ -11,6 +11,7 @@ from originline.operators.features import as_of_audit, feature_table
 from originline.operators.candidates import candidate_labels
 from originline.operators.history import ROWS_PER_TASK, build_history, prepare, resident_features
 from originline.operators.samples import build_samples
+from originline.plans.workspace import Workspace
 from originline.params import TEST
 from tests.helpers import FOUR, THREE, bookings, small_blocks
 
@@ -218,3 +219,18 @@ def test_expanded_candidates_are_not_broadcast(spark):
     labels = candidate_labels(long, targets)
     assert "SortMergeJoin" in labels._jdf.queryExecution().sparkPlan().toString()
     assert sorted((r["candidate_facility"], r["relevance"]) for r in labels.collect()) == [("Gym", 0), ("Pool", 1)]
+
+
+def test_the_residents_columns_are_shuffled_once(spark):
+    ws = Workspace(spark, "/root/testdata/sf0.001")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = feature_table(ws.samples, ws.resident, ws.community, ws.params)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    # The last join, first in the plan, is that with the residents' rows; nothing deals its result out again.
+    assert "origin_booking_id" in joins[0]
+    assert "Exchange" not in plan[: plan.index("Join")]
