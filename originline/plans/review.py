@@ -343,8 +343,8 @@ FROM good""")
 
 def answers(ws: Workspace) -> DataFrame:
     """Answer texts of two arms; the second arm is never selected."""
-    rows = ws.scored_holdout.filter("model = 'habit'").join(
-        ws.features.select("sample_id", F.col("origin_hour").cast("int").alias("bh")), "sample_id"
+    rows = ws.scored_holdout.filter("model = 'habit'").withColumn(
+        "bh", F.hour(F.timestamp_micros("origin_us"))
     )
     label = D.ladder_label(F.col("predicted_delay_minutes"), ws.ladder)
     ok = G.answer_json(
