@@ -172,7 +172,7 @@ JOIN f_change ON f_change.id = r.booking_id""")
 
 @job("prompt_summary", query(f"SELECT sample_id, {', '.join(G.SUMMARY)} FROM psum"))
 def prompt_summary(ws: Workspace) -> DataFrame:
-    return G.prompt_summary(ws.features, ws.origin_rows(), ws.params).select(
+    return G.prompt_summary(ws.samples, ws.origin_rows(), ws.params).select(
         "sample_id", *G.SUMMARY
     )
 
@@ -245,7 +245,7 @@ def jsonl_round_trip(ws: Workspace) -> DataFrame:
     back = []
     for split in WRITTEN:
         path = T.scratch(ws.spark, f"prompts-{split}")
-        T.write_jsonl(ws.prompt_rows.filter(F.col("split") == split).drop("split"), path)
+        T.write_jsonl(ws.prompt_rows.filter(F.col("split") == split).drop("split"), path, "gzip")
         back.append(T.read_jsonl(ws.spark, PROMPTS, path).withColumn("split", F.lit(split)))
     return back[0].unionByName(back[1])
 

@@ -119,9 +119,9 @@ def scan_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
     )
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """One JSON object per line, keys in sorted order."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
+    """One JSON object per line, keys in sorted order; a reader sees a codec by the files' names."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(path, compression=compression)
 
 
 def read_jsonl(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
