@@ -36,6 +36,8 @@ WIDTH = 5
 KEYS, SHARED = 8, 2  # MinHash groups of a set; how many must agree for a comparison
 #: One row in so many is counted to tell frequent shingles; three sightings make one.
 SAMPLE, SEEN = 16, 3
+#: Rounds in which nodes meet the leading component of their MinHash groups.
+LEADERS = 2
 #: Largest bitmap that is sent to the workers: 2^27 bits, 16 MB.
 MOST_BITS = 27
 
@@ -276,30 +278,44 @@ def compared(sets: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFr
 ROUNDS = (64, 1024)
 
 
-def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: DataFrame, known: DataFrame | None = None, whole: bool = True) -> DataFrame:
     """Links that tie every node to every group of which it links with a member; ``known`` are earlier ones.
 
+    Unless ``whole``, only the first round is held: it ties most, and a later call must look at the rest.
+
     ``members`` has (group, node, k), k the members of the group, and ``meetings``
     (group, node). A round compares the nodes with a few members of their groups,
     drawn by hash, then ties what it has linked: a node that is by now in one
     component with its group needs no further comparison with it. In a group of near
-    copies nearly all leave in the first round. Whoever is left meets the rest.
+    copies nearly all leave in the first round. Whoever is left meets the rest. Where
+    ``meetings`` tell by ``c`` how much a node shares with a group, every node meets its
+    best group before all others, so that what this ties need not meet at all.
     """
     meetings = stage(meetings, "meetings")
     members = stage(members.join(meetings.select("group").distinct(), "group"), "members")
     sets = made_sets(docs, nodes, members.select("node").unionByName(meetings.select("node")).distinct())
     place = F.pmod(F.xxhash64(F.lit(17), "node"), F.col("k"))
     links, low = known, 0
+
+    def apart(links: DataFrame) -> DataFrame:
+        """The meetings whose node is not in one component with its group by now."""
+        tied = stage(components(links, "a", "b"), "tied")
+        at = lambda key: tied.select(F.col("node").alias(key), F.col("component").alias(f"_{key}"))
+        other = F.coalesce("_node", "node") != F.coalesce("_group", "group")
+        return stage(meetings.join(at("node"), "node", "left").join(at("group"), "group", "left").where(other).select("group", "node"), "meetings")
+
+    if "c" in meetings.columns:
+        best = meetings.groupBy("node").agg(F.max_by("group", F.struct("c", (-F.col("group")).alias("o"))).alias("group"))
+        found = stage(compared(sets, members.where(place < ROUNDS[0]).select("group", "node"), stage(best, "best")), "links")
+        links = found if links is None else links.unionByName(found)
+        meetings = apart(links)
     for high in (*ROUNDS, None):
         part = members.where((place >= low) & (place < high) if high else place >= low)
         found = stage(compared(sets, part.select("group", "node"), meetings), "links")
         links = found if links is None else links.unionByName(found)
-        if high is None or members.where(place >= high).limit(1).count() == 0:
+        if not whole or high is None or members.where(place >= high).limit(1).count() == 0:
             return links
-        tied = stage(components(links, "a", "b"), "tied")
-        at = lambda key: tied.select(F.col("node").alias(key), F.col("component").alias(f"_{key}"))
-        apart = F.coalesce("_node", "node") != F.coalesce("_group", "group")
-        meetings = stage(meetings.join(at("node"), "node", "left").join(at("group"), "group", "left").where(apart).select("group", "node"), "meetings")
+        meetings = apart(links)
         low = high
 
 
@@ -312,6 +328,23 @@ def star_meetings(nodes: DataFrame) -> DataFrame:
         F.col("c") >= SHARED).select("group", "node")
 
 
+def leader_meetings(placed: DataFrame) -> DataFrame:
+    """Every node with one component at most: that which leads most of its MinHash groups, ``SHARED`` at least.
+
+    The largest component leads a group. The stars leave a large group of near copies
+    in many components, as its MinHash groups have different least nodes; were these
+    to meet in the branches, each would meet each. Here a node meets one.
+    """
+    keyed = placed.select("node", F.coalesce("component", "node").alias("component"),
+                          F.coalesce("members", F.lit(1)).cast("long").alias("members"), F.posexplode("keys").alias("k", "key"))
+    lead = keyed.groupBy("k", "key").agg(
+        F.max(F.struct("members", (-F.col("component")).alias("c"))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
+    lead = lead.where("low < high").select("k", "key", (-F.col("lead.c")).alias("group"))
+    met = keyed.join(lead, ["k", "key"]).where(F.col("component") != F.col("group"))
+    shared = met.groupBy("node", "group").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
+    return shared.groupBy("node").agg(F.max_by("group", F.struct("c", (-F.col("group")).alias("o"))).alias("group")).select("group", "node")
+
+
 def branch_meetings(branches: DataFrame) -> DataFrame:
     """(group, node): nodes that share prefix shingles with another component and may still link with it.
 
@@ -348,7 +381,7 @@ def branch_meetings(branches: DataFrame) -> DataFrame:
 
     met = sorted_rows.mapInArrow(walk, "group long, node long, c long, least long")
     counted = met.groupBy("group", "node").agg(F.sum("c").alias("c"), F.min("least").alias("least"))
-    return counted.where("c >= least").select("group", "node")
+    return counted.where("c >= least").select("group", "node", "c")
 
 
 def _meetings_of(columns: list[np.ndarray], room: int = 400_000) -> Iterator[pa.RecordBatch]:
@@ -399,6 +432,14 @@ def _batch(parts: list[tuple]) -> pa.RecordBatch:
         ["group", "node", "c", "least"])
 
 
+def in_components(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes with ``component`` and ``members`` (null if alone), staged, and (group, node, k) of them."""
+    known = stage(components(links, "a", "b"), "known")
+    sizes = known.groupBy("component").agg(F.count("*").alias("members"))
+    placed = stage(nodes.select("node", "n", "sig", "pick", "keys").join(known.join(sizes, "component"), "node", "left"), "placed")
+    return placed, placed.select(F.coalesce("component", "node").alias("group"), "node", F.coalesce("members", F.lit(1)).alias("k"))
+
+
 def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group: str | None = None) -> DataFrame:
     """``keep`` columns, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
@@ -421,11 +462,11 @@ def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     alone = nodes.select(F.col("node").alias("group"), "node", F.lit(1).alias("k"))
     stars = linked(docs, nodes, alone, star_meetings(nodes))
-    known = stage(components(stars, "a", "b"), "known")
-    sizes = known.groupBy("component").agg(F.count("*").alias("members"))
-    placed = stage(nodes.select("node", "n", "sig", "pick").join(known.join(sizes, "component"), "node", "left"), "placed")
-    groups = placed.select(F.coalesce("component", "node").alias("group"), "node", F.coalesce("members", F.lit(1)).alias("k"))
-    branches = prefixes(docs, placed, frequent_shingles(docs))
+    for _ in range(LEADERS):
+        placed, groups = in_components(nodes, stars)
+        stars = linked(docs, nodes, groups, leader_meetings(placed), stars, whole=False)
+    placed, groups = in_components(nodes, stars)
+    branches = prefixes(docs, placed.drop("keys"), frequent_shingles(docs))
     final = components(linked(docs, nodes, groups, branch_meetings(branches), stars), "a", "b")
     member = nodes.select("node", "sig", "least_id").join(final, "node", "left").select(
         "sig", "least_id", F.coalesce("component", "node").alias("component"))

@@ -292,3 +292,15 @@ def test_repeated_items_keep_the_threshold(spark):
         found.append(sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in out))
         assert {r["doc_id"] for r in decontaminate.clean_rows(rows, bench, block_words=block).collect()} == {1}
     assert found[0] == found[1] and {(0, 1), (0, 2)} <= {f[:2] for f in found[0]}
+
+
+def test_left_over_nodes_meet_one_leading_component(spark):
+    """Every node in a component of its own, all in the same MinHash groups: each meets the largest, not each other."""
+    from originline.llm.ngram_join import leader_meetings
+
+    keys = list(range(8))
+    rows = [(i, None, None, keys) for i in range(40)] + [(100 + i, 100, 5, keys) for i in range(5)]
+    rows += [(200, None, None, [1000 + k for k in keys])]
+    placed = spark.createDataFrame(rows, "node long, component long, members long, keys array<long>")
+    met = sorted(map(tuple, leader_meetings(placed).select("group", "node").collect()))
+    assert met == [(100, i) for i in range(40)]
