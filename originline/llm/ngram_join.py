@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from originline.llm.common import extended, mix, prepare, shingle_hashes, slices, text_bytes, word_hashes
 from originline.llm.components import components
-from originline.session import stage
+from originline.session import stage_once, unstage
 
 WIDTH = 5
 KEYS, SHARED = 8, 2  # MinHash groups of a set; how many must agree for a comparison
@@ -111,7 +111,7 @@ def frequent_shingles(docs: DataFrame) -> Bits:
     text = F.col("text").cast("string").alias("text")
     sample = docs.select(text).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     counted = sample.mapInArrow(emit, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    return bitmap(stage(counted.where(F.col("n") >= SEEN).select("shingle"), "frequent"), "shingle")
+    return bitmap(stage_once(counted.where(F.col("n") >= SEEN).select("shingle"), "frequent"), "shingle")
 
 
 def _row_hash() -> Column:
@@ -220,7 +220,7 @@ BLOCK, BLOCK_MEMBERS = 64, 100_000  # sets, and shingles in them, of one trie
 
 def made_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node``, ``n`` and ``members``, the shingles of the nodes in ``wanted``, made again from the texts and staged."""
-    wanted = stage(nodes.select("node", "sig", "pick", "n").join(wanted, "node"), "wanted")
+    wanted = stage_once(nodes.select("node", "sig", "pick", "n").join(wanted, "node"), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "pick"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,9 @@ def made_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
 
     rows = docs.select(_row_hash().alias("_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(emit, "sig binary, members binary").dropDuplicates(["sig"])
-    return stage(wanted.select("node", "sig", "n").join(made, "sig").select("node", "n", "members"), "sets")
+    sets = stage_once(wanted.select("node", "sig", "n").join(made, "sig").select("node", "n", "members"), "sets")
+    unstage(wanted)
+    return sets
 
 
 def compared(sets: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -248,7 +250,7 @@ def compared(sets: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFr
         load = side.join(sets.select("node", "n"), "node").groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
         return load.select("group", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("size") / BLOCK_MEMBERS)).alias(name))
 
-    counts = stage(blocks(members, "mb").join(blocks(meetings, "pb"), "group"), "blocks")
+    counts = stage_once(blocks(members, "mb").join(blocks(meetings, "pb"), "group"), "blocks")
 
     def dealt(side: DataFrame, own: str, own_n: str, other: str, other_n: str, probe: bool) -> DataFrame:
         at = side.join(counts, "group").select(
@@ -278,9 +280,10 @@ def compared(sets: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFr
 ROUNDS = (64, 1024)
 
 
-def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: DataFrame, known: DataFrame | None = None, whole: bool = True) -> DataFrame:
-    """Links that tie every node to every group of which it links with a member; ``known`` are earlier ones.
+def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: DataFrame, tied: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    """Components of the links that tie every node to every group of which it links with a member.
 
+    ``tied`` are the components of earlier links; the result holds these too, and takes its place.
     Unless ``whole``, only the first round is held: it ties most, and a later call must look at the rest.
 
     ``members`` has (group, node, k), k the members of the group, and ``meetings``
@@ -291,32 +294,42 @@ def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, meetings: Data
     ``meetings`` tell by ``c`` how much a node shares with a group, every node meets its
     best group before all others, so that what this ties need not meet at all.
     """
-    meetings = stage(meetings, "meetings")
-    members = stage(members.join(meetings.select("group").distinct(), "group"), "members")
+    meetings = stage_once(meetings, "meetings")
+    members = stage_once(members.join(meetings.select("group").distinct(), "group"), "members")
     sets = made_sets(docs, nodes, members.select("node").unionByName(meetings.select("node")).distinct())
     place = F.pmod(F.xxhash64(F.lit(17), "node"), F.col("k"))
-    links, low = known, 0
 
-    def apart(links: DataFrame) -> DataFrame:
+    def tie(part: DataFrame, meetings: DataFrame) -> None:
+        nonlocal tied
+        last, tied = tied, components(compared(sets, part.select("group", "node"), meetings), "a", "b", known=tied)
+        if last is not None:
+            unstage(last)
+
+    def apart() -> DataFrame:
         """The meetings whose node is not in one component with its group by now."""
-        tied = stage(components(links, "a", "b"), "tied")
         at = lambda key: tied.select(F.col("node").alias(key), F.col("component").alias(f"_{key}"))
         other = F.coalesce("_node", "node") != F.coalesce("_group", "group")
-        return stage(meetings.join(at("node"), "node", "left").join(at("group"), "group", "left").where(other).select("group", "node"), "meetings")
+        left = meetings.join(at("node"), "node", "left").join(at("group"), "group", "left").where(other).select("group", "node")
+        left = stage_once(left, "meetings")
+        unstage(meetings)
+        return left
 
     if "c" in meetings.columns:
         best = meetings.groupBy("node").agg(F.max_by("group", F.struct("c", (-F.col("group")).alias("o"))).alias("group"))
-        found = stage(compared(sets, members.where(place < ROUNDS[0]).select("group", "node"), stage(best, "best")), "links")
-        links = found if links is None else links.unionByName(found)
-        meetings = apart(links)
+        best = stage_once(best, "best")
+        tie(members.where(place < ROUNDS[0]), best)
+        unstage(best)
+        meetings = apart()
+    low = 0
     for high in (*ROUNDS, None):
-        part = members.where((place >= low) & (place < high) if high else place >= low)
-        found = stage(compared(sets, part.select("group", "node"), meetings), "links")
-        links = found if links is None else links.unionByName(found)
-        if not whole or high is None or members.where(place >= high).limit(1).count() == 0:
-            return links
-        meetings = apart(links)
-        low = high
+        if low and meetings.isEmpty():
+            break
+        tie(members.where((place >= low) & (place < high) if high else place >= low), meetings)
+        if not whole or high is None or members.where(place >= high).isEmpty():
+            break
+        meetings, low = apart(), high
+    unstage(meetings, members, sets)
+    return tied
 
 
 def star_meetings(nodes: DataFrame) -> DataFrame:
@@ -432,11 +445,10 @@ def _batch(parts: list[tuple]) -> pa.RecordBatch:
         ["group", "node", "c", "least"])
 
 
-def in_components(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def in_components(nodes: DataFrame, tied: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes with ``component`` and ``members`` (null if alone), staged, and (group, node, k) of them."""
-    known = stage(components(links, "a", "b"), "known")
-    sizes = known.groupBy("component").agg(F.count("*").alias("members"))
-    placed = stage(nodes.select("node", "n", "sig", "pick", "keys").join(known.join(sizes, "component"), "node", "left"), "placed")
+    sizes = tied.groupBy("component").agg(F.count("*").alias("members"))
+    placed = stage_once(nodes.select("node", "n", "sig", "pick", "keys").join(tied.join(sizes, "component"), "node", "left"), "placed")
     return placed, placed.select(F.coalesce("component", "node").alias("group"), "node", F.coalesce("members", F.lit(1)).alias("k"))
 
 
@@ -455,19 +467,21 @@ def link_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     """
     prepare(docs.sparkSession)
     keep = [c for c in keep if c not in ("n_shingles", "component_id")]
-    rows = stage(describe(docs, keep if "doc_id" in keep else [*keep, "doc_id"]), "described")
+    rows = stage_once(describe(docs, keep if "doc_id" in keep else [*keep, "doc_id"]), "described")
     nodes = rows.where("sig is not null").groupBy("sig").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("pick", "n_shingles", "keys")).alias("one"))
     nodes = nodes.select("sig", "least_id", "one.pick", F.col("one.n_shingles").alias("n"), "one.keys")
-    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = stage_once(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     alone = nodes.select(F.col("node").alias("group"), "node", F.lit(1).alias("k"))
-    stars = linked(docs, nodes, alone, star_meetings(nodes))
+    tied = linked(docs, nodes, alone, star_meetings(nodes))
     for _ in range(LEADERS):
-        placed, groups = in_components(nodes, stars)
-        stars = linked(docs, nodes, groups, leader_meetings(placed), stars, whole=False)
-    placed, groups = in_components(nodes, stars)
+        placed, groups = in_components(nodes, tied)
+        tied = linked(docs, nodes, groups, leader_meetings(placed), tied, whole=False)
+        unstage(placed)
+    placed, groups = in_components(nodes, tied)
     branches = prefixes(docs, placed.drop("keys"), frequent_shingles(docs))
-    final = components(linked(docs, nodes, groups, branch_meetings(branches), stars), "a", "b")
+    final = linked(docs, nodes, groups, branch_meetings(branches), tied)
+    unstage(placed)
     member = nodes.select("node", "sig", "least_id").join(final, "node", "left").select(
         "sig", "least_id", F.coalesce("component", "node").alias("component"))
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -490,7 +504,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     groups = link_components(keyed.select("doc_id", "text", "_key", "_hash"), ("doc_id", "_key", "_hash"), "_group")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_hash"), F.col("_key"))
     first = groups.where("_group is not null").groupBy("_group").agg(F.min(order).alias("low"))
-    winners = stage(first.select("low._key", "low._hash").distinct(), "winners")
+    winners = stage_once(first.select("low._key", "low._hash").distinct(), "winners")
     worded = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     # Rows equal in doc_id and text may differ elsewhere: the least hash of all their columns stays.
     told = [F.col(f"_all.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]

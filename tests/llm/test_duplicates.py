@@ -304,3 +304,35 @@ def test_left_over_nodes_meet_one_leading_component(spark):
     placed = spark.createDataFrame(rows, "node long, component long, members long, keys array<long>")
     met = sorted(map(tuple, leader_meetings(placed).select("group", "node").collect()))
     assert met == [(100, i) for i in range(40)]
+
+
+def test_components_of_known_ones_and_few_links(spark):
+    """New links tie known components; few links take few tasks, and no table or shuffle of a round stays."""
+    from pathlib import Path
+
+    from originline import session
+
+    rng = random.Random(8)
+    old = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
+    new = [(40, 150), (7, 9), (300, 3), (301, 302), (302, 303), (5, 5)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(40)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    keys = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    written = {path for _, path in session._WRITTEN}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few links", "")
+        whole = components.components(table(old + new), "a", "b")
+        stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+        assert sum(tracker.getStageInfo(s).numCompletedTasks for s in stages) < 1000
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    known = components.components(table(old), "a", "b")
+    grown = components.components(table(new), "a", "b", known=known)
+    assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, components.components(table([]), "a", "b", known=grown).collect())) == sorted(map(tuple, grown.collect()))
+    assert {Path(path).name.split("-")[0] for _, path in session._WRITTEN if path not in written} == {"components"}
