@@ -447,8 +447,10 @@ def _batch(parts: list[tuple]) -> pa.RecordBatch:
 
 def in_components(nodes: DataFrame, tied: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes with ``component`` and ``members`` (null if alone), staged, and (group, node, k) of them."""
-    sizes = tied.groupBy("component").agg(F.count("*").alias("members"))
+    # Staged, so that the join reads both sides from exchanges and Spark can split a large component.
+    sizes = stage_once(tied.groupBy("component").agg(F.count("*").alias("members")), "sizes")
     placed = stage_once(nodes.select("node", "n", "sig", "pick", "keys").join(tied.join(sizes, "component"), "node", "left"), "placed")
+    unstage(sizes)
     return placed, placed.select(F.coalesce("component", "node").alias("group"), "node", F.coalesce("members", F.lit(1)).alias("k"))
 
 
