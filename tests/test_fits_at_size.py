@@ -80,6 +80,27 @@ def test_the_tail_is_told_by_its_first_row(spark, frac):
     assert {r[0] for r in rows.filter(P.in_tail(rows, frac)).collect()} == want and len(want) == round(500 * frac)
 
 
+def test_the_control_shuffles_bins_not_features(work):
+    train, held = (work.model_rows.filter(F.col("split") == s) for s in ("train", "validation"))
+    size = M.Settings(10, 5)
+    n = len(M.model_inputs(TEST, size))
+    rows = M.control_rows(train, held, TEST, size, work.input_borders)
+    found = rows.withColumn("n", F.length("x")).collect()
+    assert {r["n"] for r in found} == {n + 1} and all(r["x"][-1] == r["y"] + 1 for r in found)  # a byte each, the label's last
+    mixed = M.shuffled_labels(train, "target_facility_id", TEST.seed).collect()
+    own = G.prepared(train, TEST).select("sample_id", "features").collect()
+    x = {r[0]: B.binned(np.array([r[1]], float), work.input_borders).tobytes() for r in own}
+    want = sorted((x[r["sample_id"]], TEST.names.index(r["permuted"])) for r in mixed)
+    assert sorted((bytes(r["x"][:-1]), r["y"]) for r in found if not r["late"]) == want
+    assert sum(r["late"] for r in found) == held.count()
+    # The rows of the only wide shuffle are an id and its bins.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join Inner, (sample_id"):].splitlines()[1]
+    assert joined.strip(" :+-").startswith("Project [sample_id") and joined.count(",") == 1
+    control = {r["control"]: r for r in M.shuffled_control(train, held, TEST, size).collect()}
+    assert not control["shuffled"]["tripped"] and control["planted"]["tripped"] and control["planted"]["accuracy"] > 0.9
+
+
 def test_only_heads_that_are_asked_for_are_fitted(spark):
     own = Workspace(spark, SMALL)
     rows = J.cadence_calibration(own).collect()
